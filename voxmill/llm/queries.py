@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat
+from .packing import op3_packing
 from .quality import op9_quality
+from .sharding import op4_sharding
+from .topk import OP2_SQL, op2_topk
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op2_topk": op2_topk,
+    "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op8_chat": op8_chat,
     "op9_quality": op9_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_topk": OP2_SQL, "op8_chat": OP8_SQL}
