@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
+from .html import op7_html
 from .packing import op3_packing
 from .quality import op9_quality
 from .sharding import op4_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
 }
