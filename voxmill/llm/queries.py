@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
 from .html import op7_html
+from .neardup import op1_neardup
 from .packing import op3_packing
 from .quality import op9_quality
 from .sharding import op4_sharding
@@ -11,6 +12,7 @@ from .topk import OP2_SQL, op2_topk
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_neardup": op1_neardup,
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
