@@ -8,6 +8,7 @@ from .neardup import op1_neardup
 from .packing import op3_packing
 from .quality import op9_quality
 from .sharding import op4_sharding
+from .substrings import op10_substrings
 from .topk import OP2_SQL, op2_topk
 from .toxicity import op5_toxicity
 
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_substrings": op10_substrings,
 }
 ORACLE_SQL = {"op2_topk": OP2_SQL, "op8_chat": OP8_SQL}
