@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat
+from .decontamination import op6_decontamination
 from .html import op7_html
 from .neardup import op1_neardup
 from .packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op6_decontamination": op6_decontamination,
     "op7_html": op7_html,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
