@@ -72,7 +72,7 @@ def fit(rows: pd.DataFrame, features: Callable, width: int, **options) -> TextMo
 
 
 def score_documents(docs: DataFrame, model: TextModel) -> DataFrame:
-    """Every row of `docs` with a `score`; null text counts as empty, other columns pass through."""
+    """(doc_id, score) of every row of `docs`; null text counts as empty."""
     bound_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,3 +81,15 @@ def score_documents(docs: DataFrame, model: TextModel) -> DataFrame:
                 yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.score(b["text"].fillna("").tolist())})
 
     return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, score double")
+
+
+def below(docs: DataFrame, model: TextModel, threshold: float) -> DataFrame:
+    """The rows of `docs`, with all their columns, that score under the threshold."""
+    bound_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[model.score(b["text"].fillna("").tolist()) < threshold]
+
+    return docs.mapInPandas(rows, docs.schema)

@@ -23,14 +23,19 @@ from .common import bound_batches, running_totals, settled, table
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
+JOINED_WORDS = 4000
 #: A space before a visible character always starts a new pre-token of byte-level BPE; other
 #: shapes of white space next to a space do not, so texts with those are encoded whole.
 _ODD_SPACES = re.compile(r" \s| $")
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes; words seen before come from a bounded cache."""
+    """Token ids as little-endian unsigned 32-bit bytes; words seen before come from a bounded cache.
+
+    New words of a batch are encoded together, as one text: each starts with its space, so the
+    text falls apart between them, and a token's offset tells whose it is.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,23 +43,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACES.search(text) or "<|" in text:
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            got = self._encode("".join(part))
+            ends = np.cumsum([len(w) for w in part])
+            owner = np.searchsorted(ends, [o[0] for o in got.offsets], "right")
+            ids, cuts = np.array(got.ids, "<u4").tobytes(), 4 * np.searchsorted(owner, np.arange(len(part) + 1))
+            self.cache.update((w, ids[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [None if _ODD_SPACES.search(t) or "<|" in t else (" " + t).split(" ")[1:] for t in texts]
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new = list({w for w in words if w not in cache})
-        if new:
-            cache.update(zip(new, self._encode(new), strict=True))
-        return b"".join([cache[w] for w in words])
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new.update([w for w in words[1:] if w not in cache])
+        # A text's first word has no space before it, so it is not shared with the others.
+        self._learn([" " + w for w in new if w])
+        for w in new:
+            cache[w] = cache.pop(" " + w)
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self._encode(text).ids, "<u4").tobytes() if text else b"")
+            else:
+                head = np.array(self._encode(words[0]).ids, "<u4").tobytes() if words[0] else b""
+                out.append(head + b"".join([cache[w] for w in words[1:]]))
+        return out
 
 
 @functools.lru_cache(2)
@@ -68,15 +89,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     Only longer documents are cut; every piece but the first is full. A null or empty text is
     the end id alone. Repeated rows give repeated pieces; `ids` are little-endian 32-bit bytes.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 4 << 20)
     step, end = 4 * capacity, np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(tokenizer_path)
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) else b"") + end
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for doc_id, ids in zip(b["doc_id"], encode(texts), strict=True):
+                ids += end
                 first = len(ids) % step or step
                 for piece, to in enumerate(range(first, len(ids) + 1, step)):
                     own = ids[max(0, to - step) if piece else 0 : to]
