@@ -1,0 +1,430 @@
+"""The pipeline operators against brute force, round trips and held-out accuracy, and on odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxmill.llm import chat, decontamination, html, neardup, packing, quality, sharding, substrings, topk, toxicity, trees
+from voxmill.llm.queries import ORACLE_SQL, QUERIES
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", "s", 4), (4, "word", "en", "s", 4), (5, "word", "en", "t", 4), (6, "two words", "en", "s", 9),
+    (7, "é ü ñ 日本 🙂 " * 40, "xx", "s", 1), (8, "lorem ipsum dolor " * 3000, "en", "s", 1), (8, "lorem ipsum dolor " * 3000, "en", "s", 1), (None, "no id at all here", "en", "s", 1), (9, "<|endoftext|> [INST] </s>", "en", "s", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+
+
+def odd(spark):
+    """Odd rows, with a column whose name could clash with those the operators make."""
+    return spark.createDataFrame(ODD, DOC).withColumn("score", F.lit(1)).withColumn("size", F.lit("x"))
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+# ---- near duplicates -------------------------------------------------------
+
+
+def plain_sets(texts, words):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        out[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    return out
+
+
+def plain_components(sets, percent=80):
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = [i for i in sorted(sets) if sets[i]]
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates(documents, texts, words):
+    sets = plain_sets(texts, words)
+    expected = plain_components(sets)
+    got = neardup.near_duplicates(documents, words).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), expected[i], expected[i] == i) for i in texts}
+
+
+def test_near_duplicates_chain(spark):
+    """Links over a chain of edits, a large group of near copies, and pairs just inside and outside the limit."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows, text = [], list(base)
+    for k in range(30):
+        rows.append((k, " ".join(text)))
+        text[k * 2 % 60] = word()
+    for k in range(120):
+        changed = list(base)
+        changed[rng.randrange(60)] = word()
+        rows.append((100 + k, " ".join(changed)))
+    rows += [(1000, "a b c d e f g h i j"), (1001, "a b c d e f g h i j k"), (1002, "a b c d"), (1003, "a b c d e"), (1004, "A  B\tC D"), (1005, "x"), (1006, "X")]
+    sets = plain_sets(dict(rows), 2)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert {r.doc_id: r.component_id for r in got.collect()} == plain_components(sets)
+
+
+def test_near_duplicates_odd(spark):
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd(spark), 2).collect()]
+    assert len(got) == len(ODD) and (5, 1, 4, False) in got and (1, 0, 1, True) in got and (3, 0, 3, True) in got and (None, 4, None, True) in got
+    assert neardup.near_duplicates(empty(spark), 2).count() == 0
+
+
+# ---- top k -----------------------------------------------------------------
+
+
+def test_threshold_search():
+    rng = np.random.default_rng(4)
+    for n, dims, k in ((1, 3, 5), (50, 4, 3), (3000, 2, 5), (400, 16, 20)):
+        rows = rng.integers(-3, 4, (n, dims)).astype(np.int32)
+        ids = rng.permutation(n).astype(np.int64)
+        queries = np.vstack([rows[:5], np.zeros((1, dims), np.int32)])
+        own = np.append(ids[:5], -1)
+        at, found, score = topk.threshold_search(ids, rows, own, queries, k)
+        for q in range(len(queries)):
+            all_scores = rows.astype(np.int64) @ queries[q]
+            best = sorted((-s, i) for s, i in zip(all_scores, ids, strict=True) if i != own[q])[:k]
+            assert sorted(zip(-score[at == q], found[at == q], strict=True)) == best
+
+
+def test_top_k_odd(spark):
+    rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [-1.0, 0.5]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.quantised(df)
+    got = topk.top_k(v, v.where("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 20, 20480), (0, 2, 6, 0), (20, 1, 0, 20480), (20, 2, 6, 0)]
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+# ---- packing ---------------------------------------------------------------
+
+
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.default_tokenizer())
+
+
+def check_packed(rows, ids_of, capacity=1024):
+    for doc, ids in ids_of:
+        own = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids)
+        assert all(r.length == capacity for r in own[1:])
+        for r in own:
+            part = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
+            assert r.ids_crc32 == zlib.crc32(part)
+    sequences: dict = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences), -(-sum(r.length for r in rows) // capacity)
+
+
+def test_packing(documents, texts):
+    own = tokenizer()
+    rows = packing.pack_documents(documents, packing.default_tokenizer(), keep_ids=True).collect()
+    ids = [(i, own.encode(t, add_special_tokens=False).ids + [2]) for i, t in texts.items()]
+    packed, least = check_packed(rows, ids)
+    assert packed <= least * 1.02 + 1
+    assert all(np.frombuffer(r.ids, "<u4")[-1] == 2 for r in rows if r.start + r.length == len(dict(ids)[r.doc_id]))
+
+
+def test_packing_odd(spark):
+    rows = packing.pack_documents(odd(spark), packing.default_tokenizer(), keep_ids=False).collect()
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(r[0] for r in ODD)
+    assert [(r.length, r.start) for r in rows if r.doc_id == 1] == [(1, 0)]
+    assert packing.pack_documents(empty(spark), packing.default_tokenizer()).count() == 0
+
+
+def test_encoder_matches_the_tokenizer():
+    own, encode, rng = tokenizer(), packing.Encoder(packing.default_tokenizer()), random.Random(2)
+    cases = ["", " ", "a", " a", "a  b", "a \n b", "x\n\n y", "don't we'll", "tab\tx y", "a ", "\n", "½ ² x²", "<|endoftext|> a b", "🙂 🙂🙂 a"]
+    cases += ["".join(rng.choice("ab 'é1\n\t,.🙂 ") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    assert encode(cases) == [np.array(own.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
+
+
+def test_plan_places_every_piece():
+    rng = np.random.default_rng(8)
+    for case in range(6):
+        histogram = np.zeros(1025, np.int64)
+        lengths = rng.integers(1, 1025, 3000) if case < 3 else rng.integers(1, 60, 3000) if case < 5 else np.full(700, 513)
+        np.add.at(histogram, lengths, 1)
+        plan = packing.make_plan(histogram)
+        used = np.zeros(1025, np.int64)
+        np.add.at(used, plan.length, plan.count)
+        assert (used == histogram).all()
+        floor = -(-int(lengths.sum()) // 1024) if case < 5 else 700
+        assert plan.sequences <= floor * 1.02 + 2
+
+
+# ---- sharding --------------------------------------------------------------
+
+
+def test_sharding(documents, texts):
+    rows = sharding.kd_shards(documents, 8).collect()
+    assert {(r.doc_id, r["size"], r.text_crc32) for r in rows} == {(i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts.items()}
+    shards: dict = {}
+    for r in rows:
+        shards.setdefault(r.shard, []).append(r)
+    assert sorted(shards) == list(range(8))
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in shards.values())
+    bytes_ = [sum(r["size"] for r in s) for s in shards.values()]
+    assert max(bytes_) - min(bytes_) <= 3 * max(r["size"] for r in rows)
+
+
+def test_sharding_odd(spark):
+    rows = sharding.kd_shards(odd(spark), 3).collect()
+    assert len(rows) == len(ODD) and {r.shard for r in rows} <= {0, 1, 2}
+    assert sharding.kd_shards(empty(spark)).count() == 0
+    copies = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    assert Counter(r.shard for r in sharding.kd_shards(copies, 4).collect()) == dict.fromkeys(range(4), 100)
+
+
+# ---- classifiers -----------------------------------------------------------
+
+
+@pytest.mark.parametrize("name,label,least", [("op5_toxicity", "toxic", 0.8), ("op9_quality", "quality", 0.9)])
+def test_held_out_accuracy(spark, name, label, least):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in QUERIES[name](spark, d).collect() if r.held_out and r.doc_id in truth]
+    modulus, held = (4, 2) if label == "toxic" else (5, 0)
+    assert rows and all(zlib.crc32(str(r.doc_id).encode()) % modulus == held for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    pos, neg = ([r.score for r in rows if truth[r.doc_id] == k] for k in (1, 0))
+    above = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert above >= least
+
+
+@pytest.mark.parametrize("score", [toxicity.score_toxicity, quality.score_quality])
+def test_classifiers_odd(spark, sf_dir, score):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert score(odd(spark), labels).count() == len(ODD)
+    assert score(odd(spark), labels.limit(0)).count() == len(ODD)
+    assert score(empty(spark), labels).count() == 0
+
+
+def test_trees_and_isotonic():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    forest = trees.fit_boosted(x[:2000], y[:2000], trees=40, depth=3)
+    assert ((forest.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
+    iso = trees.fit_isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.9]), np.array([0, 1, 0, 0, 1]))
+    assert (np.diff(iso(np.linspace(0, 1, 50))) >= 0).all() and iso(np.array([0.95]))[0] == 1
+    assert trees.fit_boosted(np.zeros((5, 2)), np.ones(5)).probability(np.zeros((1, 2)))[0] > 0.5
+
+
+# ---- decontamination -------------------------------------------------------
+
+
+def test_decontamination(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 8)))
+    common = ["the", "of", "and", "to", "in", "a"]
+    speak = lambda n: [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(n)]
+    items = [(k, speak(rng.randint(15, 60))) for k in range(20)]
+    rows = [(i, " ".join(speak(rng.randint(5, 400)))) for i in range(200)]
+    planted = {}
+    for k, words in items:
+        for way in range(2):
+            inner = list(words)
+            if way:  # some words changed, none of the last
+                for _ in range(len(inner) // 8):
+                    inner[rng.randrange(len(inner) - max(3, len(inner) // 5))] = word()
+            at = 1000 + 2 * k + way
+            rows.append((at, " ".join(speak(rng.randint(0, 150)) + [w.upper() if way else w for w in inner] + speak(rng.randint(0, 150)))))
+            planted[at] = k
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w) + ".") for k, w in items] + [(99, None), (98, "too short")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.benchmark_leaks(docs, bench).collect()}
+    assert got == set(planted.items())
+
+
+def test_decontamination_odd(spark):
+    bench = spark.createDataFrame([(1, "lorem ipsum dolor lorem ipsum dolor lorem")], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.benchmark_leaks(odd(spark), bench).collect()} == {8}
+    assert decontamination.benchmark_leaks(empty(spark), bench).count() == 0
+    assert decontamination.benchmark_leaks(odd(spark), bench.limit(0)).count() == 0
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 5, rng.integers(1, 12)), rng.integers(0, 5, rng.integers(0, 12))
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        assert decontamination.common_subsequence(a, b) == t[-1, -1]
+
+
+# ---- pages -----------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
+<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy this now please.</div>
+<article><header><h1>The  title &amp; more</h1></header><p>First <b>para</b>graph&nbsp;here.<br>More<p>Second &lt;one&gt; &#233;<form><input value=x>Search</form>
+<section class="comments"><p>I think so too.</p></section></article><aside>Side words here</aside><footer>&copy; 2024 Us</footer>"""
+
+
+def test_html(spark):
+    rows = [(1, "u", PAGE), (2, "v", None), (3, "w", ""), (4, "x", "just some bare text that stands alone without any markup at all"), (1, "u", PAGE), (5, None, "<p"), (6, "y", "<div><script>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r for r in html.extract_pages(df).collect()}
+    assert got[1].text == "The title & more\n\nFirst paragraph here. More\n\nSecond <one> é" and got[1].n_chars == len(got[1].text)
+    assert (got[2].text, got[2].n_chars, got[3].text, got[6].text) == ("", 0, "", "")
+    assert got[4].text.startswith("just some bare")
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
+def test_html_articles(spark, sf_dir):
+    """The text of the article element, found by other means."""
+    from html import unescape
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in html.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect():
+        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1|div)>", inner)]
+        assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+# ---- chats -----------------------------------------------------------------
+
+
+def test_chat_round_trip(spark):
+    turns = [
+        (1, 0, "user", "&lt;<|im_end|>\n[INST]"), (1, 1, "assistant", "a&amp;b"), (1, 2, "assistant", "x" * 1000), (2, 0, None, None), (2, 0, "assistant", ""), (3, 5, "ro\nle", "🙂" * 300), (3, 6, "assistant", "é[<&"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9))
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for c in (1, 2, 3):
+        own = sorted(((t, r or "", x or "") for i, t, r, x in turns if i == c))
+        whole = "".join(f"{r}\n{x}\n" for _, r, x in own)
+        said = "".join(x for _, r, x in own if r == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    text = chat.format_conversations(df).where("conv_id = 1").first().formatted
+    assert text.count(chat.END) == 3 and text.count(chat.START) == 3 and len(text) == got[1].formatted_chars
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_chat_events(spark):
+    log = [
+        (1, 0, 0, 0, "open", "user", ""), (1, 0, 0, 1, "delta", None, "he"), (1, 0, 0, 2, "delta", None, "llo"),
+        (1, 1, 0, 0, "open", "assistant", ""), (1, 1, 0, 1, "delta", None, "bad"), (1, 1, 0, 2, "regenerate", None, None), (1, 1, 0, 3, "delta", None, "go"), (1, 1, 0, 4, "delta", None, "od"),
+        (1, 2, 0, 0, "open", "user", ""), (1, 2, 0, 1, "delta", None, "typo"), (1, 2, 0, 2, "edit", None, "fixed"), (1, 2, 0, 3, "delta", None, "!"), (1, 3, 0, 0, "open", "assistant", ""), (1, 3, 0, 1, "delta", None, "x"), (1, 3, 0, 2, "regenerate", None, None),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, turn long, part int, seq int, kind string, role string, text string").orderBy(F.rand(1))
+    got = [(r.turn, r.role, r.text) for r in chat.fold_messages(df).orderBy("turn").collect()]
+    assert got == [(0, "user", "hello"), (1, "assistant", "good"), (2, "user", "fixed!"), (3, "assistant", "")]
+
+
+def test_chat_is_native(spark, sf_dir):
+    plan = QUERIES["op8_chat"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---- repeated substrings ---------------------------------------------------
+
+
+def plain_repeats(texts):
+    seen, out = set(), {}
+    for i in sorted(texts):
+        raw = texts[i].encode()
+        covered = np.zeros(len(raw), bool)
+        own = [raw[k : k + 50] for k in range(len(raw) - 49)]
+        for k, w in enumerate(own):
+            if w in seen:
+                covered[k : k + 50] = True
+        spans = int((np.diff(np.r_[False, covered].astype(int)) == 1).sum())
+        out[i] = (len(raw), int(covered.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~covered])).hexdigest())
+        seen.update(own)
+    return out
+
+
+def test_substrings(spark, sf_dir, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.op10_substrings(spark, sf_dir).collect()}
+    assert got == plain_repeats(texts)
+
+
+def test_substrings_small(spark):
+    rng = random.Random(9)
+    line = lambda n: "".join(rng.choice("ab é") for _ in range(n))
+    shared = [line(n) for n in (49, 50, 51, 80, 200)]
+    rows = {k: line(rng.randint(0, 60)) + "".join(rng.choice(shared) + line(rng.randint(0, 5)) for _ in range(rng.randint(0, 4))) for k in range(60)}
+    rows |= {100: "z" * 300, 101: "z" * 49, 102: "z" * 50, 103: "z" * 300}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
+    found, name = substrings.without_repeats(df)
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in found.collect()}
+    spark.sql(f"DROP TABLE {name}")
+    assert got == plain_repeats(rows)
+    found, name = substrings.without_repeats(df, as_text=True)
+    kept = {r.doc_id: r.kept for r in found.collect()}
+    spark.sql(f"DROP TABLE {name}")
+    assert all("�" not in t for t in kept.values()) and kept[102] == "" and kept[101] == "z" * 49
+
+
+def test_substrings_odd(spark):
+    for df, n in ((odd(spark), len(ODD)), (empty(spark), 0)):
+        found, name = substrings.without_repeats(df, ["lang", "score"])
+        assert found.count() == n
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_difference_cover():
+    cover = set(substrings.COVER)
+    for i in range(21):
+        for j in range(21):
+            assert any((i + d) % 21 in cover and (j + d) % 21 in cover for d in range(21))
+
+
+# ---- registered queries ----------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_oracle(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    got = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in got.description]
+    df = QUERIES[name](spark, sf_dir)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(got.fetchall())

@@ -3,10 +3,11 @@
 Documents with equal shingle sets are one class, so copies are joined once. Each class posts
 its signature under (coordinate, value) tokens. Classes that agree in at least MATCHES of the
 COORDINATES share one of any COORDINATES - MATCHES + 1 tokens, so only the rarest tokens are
-posted, and lists of one class are skipped. Each class is first held against one other class
-of its lists, the one it collides with most; the links found join most of a large group. Then
-only lists whose classes still lie in different components are compared, outsiders of the
-list's main component against all of it, in blocks. Every link is confirmed on the full sets.
+posted, and lists of one class are skipped. Each class is first held against the first class of
+its lists that it collides with most; the links found join most of a large group. Then only
+lists whose classes still lie in different components are compared, outsiders of the list's
+main component against all of it. Pairs are passed on by one bit of each coordinate, retained
+by the whole signatures, and confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,36 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settled, table
+from .hashing import mixed, word_names
 
 #: A pair of similarity 0.8 agrees in fewer than MATCHES coordinates once in about ten million.
 COORDINATES, MATCHES = 64, 34
 POSTED = COORDINATES - MATCHES + 1
 SKETCH_BITS = 16
-BLOCK_ROWS = 4096
+#: Low bits of the coordinates that may differ; pairs of similarity 0.8 differ in 6.4 on average, by a deviation of 2.4.
+BITS_APART = 20
+#: Collisions that make a first pair; pairs with fewer wait for the second round.
+FIRST_HITS = 3
+#: So many ids (8 bytes each) are sent to the readers of the texts; beyond it the join is shuffled.
+BROADCAST_IDS = 500_000
 WORDS, SIMILARITY = 5, 0.8
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    return x ^ (x >> np.uint64(32))
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_ODD, _INVERSE)):
-            steps = np.full(size, base)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[32, *range(9, 14)]] = False
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -58,19 +45,13 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     Words are runs of anything but ASCII white space. A shorter text is one run; a text
     without words has none.
     """
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    word = ~_SPACE[raw]
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    if not len(start):
+    name, _ = word_names(np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8), _IN_WORD)
+    if not len(name):
         return np.zeros(0, np.uint64)
-    power, back = _powers_to(len(raw) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    name = _mixed((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64) * _MIX)
     width = min(words, len(name))
     out = np.full(len(name) - width + 1, np.uint64(width))
     for k in range(width):
-        out = _mixed(out + name[k : len(name) - width + 1 + k])
+        out = mixed(out + name[k : len(name) - width + 1 + k])
     return np.unique(out)
 
 
@@ -87,8 +68,12 @@ def signature(names: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def set_key(names: bytes) -> bytes:
+    return hashlib.blake2b(names, digest_size=16).digest()
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row, from its whole text."""
+    """(doc_id, n_shingles, set_key, signature, bits) of every row, from its whole text."""
     bound_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,16 +81,17 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 names = shingle_set(text, words) if isinstance(text, str) else np.zeros(0, np.uint64)
-                key = hashlib.blake2b(names.tobytes(), digest_size=16).digest()
-                out.append((doc_id, len(names), key, signature(names).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature"])
+                own = signature(names)
+                bits = np.packbits((own & 1).astype(np.uint8)).view(">i8")[0]
+                out.append((doc_id, len(names), set_key(names.tobytes()), own.tobytes(), bits))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature", "bits"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary, bits long")
 
 
 def _tokens(signatures: pd.Series) -> np.ndarray:
     values = np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES).astype(np.uint64)
-    return _mixed(values + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
+    return mixed(values + (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
 
 
 def _token_counts(classes: DataFrame) -> np.ndarray:
@@ -136,18 +122,35 @@ def postings(classes: DataFrame) -> DataFrame:
             rare = np.take_along_axis(tokens, np.argsort(rank, axis=1, kind="stable")[:, :POSTED], axis=1)
             yield pd.DataFrame({"token": rare.ravel().view(np.int64), "class_id": np.repeat(b["class_id"].to_numpy(), POSTED)})
 
-    posts = classes.select("class_id", "signature").mapInPandas(post, "token long, class_id long").distinct()
+    posts = classes.select("class_id", "signature").mapInPandas(post, "token long, class_id long")
     lists = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("class_id").alias("first")).where("n > 1")
     return posts.join(lists, "token").select("token", "class_id", "first")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets meet the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole signatures agree in MATCHES coordinates."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(-1, COORDINATES) for c in ("x", "y"))
+            yield b.loc[(x == y).sum(1) >= MATCHES, ["a", "b"]]
+
+    side = lambda i, c: classes.select(F.col("class_id").alias(i), F.col("signature").alias(c))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(count, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets meet the similarity. `pairs` is read often."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
+    ids = settled(classes.join(ids, "class_id", "left_semi").select(F.col("class_id").alias("doc_id"), "set_key"))
+    asked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "names": [shingle_set(t or "", words).tobytes() for t in b["text"]]})
+            sets = [shingle_set(t or "", words).tobytes() for t in b["text"]]
+            # Another text under the same id is not the one that stands for the class.
+            own = [set_key(x) == key for x, key in zip(sets, b["set_key"], strict=True)]
+            yield pd.DataFrame({"id": b["doc_id"], "names": sets})[own]
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -158,12 +161,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 fit.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[fit, ["a", "b"]]
 
-    asked = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = settled(asked.mapInPandas(names, "id long, names binary"))
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("names").alias("y")), "b"
-    )
-    return full.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long")
+    sets = asked.mapInPandas(names, "id long, names binary")
+    full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return full.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,52 +180,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _similar(percent: int, small: str = "n", large: str = "m"):
-    return F.least(small, large) * 100 >= F.greatest(small, large) * percent
+def _near(percent: int):
+    """Sizes n, m and coordinate bits p, q that allow the similarity."""
+    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    return sizes & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART)
+
+
+def first_pairs(posts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the head of a list, the one it meets in most lists."""
+    hits = posts.where("class_id <> first").groupBy(F.col("first").alias("a"), F.col("class_id").alias("b")).agg(F.count("*").alias("hits"))
+    near = hits.where(F.col("hits") >= FIRST_HITS).join(sketches.toDF("a", "n", "p"), "a").join(sketches.toDF("b", "m", "q"), "b").where(_near(percent))
+    return near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def remaining_pairs(posts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a list and agree in MATCHES coordinates.
+def remaining_pairs(posts: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of different components that share a list and are near.
 
     Lists within one component are done. In the others the classes outside the list's main
-    component meet all of its classes, block by block; only pairs above the threshold leave.
+    component meet all of its classes; of any two components one is outside the main one.
     """
-    sized = classes.select("class_id", "n_shingles", F.col("signature"))
     placed = posts.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "token", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
-    lists = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("n").alias("most"))
-    lists = lists.where("parts > 1").select(
-        "token", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS).cast("int").alias("out_blocks")
-    )
-    rows = placed.join(lists, "token").join(sized, "class_id")
-    row = F.struct("class_id", "component", "n_shingles", "signature")
-    block = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
-    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    out = rows.where("component <> main").select("token", block("out_blocks").alias("i"), cells("all_blocks").alias("j"), row.alias("row"), F.lit(True).alias("outer"))
-    every = rows.select("token", cells("out_blocks").alias("i"), block("all_blocks").alias("j"), row.alias("row"), F.lit(False).alias("outer"))
-    cell = out.union(every).groupBy("token", "i", "j").agg(
-        F.collect_list(F.when(F.col("outer"), F.col("row"))).alias("outer"), F.collect_list(F.when(~F.col("outer"), F.col("row"))).alias("inner")
-    )
-    side = lambda c: [F.col(f"{c}.class_id").alias(f"{c}_id"), F.col(f"{c}.component").alias(f"{c}_part"), F.col(f"{c}.n_shingles").alias(f"{c}_n"), F.col(f"{c}.signature").alias(f"{c}_sig")]
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for r in b.itertuples(index=False):
-                x, y = np.asarray(r.outer_id), np.asarray(r.inner_id)
-                xp, yp, xn, yn = (np.asarray(v) for v in (r.outer_part, r.inner_part, r.outer_n, r.inner_n))
-                xs, ys = (np.frombuffer(b"".join(v), np.uint32).reshape(-1, COORDINATES) for v in (r.outer_sig, r.inner_sig))
-                for k in range(len(x)):
-                    fit = (yp != xp[k]) & (100 * np.minimum(yn, xn[k]) >= percent * np.maximum(yn, xn[k]))
-                    at = np.flatnonzero(fit)
-                    at = at[(ys[at] == xs[k]).sum(1) >= MATCHES]
-                    found.append(np.column_stack([np.minimum(x[k], y[at]), np.maximum(x[k], y[at])]))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return cell.select(*side("outer"), *side("inner")).where(F.size("outer_id") > 0).mapInPandas(compare, "a long, b long").distinct()
+    lists = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = settled(placed.join(lists.select("token", "main"), "token").join(sketches.toDF("class_id", "n", "p"), "class_id"))
+    every = rows.select("token", F.col("class_id").alias("y"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
+    met = rows.where("component <> main").join(every, "token").where((F.col("component") != F.col("other")) & _near(percent))
+    return met.select(F.least("class_id", "y").alias("a"), F.greatest("class_id", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,19 +219,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     """
     percent = round(100 * similarity)
     rows = settled(document_sets(docs, words))
-    classes = settled(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"))
-    )
+    whole = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles")
+    classes = settled(whole.agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.min("bits").alias("bits")))
     # Sets that can differ and still be similar: one name more or less must be within the limit.
     open_classes = classes.where((F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100)
     posts = settled(postings(open_classes))
-    sizes = classes.select("class_id", F.col("n_shingles"))
-    collisions = posts.where("class_id <> first").groupBy(F.col("first").alias("a"), F.col("class_id").alias("b")).agg(F.count("*").alias("hits"))
-    collisions = collisions.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").where(_similar(percent))
-    stars = collisions.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
-    links = settled(confirmed(settled(stars.select("a", "b")), docs, words, percent))
-    rest = settled(remaining_pairs(posts, open_classes, components(links), percent))
-    links = settled(links.union(confirmed(rest, docs, words, percent)))
+    sketches = open_classes.select("class_id", F.col("n_shingles").alias("n"), F.col("bits").alias("p"))
+    pairs = settled(retained(first_pairs(posts, sketches, percent), open_classes))
+    links = settled(confirmed(pairs, open_classes, docs, words, percent))
+    rest = settled(retained(remaining_pairs(posts, sketches, components(links), percent), open_classes))
+    links = settled(links.union(confirmed(rest, open_classes, docs, words, percent)))
     labels = components(links)
     grouped = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "n_shingles", F.coalesce("component", "class_id").alias("_component")
