@@ -113,6 +113,7 @@ def score_log(df: DataFrame, key: str = "utt") -> DataFrame:
 def score_lines(df: DataFrame, key: str = "utt") -> DataFrame:
     """One text line for each candidate: three decimals, NA for null."""
     shown = lambda c: F.when(F.col(c).isNull(), "NA").otherwise(F.format_string("%.3f", F.col(c)))
+    # The names in a line.
     fields = [("utt", F.col(key).cast("string")), ("model", F.coalesce("tag", F.lit("NA"))), ("WER", shown("wer")), ("SIM", shown("sim")), ("AASIST", shown("cm")), ("TOTAL", shown("score"))]
     line = F.concat_ws(" | ", *[F.concat(F.lit(f"{n}="), v) for n, v in fields])
     return df.select(key, "cand_idx", line.alias("line"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Columns of the task table and of the score log.
 TASK_SCHEMA = "utt LONG, reference_speech STRING, text STRING"
 LOG_COLUMNS = ("ts", "utt", "tag", "wav_path", "wer", "sim", "aasist", "wer_norm", "sim_norm", "aasist_norm", "final_score", "chosen")
 
