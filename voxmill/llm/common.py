@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +35,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner acts when the driver's garbage collection finds them, which on a large heap
+    may be long after; a job of several large shuffles asks for it between them. What the first
+    collection frees makes the shuffles themselves unreachable, which the second one finds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out_bucket(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; null ids fall into bucket 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))

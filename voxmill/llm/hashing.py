@@ -26,6 +26,12 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; several times faster here than numpy's hashed form."""
+    a = np.sort(a)
+    return a[np.diff(a, prepend=~a[:1]) != 0]
+
+
 def word_names(raw: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Names and start offsets of the runs of bytes for which `in_word` (a table of 256) holds.
 

@@ -30,7 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, settled, table
+from .common import bound_batches, release, settled, table
+from .hashing import distinct
 
 WINDOW = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -69,28 +70,27 @@ del _residues
 
 
 class Chunk:
-    """The documents of one chunk: sampled names, and the names of all windows."""
+    """The documents of one chunk and the sampled names of their texts."""
 
     def __init__(self, ids: Sequence[int], texts: Sequence[bytes], whole: bool):
         self.ids = np.asarray(ids, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        names, owner, at, windows = [], [], [], []
+        names, owner, at, every = [], [], [], []
         for d, text in enumerate(texts):
             raw = np.frombuffer(text, np.uint8)
             own = []
             for start in range(0, max(len(raw) - NAMED + 1, 0), PIECE):
-                n27 = _names27(raw[start : start + PIECE + WINDOW - 1])
-                pick = _SAMPLED[: np.searchsorted(_SAMPLED, min(len(n27), PIECE))]
+                n27 = _names27(raw[start : start + PIECE + NAMED - 1])
+                pick = _SAMPLED[: np.searchsorted(_SAMPLED, len(n27))]
                 names.append(n27[pick])
                 owner.append(np.full(len(pick), d, np.int32))
                 at.append(pick + start)
-                if whole and len(n27) > WINDOW - NAMED:
-                    own.append(_name(n27[: NAMED - WINDOW], n27[WINDOW - NAMED :])[:PIECE])
+                own.append(n27)
             if whole:
-                windows.append(np.concatenate(own) if own else np.zeros(0, np.uint64))
+                every.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.uint64))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.names, self.owner, self.at = join(names, np.uint64), join(owner, np.int32), join(at, np.int64)
-        self.windows = windows
+        self.every = every
 
     def sampled_keys(self, ranges: int) -> np.ndarray:
         """(range, 32 bits within the range) of each sampled name; enough to filter, not to decide."""
@@ -98,29 +98,34 @@ class Chunk:
         low = (self.names & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)
         return high + low
 
-    def candidates(self, ranges: int, shared: np.ndarray, copies: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, ranges: int, side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, position, name) of the windows over a name that stands in another document."""
-        keys, inverse = np.unique(self.sampled_keys(ranges), return_inverse=True)
-        low, high = np.full(len(keys), len(self.ids), np.int32), np.full(len(keys), -1, np.int32)
-        np.minimum.at(low, inverse, self.owner)
-        np.maximum.at(high, inverse, self.owner)
-        hot = (shared | (low != high))[inverse] if len(keys) else np.zeros(0, bool)
-        skip = np.isin(self.ids, list(copies)) if copies else np.zeros(len(self.ids), bool)
+        keys = self.sampled_keys(ranges)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        if not len(keys):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        by = self.owner[order]
+        several = np.minimum.reduceat(by, starts) != np.maximum.reduceat(by, starts)
+        shared = several | _flags(side, SAMPLED, keys[starts] >> np.uint64(32))
+        hot = np.zeros(len(keys), bool)
+        hot[order] = np.repeat(shared, np.diff(starts, append=len(keys)))
+        copies = side.loc[side["kind"] == COPY, "at"].to_numpy(np.int64)
+        skip = np.isin(self.ids, copies)
         owner, at = self.owner[hot], self.at[hot]
         cuts = np.searchsorted(owner, np.arange(len(self.ids) + 1))
         docs, places, names = [], [], []
         for d in np.flatnonzero(np.diff(cuts)):
-            n = len(self.windows[d])
-            if skip[d] or not n:
+            n = self.sizes[d] - WINDOW + 1
+            if skip[d] or n <= 0:
                 continue
             s = at[cuts[d] : cuts[d + 1]]
-            edge = np.zeros(n + 1, np.int32)
-            np.add.at(edge, np.minimum(np.maximum(s - PERIOD + 1, 0), n), 1)
-            np.add.at(edge, np.minimum(s + 1, n), -1)
-            i = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            edge = np.bincount(np.clip(s - PERIOD + 1, 0, n), minlength=n + 1) - np.bincount(np.minimum(s + 1, n), minlength=n + 1)
+            i = np.flatnonzero(np.cumsum(edge[:n]) > 0)
             docs.append(np.full(len(i), d, np.int32))
             places.append(i)
-            names.append(self.windows[d][i])
+            names.append(_name(self.every[d][i], self.every[d][i + WINDOW - NAMED]))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return join(docs, np.int32), join(places, np.int64), join(names, np.uint64)
 
@@ -147,10 +152,15 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
 
 def _least(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct names, the least id of each, and each name's place among them."""
-    distinct, inverse = np.unique(names, return_inverse=True)
-    least = np.full(len(distinct), _LAST, np.int64)
-    np.minimum.at(least, inverse, ids)
-    return distinct, least, inverse
+    if not len(names):
+        return names, ids, np.zeros(0, np.int64)
+    order = np.argsort(names)
+    ordered = names[order]
+    new = np.diff(ordered, prepend=~ordered[:1]) != 0
+    starts = np.flatnonzero(new)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[starts], np.minimum.reduceat(ids[order], starts), place
 
 
 def _range_of(names: np.ndarray, ranges: int) -> np.ndarray:
@@ -163,7 +173,7 @@ _BITS = "chunk long, kind int, at long, bits binary"
 
 def _blobs(chunk: int, where: np.ndarray, values: np.ndarray, ids: np.ndarray | None) -> pd.DataFrame:
     cuts = np.flatnonzero(np.diff(where, prepend=np.uint64(1 << 63)))
-    ends = np.append(cuts[1:], len(where))
+    ends = np.append(cuts[1:], len(where))[: len(cuts)]
     rows = [(int(where[a]), chunk, _packed(_steps(values[a:b])), _packed(ids[a:b]) if ids is not None else None) for a, b in zip(cuts, ends, strict=True)]
     return pd.DataFrame(rows, columns=["range", "chunk", "names", "ids"])
 
@@ -176,7 +186,7 @@ def _answers(kind: int):
         parts = [np.cumsum(_unpacked(b, dtype), dtype=dtype) for b in pdf["names"]]
         names = np.concatenate(parts)
         if kind == SAMPLED:
-            order = np.argsort(names, kind="stable")
+            order = np.argsort(names)
             equal = names[order][1:] == names[order][:-1]
             found = np.zeros(len(names), bool)
             found[order] = np.append(equal, False) | np.insert(equal, 0, False)
@@ -201,12 +211,9 @@ def _flags(side: pd.DataFrame, kind: int, where: np.ndarray) -> np.ndarray:
     return out
 
 
-def _windows(left: pd.DataFrame, side: pd.DataFrame, ranges: int):
+def _windows(left: pd.DataFrame, side: pd.DataFrame, ranges: int) -> tuple[Chunk, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     chunk = Chunk(left["_id"].tolist(), left["_raw"].tolist(), whole=True)
-    keys = np.unique(chunk.sampled_keys(ranges))
-    shared = _flags(side, SAMPLED, keys >> np.uint64(32))
-    copies = set(side.loc[side["kind"] == COPY, "at"].tolist())
-    return chunk, copies, chunk.candidates(ranges, shared, copies)
+    return chunk, chunk.candidates(ranges, side)
 
 
 def spans_of(covered: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,27 +277,32 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
     copies = later.select("chunk", F.lit(COPY).alias("kind"), F.col("_id").alias("at"), F.lit(None).cast("binary").alias("bits"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(Chunk(pdf["_id"].tolist(), pdf["_raw"].tolist(), whole=False).sampled_keys(ranges))
+        keys = distinct(Chunk(pdf["_id"].tolist(), pdf["_raw"].tolist(), whole=False).sampled_keys(ranges))
         return _blobs(int(pdf["chunk"].iloc[0]), keys >> np.uint64(32), keys.astype(np.uint32), None)
 
     names = own.groupBy("chunk").applyInPandas(sample, _BLOB)
     side = settled(names.groupBy("range").applyInPandas(_answers(SAMPLED), _BITS).union(copies))
+    del names
+    release(spark)
 
     def whole(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=["range", "chunk", "names", "ids"])
-        chunk, _, (owner, _, found) = _windows(left, right, ranges)
+        chunk, (owner, _, found) = _windows(left, right, ranges)
         distinct, least, _ = _least(found, chunk.ids[owner])
         return _blobs(int(left["chunk"].iloc[0]), _range_of(distinct, ranges), distinct, least)
 
     windows = own.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(whole, _BLOB)
     side = settled(side.union(windows.groupBy("range").applyInPandas(_answers(WHOLE), _BITS)))
+    del windows
+    release(spark)
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", *keep, "n_bytes", "starts", "ends", "kept"]
         if not len(left):
             return pd.DataFrame(columns=columns)
-        chunk, copied, (owner, at, found) = _windows(left, right, ranges)
+        chunk, (owner, at, found) = _windows(left, right, ranges)
+        copied = set(right.loc[right["kind"] == COPY, "at"].tolist())
         distinct, least, inverse = _least(found, chunk.ids[owner])
         smaller = _flags(right, WHOLE, _range_of(distinct, ranges))
         repeated = smaller[inverse] | (chunk.ids[owner] > least[inverse])
