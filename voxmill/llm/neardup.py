@@ -6,8 +6,9 @@ COORDINATES share one of any COORDINATES - MATCHES + 1 tokens, so only the rares
 posted, and lists of one class are skipped. Each class is first held against the first class of
 its lists that it collides with most; the links found join most of a large group. Then only
 lists whose classes still lie in different components are compared, outsiders of the list's
-main component against all of it. Pairs are passed on by one bit of each coordinate, retained
-by the whole signatures, and confirmed on the full sets.
+main component against all of it, and what is passed on is not pairs but (class, component).
+Every link is confirmed on the full sets: there, the members of a component stand in blocks,
+and each class held against a block gives one link at most.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, settled, table
-from .hashing import mixed, word_names
+from .hashing import distinct, mixed, word_names
 
 #: A pair of similarity 0.8 agrees in fewer than MATCHES coordinates once in about ten million.
 COORDINATES, MATCHES = 64, 34
 POSTED = COORDINATES - MATCHES + 1
 SKETCH_BITS = 16
-#: Low bits of the coordinates that may differ; pairs of similarity 0.8 differ in 6.4 on average, by a deviation of 2.4.
-BITS_APART = 20
+BLOCK_ROWS = 4096  # classes of one list that a task compares at once
+BLOCK_SETS = 256  # full sets of one component that a task holds at once
 #: Collisions that make a first pair; pairs with fewer wait for the second round.
 FIRST_HITS = 3
 #: So many ids (8 bytes each) are sent to the readers of the texts; beyond it the join is shuffled.
@@ -52,7 +53,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     out = np.full(len(name) - width + 1, np.uint64(width))
     for k in range(width):
         out = mixed(out + name[k : len(name) - width + 1 + k])
-    return np.unique(out)
+    return distinct(out)
 
 
 _RANDOM = np.random.default_rng(20240229)
@@ -73,7 +74,7 @@ def set_key(names: bytes) -> bytes:
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature, bits) of every row, from its whole text."""
+    """(doc_id, n_shingles, set_key, signature) of every row, from its whole text."""
     bound_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,12 +82,10 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 names = shingle_set(text, words) if isinstance(text, str) else np.zeros(0, np.uint64)
-                own = signature(names)
-                bits = np.packbits((own & 1).astype(np.uint8)).view(">i8")[0]
-                out.append((doc_id, len(names), set_key(names.tobytes()), own.tobytes(), bits))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature", "bits"])
+                out.append((doc_id, len(names), set_key(names.tobytes()), signature(names).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary, bits long")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def _tokens(signatures: pd.Series) -> np.ndarray:
@@ -139,11 +138,10 @@ def retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(count, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets meet the similarity. `pairs` is read often."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    ids = settled(classes.join(ids, "class_id", "left_semi").select(F.col("class_id").alias("doc_id"), "set_key"))
-    asked = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, names) of the classes in `ids` (id, distinct), from the texts that stand for them."""
+    asked = settled(classes.join(ids.withColumnRenamed("id", "class_id"), "class_id", "left_semi").select(F.col("class_id").alias("doc_id"), "set_key"))
+    found = docs.select("doc_id", "text").join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "doc_id")
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -152,6 +150,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
             own = [set_key(x) == key for x, key in zip(sets, b["set_key"], strict=True)]
             yield pd.DataFrame({"id": b["doc_id"], "names": sets})[own]
 
+    return found.mapInPandas(names, "id long, names binary")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets meet the similarity."""
+
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fit = []
@@ -161,7 +165,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
                 fit.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.loc[fit, ["a", "b"]]
 
-    sets = asked.mapInPandas(names, "id long, names binary")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, docs, words)
     full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return full.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long").distinct()
 
@@ -180,34 +184,142 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _near(percent: int):
-    """Sizes n, m and coordinate bits p, q that allow the similarity."""
-    sizes = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    return sizes & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= BITS_APART)
-
-
-def first_pairs(posts: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def first_pairs(posts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class with the head of a list, the one it meets in most lists."""
     hits = posts.where("class_id <> first").groupBy(F.col("first").alias("a"), F.col("class_id").alias("b")).agg(F.count("*").alias("hits"))
-    near = hits.where(F.col("hits") >= FIRST_HITS).join(sketches.toDF("a", "n", "p"), "a").join(sketches.toDF("b", "m", "q"), "b").where(_near(percent))
+    near = hits.where(F.col("hits") >= FIRST_HITS).join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+    near = near.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     return near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def remaining_pairs(posts: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of different components that share a list and are near.
+def _sketch(signatures: pd.Series) -> list[bytes]:
+    """Four bits of each coordinate: what agrees in a signature agrees in them."""
+    low = (np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES) & 15).astype(np.uint8)
+    return [r.tobytes() for r in low[:, ::2] | low[:, 1::2] << 4]
+
+
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    apart = x ^ y
+    return ((apart & 15) == 0).sum(-1, dtype=np.int32) + ((apart & 240) == 0).sum(-1, dtype=np.int32)
+
+
+def _crossed(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists with n outer and m inner rows, laid end to end: the places of every (outer, inner) of a list."""
+    pairs = n * m
+    own = np.repeat(np.arange(len(n)), pairs)
+    inside = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    return (np.cumsum(n) - n)[own] + inside // m[own], (np.cumsum(m) - m)[own] + inside % m[own]
+
+
+def remaining_meetings(posts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(id, component): classes that share a list with one of another component and agree with it.
 
     Lists within one component are done. In the others the classes outside the list's main
-    component meet all of its classes; of any two components one is outside the main one.
+    component meet all of its classes; of any two components one is outside the main one. Long
+    lists are cut into blocks of either side.
     """
+
+    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"class_id": b["class_id"], "n": b["n_shingles"].astype("int32"), "sketch": _sketch(b["signature"]) if len(b) else []})
+
+    small = classes.select("class_id", "n_shingles", "signature").mapInPandas(sketches, "class_id long, n int, sketch binary")
     placed = posts.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "token", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
-    lists = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = settled(placed.join(lists.select("token", "main"), "token").join(sketches.toDF("class_id", "n", "p"), "class_id"))
-    every = rows.select("token", F.col("class_id").alias("y"), F.col("component").alias("other"), F.col("n").alias("m"), F.col("p").alias("q"))
-    met = rows.where("component <> main").join(every, "token").where((F.col("component") != F.col("other")) & _near(percent))
-    return met.select(F.least("class_id", "y").alias("a"), F.greatest("class_id", "y").alias("b")).distinct()
+    lists = parts.groupBy("token").agg(F.max_by("component", "n").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    lists = lists.select("token", "main", blocks(F.col("all")).alias("in_blocks"), blocks(F.col("all") - F.col("most")).alias("out_blocks"))
+    rows = placed.join(lists, "token").join(small, "class_id").withColumn("outside", F.col("component") != F.col("main"))
+    one = (F.col("in_blocks") == 1) & (F.col("out_blocks") == 1)
+    at = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    row = F.struct("class_id", "component", "n", "sketch")
+    whole = rows.where(one).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), row.alias("row"), F.col("outside").alias("outer"), F.lit(True).alias("inner"))
+    inner = rows.where(~one).select("token", each("out_blocks").alias("i"), at("in_blocks").alias("j"), row.alias("row"), F.lit(False).alias("outer"), F.lit(True).alias("inner"))
+    outer = rows.where(~one & F.col("outside")).select("token", at("out_blocks").alias("i"), each("in_blocks").alias("j"), row.alias("row"), F.lit(True).alias("outer"), F.lit(False).alias("inner"))
+    cells = whole.union(inner).union(outer).groupBy("token", "i", "j").agg(
+        F.collect_list(F.when(F.col("outer"), F.col("row"))).alias("x"), F.collect_list(F.when(F.col("inner"), F.col("row"))).alias("y")
+    )
+    fields = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "xy" for f in ("class_id", "component", "n", "sketch")]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def met(b: pd.DataFrame, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+            flat = lambda c: np.concatenate(b[c].to_numpy())
+            table = lambda c: np.frombuffer(b"".join(flat(c)), np.uint8).reshape(-1, COORDINATES // 2)
+            x, y = _crossed(n, m)
+            xp, yp, xn, yn = flat("x_component")[x], flat("y_component")[y], flat("x_n")[x], flat("y_n")[y]
+            fit = (xp != yp) & (100 * np.minimum(xn, yn).astype(np.int64) >= percent * np.maximum(xn, yn).astype(np.int64))
+            x, y = x[fit], y[fit]
+            fit = _agreeing(table("x_sketch")[x], table("y_sketch")[y]) >= MATCHES
+            return np.unique(np.column_stack([flat("x_class_id")[x[fit]], flat("y_component")[y[fit]]]), axis=0)
+
+        for b in batches:
+            n, m = b["x_n"].map(len).to_numpy(np.int64), b["y_n"].map(len).to_numpy(np.int64)
+            group = np.cumsum(n * m) // (1 << 18)  # so many pairs at once, or one list's rows against one row
+            found = [np.zeros((0, 2), np.int64)]
+            for g in np.unique(group):
+                own = group == g
+                if (n * m)[own].sum() <= 1 << 20:
+                    found.append(met(b[own], n[own], m[own]))
+                    continue
+                for k in np.flatnonzero(own):
+                    for a in range(0, n[k], max(1, (1 << 18) // m[k])):
+                        part = b.iloc[[k]].copy()
+                        for c in ("x_class_id", "x_component", "x_n", "x_sketch"):
+                            part[c] = [b[c].iloc[k][a : a + max(1, (1 << 18) // m[k])]]
+                        found.append(met(part, part["x_n"].map(len).to_numpy(np.int64), m[[k]]))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pd.DataFrame({"id": pairs[:, 0], "component": pairs[:, 1]})
+
+    return cells.where(F.size("x") > 0).select(*fields).mapInPandas(compare, "id long, component long").distinct()
+
+
+def linked_members(meetings: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): for each (id, component) one link on full sets with each block of its members, where there is one.
+
+    A block's members come first in its task, then the classes that meet them, one by one.
+    """
+    asked = meetings.select("component").distinct()
+    alone = asked.join(labels, asked.component == labels.component, "left_anti").select(F.col("component").alias("id"), "component")
+    members = labels.join(asked, "component", "left_semi").select("id", "component").unionByName(alone)
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    held = members.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
+    asking = meetings.join(sizes, "component").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    rows = settled(held.union(asking))
+    sets = full_sets(rows.select("id").distinct(), classes, docs, words)
+    dealt = rows.join(sets, "id").repartition("component", "block").sortWithinPartitions("component", "block", "side", "id")
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, held, index = None, [], [], None
+        for b in batches:
+            found = []
+            for component, block, side, i, names in zip(b["component"], b["block"], b["side"], b["id"], b["names"], strict=True):
+                if (component, block) != key:
+                    key, ids, held, index = (component, block), [], [], None
+                names = np.frombuffer(names, np.uint64)
+                if side == 0:
+                    ids.append(i)
+                    held.append(names)
+                    continue
+                if index is None and held:
+                    distinct, inverse = np.unique(np.concatenate(held), return_inverse=True)
+                    sizes = np.array([len(h) for h in held])
+                    index = distinct, inverse, sizes, np.cumsum(sizes) - sizes
+                if index is None:
+                    continue
+                distinct, inverse, sizes, starts = index
+                place = np.minimum(np.searchsorted(distinct, names), len(distinct) - 1)
+                known = np.zeros(len(distinct), np.int64)
+                known[place[distinct[place] == names]] = 1
+                both = np.add.reduceat(known[inverse], starts)
+                fit = np.flatnonzero(100 * both >= percent * (sizes + len(names) - both))
+                if len(fit):
+                    found.append((min(i, ids[fit[0]]), max(i, ids[fit[0]])))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.select("component", "block", "side", "id", "names").mapInPandas(hold, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -220,15 +332,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     percent = round(100 * similarity)
     rows = settled(document_sets(docs, words))
     whole = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles")
-    classes = settled(whole.agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.min("bits").alias("bits")))
+    classes = settled(whole.agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature")))
     # Sets that can differ and still be similar: one name more or less must be within the limit.
     open_classes = classes.where((F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100)
     posts = settled(postings(open_classes))
-    sketches = open_classes.select("class_id", F.col("n_shingles").alias("n"), F.col("bits").alias("p"))
-    pairs = settled(retained(first_pairs(posts, sketches, percent), open_classes))
+    pairs = settled(retained(first_pairs(posts, open_classes.select("class_id", "n_shingles"), percent), open_classes))
     links = settled(confirmed(pairs, open_classes, docs, words, percent))
-    rest = settled(retained(remaining_pairs(posts, sketches, components(links), percent), open_classes))
-    links = settled(links.union(confirmed(rest, open_classes, docs, words, percent)))
+    labels = components(links)
+    meetings = settled(remaining_meetings(posts, open_classes, labels, percent))
+    links = settled(links.union(linked_members(meetings, labels, open_classes, docs, words, percent)))
     labels = components(links)
     grouped = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "n_shingles", F.coalesce("component", "class_id").alias("_component")
