@@ -4,7 +4,7 @@ Passages of PASSAGE words are rows of a TF-IDF matrix whose columns are the benc
 (no other word can add to a product with a benchmark item). Its leading right singular vectors
 come from a randomised single-pass decomposition: executors add up A'(A W) for a fixed random
 W over all passages, and the driver factors that bounded matrix. Windows of three lengths and
-the items are projected, scaled by the singular values, and held against each other by cosine;
+the items are projected and held against each other by cosine;
 what is close enough is decided on the words: the longest common subsequence of item and
 region, and for middling ones whether the item's answer, its closing words, is there too.
 """
@@ -12,7 +12,7 @@ region, and for middling ones whether the item's answer, its closing words, is t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, table
-from .hashing import word_names
+from .hashing import distinct, word_names
 
 PASSAGE = 32
 RANK, EXTRA = 64, 8
 MAX_COLUMNS = 1 << 16
 BLOCK = 8  # words; windows are whole blocks
 WINDOWS = (16, 32, 64)  # words; an item is sought in windows of about its length
-COSINE = 0.4
+COSINE = 0.65
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 5
+#: Words in more than this share of the passages have no column, unless they are among the rarest of an item.
+COMMON_SHARE, RAREST = 0.1, 5
 BLOCK_ITEMS = 20_000  # items held by a task at once; more are searched in turns
 SLICE_BYTES = 1 << 20
 
@@ -65,7 +67,7 @@ def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[Slice]:
         for i, t in zip(b["doc_id"], b["text"], strict=True):
             if isinstance(t, str) and t:
                 ids.append(i)
-                texts.append(t.encode("utf-8", "surrogatepass").lower())
+                texts.append(t.lower().encode("utf-8", "surrogatepass"))
                 held += len(texts[-1])
                 if held > SLICE_BYTES:
                     yield made(ids, texts)
@@ -82,19 +84,25 @@ class Items:
     words: list[np.ndarray]
     vocabulary: np.ndarray  # sorted names
     table: np.ndarray  # low bits of a name -> place in the vocabulary
+    active: np.ndarray  # columns that take part
 
     def columns(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words are in the vocabulary, and their columns."""
         at = self.table[(names & np.uint64(len(self.table) - 1)).astype(np.int64)]
+        clash = np.flatnonzero(at < 0)
+        at[clash] = np.minimum(np.searchsorted(self.vocabulary, names[clash]), len(self.vocabulary) - 1)
         known = np.flatnonzero(self.vocabulary[at] == names)
-        rest = np.flatnonzero((at < 0) & (names == names)) if (self.table == -1).any() else np.zeros(0, np.int64)
-        if len(rest):
-            place = np.minimum(np.searchsorted(self.vocabulary, names[rest]), len(self.vocabulary) - 1)
-            found = self.vocabulary[place] == names[rest]
-            at = at.copy()
-            at[rest] = place
-            known = np.union1d(np.setdiff1d(known, rest), rest[found])
-        return known, (at[known] % MAX_COLUMNS).astype(np.uint16)
+        column = (at[known] % MAX_COLUMNS).astype(np.uint16)
+        fit = self.active[column]
+        return known[fit], column[fit]
+
+    def without_common(self, held: np.ndarray, passages: int) -> Items:
+        """The same items without the columns of common words."""
+        keep = held <= COMMON_SHARE * passages
+        for w in self.words:
+            own = distinct(self.columns(w)[1])
+            keep[own[np.argsort(held[own], kind="stable")[:RAREST]]] = True
+        return replace(self, active=keep)
 
     @property
     def width(self) -> int:
@@ -105,7 +113,7 @@ def prepare_items(rows: list[tuple[int, str]]) -> Items:
     """Items with at least MIN_WORDS words. Where low bits clash, the table says -1 and a search decides."""
     ids, words = [], []
     for i, text in rows:
-        names = word_names(np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8), _IN_WORD)[0]
+        names = word_names(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8), _IN_WORD)[0]
         if i is not None and len(names) >= MIN_WORDS:
             ids.append(i)
             words.append(names)
@@ -115,7 +123,7 @@ def prepare_items(rows: list[tuple[int, str]]) -> Items:
     lookup = np.zeros(size, np.int64)
     lookup[slot] = np.arange(len(vocabulary))
     lookup[np.flatnonzero(np.bincount(slot, minlength=size) > 1)] = -1
-    return Items(ids, words, vocabulary, lookup)
+    return Items(ids, words, vocabulary, lookup, np.ones(max(1, min(len(vocabulary), MAX_COLUMNS)), bool))
 
 
 def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -126,7 +134,7 @@ def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         for s in sliced(batches):
             passage, first = s.blocks(PASSAGE)
             known, column = items.columns(s.names)
-            once = np.unique(passage[known] * items.width + column)
+            once = distinct(passage[known] * items.width + column)
             total[:-1] += np.bincount(once % items.width, minlength=items.width)
             total[-1] += first[-1]
         at = np.flatnonzero(total)
@@ -149,17 +157,18 @@ def _products(column: np.ndarray, passage: np.ndarray, weight: np.ndarray, start
     if not len(column):
         return
     lifted = start * weight[:, None]
-    distinct, y = _sums(lifted[column], passage)
-    own = np.searchsorted(distinct, passage)
+    rows, y = _sums(lifted[column], passage)
+    own = np.searchsorted(rows, passage)
     order = np.argsort(column, kind="stable")
     names, g = _sums(y[own[order]], column[order].astype(np.int64))
     into[names] += g * weight[names, None]
 
 
 def decompose(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
-    """(columns, RANK): right singular vectors over singular values, by a single-pass Nystrom sketch.
+    """(columns, RANK): the leading right singular vectors, by a single-pass Nystrom sketch.
 
-    The benchmark's own passages take part with as much weight as the whole corpus.
+    They are not scaled by the singular values: that gives weak directions a say in which an
+    edited passage and its item differ. The benchmark's own passages take part with as much weight as the whole corpus.
     """
     width = RANK + EXTRA
     start = np.random.default_rng(7).standard_normal((items.width, width)).astype(np.float32)
@@ -184,7 +193,8 @@ def decompose(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
         g[r.part : r.part + step] = np.frombuffer(r.data, np.float64).reshape(-1, width)
     own = np.zeros((items.width, width), np.float32)
     for i, w in enumerate(items.words):
-        _products(items.columns(w)[1], np.full(len(w), i), weight, start, own)
+        column = items.columns(w)[1]
+        _products(column, np.full(len(column), i), weight, start, own)
     start = start.astype(np.float64)
     g += own * (np.abs(np.sum(start * g)) / max(np.abs(np.sum(start * own)), 1e-9) if g.any() else 1.0)
     shift = 1e-9 * max(np.linalg.norm(g), 1e-9)
@@ -194,7 +204,7 @@ def decompose(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
     good = values > values.max() * 1e-10
     u, s, _ = np.linalg.svd(g @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
     keep = s > s.max(initial=0) * 1e-6
-    return (u / np.maximum(s, 1e-12))[:, keep][:, :RANK]
+    return u[:, keep][:, :RANK]
 
 
 def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
@@ -225,8 +235,11 @@ def _search(items: Items, projection: np.ndarray):
             found = []
             known, column = items.columns(s.names)
             block, first = s.blocks(BLOCK)
-            total = np.concatenate([np.zeros((1, projection.shape[1])), np.cumsum(projection[column], axis=0, dtype=np.float64)])
-            cuts = total[np.searchsorted(block[known], np.arange(first[-1] + 1))]
+            sums = np.zeros((first[-1] + 1, projection.shape[1]))
+            if len(column):
+                filled, sums_of = _sums(projection[column], block[known])
+                sums[filled + 1] = sums_of
+            cuts = np.cumsum(sums, axis=0)
             owner = np.repeat(np.arange(len(s.ids)), np.diff(first))
             number = np.arange(first[-1]) - first[owner]
             for k, window in enumerate(WINDOWS):
@@ -277,6 +290,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         held, passages = passage_counts(texts, items)
         weight = np.log((passages + 1) / (held + 1)) + 1e-3
+        items = items.without_common(held, passages)
         part = texts.mapInPandas(_search(items, decompose(texts, items, weight) * weight[:, None]), "doc_id long, item_id long, similarity double, answer boolean")
         found = part if found is None else found.union(part)
     if found is None:
