@@ -4,11 +4,12 @@ Documents with equal shingle sets are one class, so copies are joined once. Each
 its signature under (coordinate, value) tokens. Classes that agree in at least MATCHES of the
 COORDINATES share one of any COORDINATES - MATCHES + 1 tokens, so only the rarest tokens are
 posted, and lists of one class are skipped. Each class is first held against the first class of
-its lists that it collides with most; the links found join most of a large group. Then only
-lists whose classes still lie in different components are compared, outsiders of the list's
-main component against all of it, and what is passed on is not pairs but (class, component).
-Every link is confirmed on the full sets: there, the members of a component stand in blocks,
-and each class held against a block gives one link at most.
+its lists that it collides with most; pairs whose signatures agree make families, and those
+that the full sets confirm make components, which hold most of a large group. Then the classes
+outside a family's main component meet all of the family, and lists that touch several families
+are compared, outsiders of the list's main family against all of it; what is passed on is not
+pairs but (class, family). The members of a family stand in blocks of full sets, and a class
+held against a block gives one link for each component at most.
 """
 
 from __future__ import annotations
@@ -212,7 +213,7 @@ def _crossed(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remaining_meetings(posts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(id, component): classes that share a list with one of another component and agree with it.
+    """(id, component): classes that share a list with one of another component of `labels` and agree with it.
 
     Lists within one component are done. In the others the classes outside the list's main
     component meet all of its classes; of any two components one is outside the main one. Long
@@ -276,50 +277,58 @@ def remaining_meetings(posts: DataFrame, classes: DataFrame, labels: DataFrame,
     return cells.where(F.size("x") > 0).select(*fields).mapInPandas(compare, "id long, component long").distinct()
 
 
-def linked_members(meetings: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): for each (id, component) one link on full sets with each block of its members, where there is one.
+def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links on full sets of the classes in `asking` (id, group) with the members (id, group) of the group.
 
-    A block's members come first in its task, then the classes that meet them, one by one.
+    Members of the asking class' own component (`labels`) are passed over; of each other one
+    a block gives one link. A block's members come first in its task, then the askers, one by one.
     """
-    asked = meetings.select("component").distinct()
-    alone = asked.join(labels, asked.component == labels.component, "left_anti").select(F.col("component").alias("id"), "component")
-    members = labels.join(asked, "component", "left_semi").select("id", "component").unionByName(alone)
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    held = members.join(sizes, "component").select("id", "component", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
-    asking = meetings.join(sizes, "component").select("id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
-    rows = settled(held.union(asking))
+    members = members.join(asking.select("group").distinct(), "group", "left_semi")
+    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    held = members.join(sizes, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
+    ask = asking.join(sizes, "group").select("id", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
+    rows = held.union(ask).join(labels, "id", "left").select("id", "group", "block", "side", F.coalesce("component", "id").alias("part"))
+    rows = settled(rows)
     sets = full_sets(rows.select("id").distinct(), classes, docs, words)
-    dealt = rows.join(sets, "id").repartition("component", "block").sortWithinPartitions("component", "block", "side", "id")
+    dealt = rows.join(sets, "id").repartition("group", "block").sortWithinPartitions("group", "block", "side", "id")
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, held, index = None, [], [], None
+        key, ids, parts, held, index = None, [], [], [], None
         for b in batches:
             found = []
-            for component, block, side, i, names in zip(b["component"], b["block"], b["side"], b["id"], b["names"], strict=True):
-                if (component, block) != key:
-                    key, ids, held, index = (component, block), [], [], None
+            for group, block, side, i, part, names in zip(b["group"], b["block"], b["side"], b["id"], b["part"], b["names"], strict=True):
+                if (group, block) != key:
+                    key, ids, parts, held, index = (group, block), [], [], [], None
                 names = np.frombuffer(names, np.uint64)
                 if side == 0:
                     ids.append(i)
+                    parts.append(part)
                     held.append(names)
                     continue
-                if index is None and held:
-                    distinct, inverse = np.unique(np.concatenate(held), return_inverse=True)
-                    sizes = np.array([len(h) for h in held])
-                    index = distinct, inverse, sizes, np.cumsum(sizes) - sizes
-                if index is None:
+                if not held:
                     continue
-                distinct, inverse, sizes, starts = index
-                place = np.minimum(np.searchsorted(distinct, names), len(distinct) - 1)
-                known = np.zeros(len(distinct), np.int64)
-                known[place[distinct[place] == names]] = 1
-                both = np.add.reduceat(known[inverse], starts)
-                fit = np.flatnonzero(100 * both >= percent * (sizes + len(names) - both))
-                if len(fit):
-                    found.append((min(i, ids[fit[0]]), max(i, ids[fit[0]])))
+                if index is None:
+                    known, inverse = np.unique(np.concatenate(held), return_inverse=True)
+                    sizes = np.array([len(h) for h in held])
+                    index = known, inverse, sizes, np.cumsum(sizes) - sizes, np.array(parts)
+                known, inverse, sizes, starts, part_of = index
+                place = np.minimum(np.searchsorted(known, names), len(known) - 1)
+                shared = np.zeros(len(known), np.int64)
+                shared[place[known[place] == names]] = 1
+                both = np.add.reduceat(shared[inverse], starts)
+                fit = np.flatnonzero((100 * both >= percent * (sizes + len(names) - both)) & (part_of != part))
+                for k in fit[np.unique(part_of[fit], return_index=True)[1]]:
+                    found.append((min(i, ids[k]), max(i, ids[k])))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.select("component", "block", "side", "id", "names").mapInPandas(hold, "a long, b long").distinct()
+    return dealt.select("group", "block", "side", "id", "part", "names").mapInPandas(hold, "a long, b long").distinct()
+
+
+def outside_main(families: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, group): the classes of each family that its largest component does not hold."""
+    placed = families.join(labels.withColumnRenamed("component", "part"), "id", "left").select("id", F.col("component").alias("group"), F.coalesce("part", "id").alias("part"))
+    main = placed.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", "n").alias("main"))
+    return placed.join(main, "group").where("part <> main").select("id", "group")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -337,10 +346,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     open_classes = classes.where((F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100)
     posts = settled(postings(open_classes))
     pairs = settled(retained(first_pairs(posts, open_classes.select("class_id", "n_shingles"), percent), open_classes))
+    families = components(pairs)
     links = settled(confirmed(pairs, open_classes, docs, words, percent))
     labels = components(links)
-    meetings = settled(remaining_meetings(posts, open_classes, labels, percent))
-    links = settled(links.union(linked_members(meetings, labels, open_classes, docs, words, percent)))
+    inside = group_links(settled(outside_main(families, labels)), families.withColumnRenamed("component", "group"), labels, open_classes, docs, words, percent)
+    meetings = settled(remaining_meetings(posts, open_classes, families, percent)).withColumnRenamed("component", "group")
+    alone = meetings.select(F.col("group").alias("id"), "group").distinct().join(families, "id", "left_anti")
+    everyone = families.withColumnRenamed("component", "group").unionByName(alone)
+    across = group_links(meetings, everyone, labels, open_classes, docs, words, percent)
+    links = settled(links.union(inside).union(across))
     labels = components(links)
     grouped = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "n_shingles", F.coalesce("component", "class_id").alias("_component")
