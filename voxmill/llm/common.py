@@ -43,7 +43,9 @@ def release(spark: SparkSession) -> None:
     collection frees makes the shuffles themselves unreachable, which the second one finds.
     """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def held_out_bucket(doc_id: str | Column, modulus: int) -> Column:
