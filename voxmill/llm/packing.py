@@ -23,7 +23,7 @@ from .common import bound_batches, running_totals, settled, table
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 JOINED_WORDS = 4000
 #: A space before a visible character always starts a new pre-token of byte-level BPE; other
 #: shapes of white space next to a space do not, so texts with those are encoded whole.
@@ -42,6 +42,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.marks = {m: np.array(self._encode(m).ids, "<u4").tobytes() for m in ".,;:!?"}
 
     def _encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -60,14 +61,19 @@ class Encoder:
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        new: set[str] = set()
+        unseen: set[str] = set()
         for words in split:
             if words:
-                new.update([w for w in words[1:] if w not in cache])
+                unseen.update([w for w in words[1:] if w not in cache])
+        # Letters and a mark after them are pre-tokens of their own, so the word is learned without it.
+        marked = [w for w in unseen if w[-1] in self.marks and w[-2:-1].isalpha()]
+        new = unseen.difference(marked)
+        new.update([b for w in marked if (b := w[:-1]) not in cache])
         # A text's first word has no space before it, so it is not shared with the others.
-        self._learn([" " + w for w in new if w])
+        self._learn([" " + w for w in new])
         for w in new:
             cache[w] = cache.pop(" " + w)
+        cache.update([(w, cache[w[:-1]] + self.marks[w[-1]]) for w in marked])
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:
