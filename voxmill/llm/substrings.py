@@ -36,7 +36,7 @@ from .hashing import distinct
 WINDOW = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 NAMED = 27
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 PIECE = PERIOD * 50_000
 _LAST = (1 << 63) - 1
