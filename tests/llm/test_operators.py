@@ -285,6 +285,44 @@ def test_decontamination_odd(spark):
     assert decontamination.benchmark_leaks(odd(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_among_benchmark_words(spark):
+    """Copies, exact and with inner words replaced, at any offset of texts that use the benchmark's own words."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(4, 8))) for _ in range(400)]
+    items = {k: rng.sample(pool, rng.randint(5, 12 if k < 60 else 40)) for k in range(100)}
+    rows, planted = [], set()
+    for k, words in items.items():
+        for way in range(4):
+            end = max(3, len(words) // 5) if len(words) < 15 else 5
+            copy = [rng.choice(pool) if way % 2 and j < len(words) - end and rng.random() < 0.2 else w for j, w in enumerate(words)]
+            copied = decontamination.common_subsequence(np.array([pool.index(w) for w in words]), np.array([pool.index(w) for w in copy])) / len(words)
+            host = rng.choices(pool, k=rng.randint(40, 120))
+            at = rng.randint(0, len(host))
+            rows.append((10 * k + way, " ".join(host[:at] + copy + host[at:])))
+            if copied >= decontamination.SURE:
+                planted.add((10 * k + way, k))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.benchmark_leaks(docs, bench).collect()}
+    assert len(planted) > 250 and planted <= got and len(got - planted) < 40
+
+
+def test_subsequences_together():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 30, n)) for n in (5, 20, 63, 64, 65, 90)]
+    items = decontamination.prepare_items(list(enumerate(texts)))
+    group = decontamination.Group(items, np.arange(len(texts)))
+    names = rng.choice(np.concatenate([items.vocabulary, np.arange(9, dtype=np.uint64)]), 200)
+    known, place = items.places(names)
+    at = np.full(len(names) + 1, -1)
+    at[known] = place
+    item, start = rng.integers(0, len(texts), 100), rng.integers(0, 200, 100)
+    end = np.minimum(start + rng.integers(0, 120, 100), 200)
+    for last in (group.lengths[item], group.closing[item]):
+        got = group.subsequences(item, start, end, at, names, last)
+        assert got.tolist() == [decontamination.common_subsequence(items.words[i][-k:], names[a:b]) for i, a, b, k in zip(item, start, end, last, strict=True)]
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(200):

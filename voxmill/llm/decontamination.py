@@ -7,6 +7,7 @@ W over all passages, and the driver factors that bounded matrix. Windows of thre
 the items are projected and held against each other by cosine;
 what is close enough is decided on the words: the longest common subsequence of item and
 region, and for middling ones whether the item's answer, its closing words, is there too.
+The cosine is a loose gate; a bound on the subsequence from counts of words keeps the checks few.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ RANK, EXTRA = 64, 8
 MAX_COLUMNS = 1 << 16
 BLOCK = 8  # words; windows are whole blocks
 WINDOWS = (16, 32, 64)  # words; an item is sought in windows of about its length
-COSINE = 0.65
+COSINE = 0.3
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 5
 #: Words in more than this share of the passages have no column, unless they are among the rarest of an item.
 COMMON_SHARE, RAREST = 0.1, 5
 BLOCK_ITEMS = 20_000  # items held by a task at once; more are searched in turns
+GROUP = 128  # items held against a slice at once
+CHECKED = 1 << 16  # candidates checked at once
 SLICE_BYTES = 1 << 20
 
 _IN_WORD = np.zeros(256, bool)
@@ -86,13 +89,18 @@ class Items:
     table: np.ndarray  # low bits of a name -> place in the vocabulary
     active: np.ndarray  # columns that take part
 
-    def columns(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words are in the vocabulary, and their columns."""
+    def places(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are in the vocabulary, and their places in it."""
         at = self.table[(names & np.uint64(len(self.table) - 1)).astype(np.int64)]
         clash = np.flatnonzero(at < 0)
         at[clash] = np.minimum(np.searchsorted(self.vocabulary, names[clash]), len(self.vocabulary) - 1)
         known = np.flatnonzero(self.vocabulary[at] == names)
-        column = (at[known] % MAX_COLUMNS).astype(np.uint16)
+        return known, at[known]
+
+    def columns(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a column that takes part, and their columns."""
+        known, at = self.places(names)
+        column = (at % MAX_COLUMNS).astype(np.uint16)
         fit = self.active[column]
         return known[fit], column[fit]
 
@@ -221,51 +229,124 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - rows.bit_count()
 
 
+_KINDS = np.array([(x & 15) + (x >> 4 << 16) for x in range(256)], np.uint32)
+
+
+class Group:
+    """Some items of a block, held against a slice together.
+
+    Their words are of two kinds, with a column that takes part (rare) and without (common). A common
+    subsequence is no longer than the sum over the kinds of the smaller of the item's and the region's count.
+    """
+
+    def __init__(self, items: Items, chosen: np.ndarray):
+        self.chosen = chosen
+        self.words = [items.words[q] for q in chosen]
+        self.lengths = np.array([len(w) for w in self.words])
+        placed = [items.places(w)[1] for w in self.words]
+        self.vocabulary = np.unique(np.concatenate(placed))
+        self.rare = items.active[self.vocabulary % MAX_COLUMNS]
+        self.held = np.zeros((len(self.vocabulary) + 1, len(chosen)), np.uint8)  # 1: common, 16: rare
+        self.masks = np.zeros((len(chosen), len(self.vocabulary) + 1), np.uint64)  # the last: words of no item
+        self.own = np.zeros((2, len(chosen)), np.int64)
+        for i, at in enumerate(placed):
+            at = np.searchsorted(self.vocabulary, at)
+            self.held[at, i] = np.where(self.rare[at], 16, 1)
+            self.own[:, i] = np.sum(~self.rare[at]), np.sum(self.rare[at])
+            if len(at) <= 64:
+                np.bitwise_or.at(self.masks[i], at, np.uint64(1) << np.arange(len(at), dtype=np.uint64))
+        self.closing = np.maximum(3, self.lengths // 5)
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """Words of each item before each block, common and (times 65,536) rare, of the BLOCK words of each block by place here or -1."""
+        total = np.zeros((len(words), len(self.chosen)), np.uint8)
+        for column in words.T:
+            total += self.held[column]
+        out = np.zeros((len(words) + 1, len(self.chosen)), np.uint32)
+        np.cumsum(_KINDS[total], axis=0, out=out[1:])
+        return out
+
+    def subsequences(self, item: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, names: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """`common_subsequence` of the `last` words of each item and its region, together; of items over 64 words one by one."""
+        skipped = np.where(self.lengths[item] > 64, 0, self.lengths[item] - last).astype(np.uint64)
+        rows = np.full(len(item), ~np.uint64(0))
+        for step in range(int((end - start).max(initial=0))):
+            where = start + step
+            m = self.masks[item, np.where(where < end, at[np.minimum(where, len(names))], -1)] >> skipped
+            u = rows & m
+            rows = (rows + u) | (rows - u)
+        out = np.bitwise_count(~rows).astype(np.int64)
+        for k in np.flatnonzero(self.lengths[item] > 64):
+            out[k] = common_subsequence(self.words[item[k]][-last[k] :], names[start[k] : end[k]])
+        return out
+
+
 def _search(items: Items, projection: np.ndarray):
     projection = projection.astype(np.float32)
     latent = np.array([projection[items.columns(w)[1]].sum(0) for w in items.words]).reshape(len(items.words), -1)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     lengths = np.array([len(w) for w in items.words])
     kind = np.abs(np.log(lengths[:, None] / np.array(WINDOWS))).argmin(1)
-    sets = [np.unique(w) for w in items.words]
-    answers = [w[-max(3, len(w) // 5) :] for w in items.words]
+
+    def candidates(s: Slice, group: Group, asked: np.ndarray, z: np.ndarray, window: int, owner: np.ndarray, first: np.ndarray, counts: np.ndarray):
+        """Items (by place in the group) and regions that may hold a common subsequence of LIKELY of the item."""
+        at, i = np.nonzero(z @ latent[group.chosen[asked]].T >= COSINE)
+        i = asked[i]
+        size, reach, d = window // BLOCK, group.lengths[i], owner[at]
+        beyond = -(-(reach // 2) // BLOCK)
+        low, high = np.maximum(at - beyond, first[d]), np.minimum(at + size + beyond, first[d + 1])
+        n = counts[high, i] - counts[low, i]
+        bound = np.minimum(group.own[0, i], n & 0xFFFF) + np.minimum(group.own[1, i], n >> 16)
+        fit = np.flatnonzero((bound >= LIKELY * reach) | (reach > 1 << 15))  # counts of longer regions may wrap
+        at, i, d, reach = at[fit], i[fit], d[fit], reach[fit]
+        a = s.bounds[d] + (at - first[d]) * BLOCK
+        return i, d, np.maximum(s.bounds[d], a - reach // 2), np.minimum(s.bounds[d + 1], a + window + reach // 2)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        padded = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
+        groups = [Group(items, np.arange(a, min(a + GROUP, len(items.ids)))) for a in range(0, len(items.ids), GROUP)]
         for s in sliced(batches):
             found = []
-            known, column = items.columns(s.names)
-            block, first = s.blocks(BLOCK)
-            sums = np.zeros((first[-1] + 1, projection.shape[1]))
-            if len(column):
-                filled, sums_of = _sums(projection[column], block[known])
-                sums[filled + 1] = sums_of
-            cuts = np.cumsum(sums, axis=0)
+            _, first = s.blocks(BLOCK)
             owner = np.repeat(np.arange(len(s.ids)), np.diff(first))
-            number = np.arange(first[-1]) - first[owner]
-            for k, window in enumerate(WINDOWS):
-                asked = np.flatnonzero(kind == k)
-                if not len(asked):
-                    continue
-                size = window // BLOCK
-                at = np.flatnonzero(number % (size // 2) == 0)
-                z = (cuts[np.minimum(at + size, first[owner[at] + 1])] - cuts[at]).astype(np.float32)
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-                for row, i in np.argwhere(z @ latent[asked].T >= COSINE):
-                    q = asked[i]
-                    d = owner[at[row]]
-                    a = s.bounds[d] + number[at[row]] * BLOCK
-                    reach = int(lengths[q])
-                    region = s.names[max(s.bounds[d], a - reach // 2) : min(s.bounds[d + 1], a + window + reach // 2)]
-                    place = np.minimum(np.searchsorted(sets[q], region), len(sets[q]) - 1)
-                    region = region[sets[q][place] == region]
-                    if len(region) < LIKELY * reach:
-                        continue
-                    share = common_subsequence(items.words[q], region) / reach
-                    if share < LIKELY:
+            inner = s.bounds[owner] + (np.arange(first[-1]) - first[owner]) * BLOCK
+            inner = inner[:, None] + np.arange(BLOCK)
+            inner[inner >= s.bounds[owner + 1][:, None]] = len(s.names)
+            known, column = items.columns(s.names)
+            word = np.full(len(s.names) + 1, -1)
+            word[known] = column
+            sums = np.zeros((len(inner), projection.shape[1]), np.float32)
+            for w in word[inner].T:
+                sums += padded[w]
+            cuts = np.zeros((len(inner) + 1, projection.shape[1]))
+            np.cumsum(sums, axis=0, dtype=float, out=cuts[1:])
+            latents = []
+            for window in WINDOWS:
+                at = np.arange(first[-1])
+                z = (cuts[np.minimum(at + window // BLOCK, first[owner + 1])] - cuts[at]).astype(np.float32)
+                latents.append(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12))
+            known, place = items.places(s.names)
+            for group in groups:
+                near = np.minimum(np.searchsorted(group.vocabulary, place), len(group.vocabulary) - 1)
+                fit = np.flatnonzero(group.vocabulary[near] == place)
+                word = np.full(len(s.names) + 1, -1)
+                word[known[fit]] = near[fit]
+                counts = group.counts(word[inner])
+                for k, window in enumerate(WINDOWS):
+                    asked = np.flatnonzero(kind[group.chosen] == k)
+                    if not len(asked):
                         continue
-                    answer = common_subsequence(answers[q], region) >= ANSWER * len(answers[q])
-                    if share >= SURE or answer:
-                        found.append((s.ids[d], items.ids[q], share, answer))
+                    i, d, start, end = candidates(s, group, asked, latents[k], window, owner, first, counts)
+                    for a in range(0, len(i), CHECKED):
+                        part = slice(a, a + CHECKED)
+                        near, x, y = i[part], start[part], end[part]
+                        share = group.subsequences(near, x, y, word, s.names, group.lengths[near]) / group.lengths[near]
+                        fit = np.flatnonzero(share >= LIKELY)
+                        near, x, y, share, at = near[fit], x[fit], y[fit], share[fit], d[part][fit]
+                        closing = group.closing[near]
+                        answer = group.subsequences(near, x, y, word, s.names, closing) >= ANSWER * closing
+                        for c in np.flatnonzero((share >= SURE) | answer):
+                            found.append((s.ids[at[c]], items.ids[group.chosen[near[c]]], share[c], answer[c]))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "answer"])
 
     return find
