@@ -266,3 +266,32 @@ def test_sources(spark, tmp_path):
 
 def test_clean_clips_on_an_empty_table(spark):
     assert jobs.clean_clips(flags(spark, [1]).limit(0).select("clip_id", "frame_idx", "energy")).count() == 0
+
+
+def test_error_rates_of_whole_texts(spark, tmp_path):
+    """Characters and words outside ASCII count, against a plain edit distance."""
+    from voxmill.queries import QUERIES
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row = row, [i]
+            for j, y in enumerate(b):
+                row.append(min(row[-1] + 1, left[j + 1] + 1, left[j] + (x != y)))
+        return row[-1]
+
+    turns = {1: ["今天 天气很好", "今天天气 不好", "明天", ""], 2: ["Größe über alles", "Grösse uber alles", "Größe über"], 3: ["a 🙂 b", "a 🙃 b"], 4: ["plain text", "plain test"]}
+    rows = [(c, t, text) for c, texts in turns.items() for t, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: {(r.conv_id, r.turn): r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    chars, words, policy = run("cer_whole"), run("wer"), run("asr_policy_whole")
+    bare = lambda s: "".join(s.split())
+    assert len(chars) == len(words) == len(policy) == 7
+    for c, t, text in rows:
+        if t:
+            ref, status = turns[c][0], {0: "off", 1: "failed"}.get(t % 5, "ok")
+            cer = edits(bare(ref), bare(text)) / len(bare(ref))
+            assert chars[c, t].cer == pytest.approx(cer, abs=1e-6)
+            assert words[c, t].wer == pytest.approx(edits(ref.split(), text.split()) / len(ref.split()), abs=1e-6)
+            assert policy[c, t].neutral == pytest.approx(0.5 if status != "ok" else cer if text else 1, abs=1e-6)
+            assert policy[c, t].nullable == (pytest.approx(cer, abs=1e-6) if status == "ok" and text else None)

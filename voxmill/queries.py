@@ -334,8 +334,10 @@ def _(spark, d):
     return documents(spark, d).select("utt", normalize.normalize_text("text").alias("spoken"))
 
 
-def hypotheses(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("t"))
+def hypotheses(spark: SparkSession, d: str, ascii_only: bool = False) -> DataFrame:
+    """Later turns against the first. `ascii_only` is for the queries held against SQL, whose levenshtein counts bytes."""
+    text = F.regexp_replace("text", r"[^\x00-\x7F]", "") if ascii_only else F.col("text")
+    c = table(spark, d, "conversations").select("conv_id", "turn", text.alias("t"))
     ref = c.where("turn = 0").groupBy("conv_id").agg(F.min("t").alias("ref"))
     return c.where("turn > 0").join(ref, "conv_id").select("conv_id", "turn", "ref", F.col("t").alias("hyp"))
 
@@ -348,6 +350,11 @@ e AS (SELECT *, CASE WHEN length(a) = 0 THEN CASE WHEN length(b) = 0 THEN 0e0 EL
 
 
 @query("cer", f"WITH {HYP} SELECT conv_id, turn, round(cer, 6) AS cer FROM e")
+def _(spark, d):
+    return rounded(hypotheses(spark, d, True).select("conv_id", "turn", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer")))
+
+
+@query("cer_whole")
 def _(spark, d):
     return rounded(hypotheses(spark, d).select("conv_id", "turn", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer")))
 
@@ -358,8 +365,17 @@ _STATUS = "CASE turn % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'failed' ELSE 'ok' END"
 @query("asr_policy", f"""WITH {HYP}, p AS (SELECT *, {_STATUS} AS status FROM e) SELECT conv_id, turn,
   round(CASE WHEN status <> 'ok' THEN 0.5e0 WHEN trim(hyp) = '' THEN 1e0 ELSE cer END, 6) AS neutral, round(CASE WHEN status = 'ok' AND trim(hyp) <> '' THEN cer END, 6) AS nullable FROM p""")
 def _(spark, d):
+    return asr_policy(hypotheses(spark, d, True))
+
+
+@query("asr_policy_whole")
+def _(spark, d):
+    return asr_policy(hypotheses(spark, d))
+
+
+def asr_policy(h: DataFrame) -> DataFrame:
     part = F.pmod("turn", F.lit(5))
-    h = hypotheses(spark, d).withColumn("status", F.when(part == 0, "off").when(part == 1, "failed").otherwise("ok"))
+    h = h.withColumn("status", F.when(part == 0, "off").when(part == 1, "failed").otherwise("ok"))
     h = h.withColumn("cer", metrics.cer(F.col("ref"), F.col("hyp")))
     neutral, nullable = (f(F.col("cer"), F.col("hyp"), F.col("status")) for f in (metrics.asr_error, metrics.asr_error_nullable))
     return rounded(h.select("conv_id", "turn", neutral.alias("neutral"), nullable.alias("nullable")))
