@@ -295,3 +295,23 @@ def test_error_rates_of_whole_texts(spark, tmp_path):
             assert words[c, t].wer == pytest.approx(edits(ref.split(), text.split()) / len(ref.split()), abs=1e-6)
             assert policy[c, t].neutral == pytest.approx(0.5 if status != "ok" else cer if text else 1, abs=1e-6)
             assert policy[c, t].nullable == (pytest.approx(cer, abs=1e-6) if status == "ok" and text else None)
+
+
+def test_clips_of_a_hot_user_stay_bounded(spark, tmp_path, monkeypatch):
+    """No row grows with a user or with the number of users, and the parts hold every sample."""
+    from voxmill import queries
+
+    sizes = {u: 5 + u % 7 for u in range(35)} | {7: 331, 9: 202}
+    rows = [(1000 * u + k, u, k, "view", float((u * 31 + k * 17) % 23)) for u, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    plain = lambda name: sorted(tuple(r) for r in run(name))
+    whole = {name: plain(name) for name in ("frames_rms", "wave_cuts")}
+    assert len(whole["frames_rms"]) == sum(max(1, n - 2) for n in sizes.values())
+    monkeypatch.setattr(queries, "CLIP", 100)
+    assert {name: plain(name) for name in whole} == whole
+    joined = run("wave_joins")
+    assert len(joined) == 4 + 3 and max(r.linear_n for r in joined) <= 10 * 100
+    levels = run("wave_levels")
+    assert max(r.norm_n for r in levels) == 100 and sum(r.norm_n for r in levels) == len(rows)

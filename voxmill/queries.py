@@ -18,6 +18,7 @@ from .plans import jobs
 from .sources import tasks as src
 
 HOP, PAD, SR = 160, 320, 1600
+CLIP = 6000  # samples; the 60 seconds to which the reference trims
 BACKENDS = (("primary", 2), ("clone", 1), ("fallback", 1))
 H, S = text.HARD, text.SOFT
 
@@ -582,11 +583,14 @@ def _(spark, d):
     return jobs.finish_run(tasks, labels(spark, d), cands, completeness.official_outputs(listing(spark, d)))
 
 
-def clips(spark, d):
-    """One clip for each user: its values in order, as samples."""
-    parts = F.sort_array(F.collect_list(F.struct("frame_idx", "energy")))["energy"]
-    rows = frame_rows(spark, d).groupBy("clip_id").agg(parts.alias("v"))
-    return rows.select("clip_id", F.lit(100).alias("sr"), F.transform("v", lambda x: (F.sin(x) * 0.9).cast("float")).alias("samples"))
+def clips(spark, d, overlap: int = 0):
+    """A user's values in order, as samples: clips of at most CLIP, `part` by `part`, so no row grows with a user.
+    With an overlap, a part also holds so many samples of the next."""
+    part, place = F.floor(F.col("frame_idx") / CLIP), F.col("frame_idx") % CLIP
+    both = F.when((place < overlap) & (part > 0), F.array(part - 1, part)).otherwise(F.array(part))
+    rows = frame_rows(spark, d).withColumn("part", F.explode(both) if overlap else part).groupBy("clip_id", "part")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("frame_idx", "energy")))["energy"].alias("v"))
+    return rows.select("clip_id", "part", F.lit(100).alias("sr"), F.transform("v", lambda x: (F.sin(x) * 0.9).cast("float")).alias("samples"))
 
 
 def summary(df: DataFrame, *names: str) -> DataFrame:
@@ -598,7 +602,7 @@ def summary(df: DataFrame, *names: str) -> DataFrame:
 @query("wave_levels")
 def _(spark, d):
     y = F.col("samples")
-    out = clips(spark, d).select("clip_id", waves.rms_gain(y).alias("gain"), waves.rms_normalize(y).alias("norm"), waves.peak_limit(y).alias("limit"), waves.dither(y, F.col("clip_id")).alias("dither"), waves.to_mono(y, F.lit(2)).alias("mono"))
+    out = clips(spark, d).select("clip_id", "part", waves.rms_gain(y).alias("gain"), waves.rms_normalize(y).alias("norm"), waves.peak_limit(y).alias("limit"), waves.dither(y, F.col("clip_id")).alias("dither"), waves.to_mono(y, F.lit(2)).alias("mono"))
     return summary(out, "gain", "norm", "limit", "dither", "mono")
 
 
@@ -606,21 +610,26 @@ def _(spark, d):
   SELECT clip_id, CAST(CASE WHEN n > 50 THEN 50 ELSE n END AS INTEGER) AS trimmed, CAST(CASE WHEN n > 65 THEN n - 65 ELSE n END AS INTEGER) AS headless, n / 100 AS seconds, CASE WHEN n > 65 THEN 65 ELSE 0 END AS cut FROM n""")
 def _(spark, d):
     y, sr = F.col("samples"), F.col("sr")
-    c = clips(spark, d)
-    cut = waves.lookback_cut(F.lit(None).cast("long"), sr, F.lit(5), F.size(y))
-    return c.select("clip_id", F.size(waves.trim_seconds(y, sr, 0.5)).alias("trimmed"), F.size(waves.trim_head_by_chars(y, sr, F.lit(5))).alias("headless"), waves.duration_seconds(y, sr).alias("seconds"), cut.cast("int").alias("cut"))
+    first = F.col("part") == 0  # what goes at the head goes from the first part, which is the longest
+    trimmed = F.when(first, F.size(waves.trim_seconds(y, sr, 0.5)))
+    headless = F.when(first, F.size(waves.trim_head_by_chars(y, sr, F.lit(5)))).otherwise(F.size(y))
+    c = clips(spark, d).select("clip_id", "sr", trimmed.alias("trimmed"), headless.alias("headless"), F.size(y).alias("n"))
+    c = c.groupBy("clip_id", "sr").agg(F.max("trimmed").alias("trimmed"), F.sum("headless").alias("headless"), F.sum("n").alias("n"))
+    cut = waves.lookback_cut(F.lit(None).cast("long"), sr, F.lit(5), F.col("n"))
+    return c.select("clip_id", F.col("trimmed").cast("int").alias("trimmed"), F.col("headless").cast("int").alias("headless"), (F.col("n") / sr).alias("seconds"), cut.cast("int").alias("cut"))
 
 
 @query("wave_fades")
 def _(spark, d):
     y, sr = F.col("samples"), F.col("sr")
-    out = clips(spark, d).select("clip_id", *[waves.fade(y, sr, 100, m).alias(m) for m in ("skip", "half", "third")], waves.tone(F.col("clip_id") % 3 / 2, 400).alias("tone"))
+    out = clips(spark, d).select("clip_id", "part", *[waves.fade(y, sr, 100, m).alias(m) for m in ("skip", "half", "third")], waves.tone(F.col("clip_id") % 3 / 2, 400).alias("tone"))
     return summary(out, "skip", "half", "third", "tone")
 
 
 @query("wave_joins")
 def _(spark, d):
-    rows = clips(spark, d).select((F.col("clip_id") % 10).alias("utt"), F.col("clip_id").alias("pos"), "samples")
+    group = F.concat_ws("-", F.floor(F.col("clip_id") / 10), "part")
+    rows = clips(spark, d).select(group.alias("utt"), F.col("clip_id").alias("pos"), "samples")
     linear = summary(waves.join_linear(rows, 100, 100).withColumnRenamed("samples", "linear"), "linear")
     return linear.join(summary(waves.join_equal_power(rows, 100, 100).withColumnRenamed("samples", "power"), "power"), "utt")
 
@@ -630,9 +639,13 @@ def _(spark, d):
     c = clips(spark, d).withColumn("n", F.size("samples")).where("n > 30")
     before, head = F.slice("samples", 11, 10), F.col("samples")
     cut = waves.align_cut(before, head, F.lit(1), F.lit(20), F.col("sr"), F.col("n"))
-    return c.select("clip_id", "n", cut.alias("cut"))
+    return c.select("clip_id", "part", "n", cut.alias("cut"))
 
 
 @query("frames_rms")
 def _(spark, d):
-    return rounded(fr.frames(clips(spark, d)))
+    reach = 2  # samples in a frame; a last part of no more holds no frame of its own
+    c = clips(spark, d, reach).where((F.col("part") == 0) | (F.size("samples") > reach))
+    found = fr.frames(c.withColumn("clip_id", F.concat_ws(":", "part", "clip_id")))
+    part, clip = (F.get(F.split("clip_id", ":", 2), k).cast("long") for k in (0, 1))
+    return rounded(found.select(clip.alias("clip_id"), (part * CLIP + F.col("frame_idx")).cast("int").alias("frame_idx"), "rms"))
