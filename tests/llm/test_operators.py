@@ -352,6 +352,24 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+STORY = "<p>" + "</p><p>".join(" ".join(f"word{k}{j}" for j in range(30)) for k in range(4)) + "</p>"
+LAYOUTS = [
+    '<body class="single comments-open"><article><h1>Head line</h1>{}</article></body>',
+    '<body class="right-sidebar"><div id=page class="has-sidebar"><h1>Head line</h1>{}</div></body>',
+    '<body><div class="right-sidebar"><div class="post"><h1>Head line</h1>{}</div><div class="sidebar">Side words stand here</div></div></body>',
+    '<body><article class="post has-comments"><header class="article-header"><h1>Head line</h1></header>{}<div class="post-comments"><p>I think so too.</p></div></article></body>',
+    '<body><main class="content-sidebar comments-open"><h1>Head line</h1>{}</main><div id="siteFooter">All rights are kept</div></body>',
+    '<body><div class="wrap with-comments"><div class="entry-header"><h1>Head line</h1></div>{}<section id="comments"><article><p>I think so too.</p></article></section></div></body>',
+    '<body><nav class="main-nav"><a href=/>Home</a></nav><div class="elementor-widget"><h1>Head line</h1></div><div class="elementor-widget-container">{}</div><div class="cookie-banner">We use some of them.</div></body>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layout_words_drop_nothing(spark, layout):
+    got = html.extract_pages(spark.createDataFrame([(1, "u", layout.format(STORY))], "page_id long, url string, html string")).first()
+    assert got.text.split("\n\n") == ["Head line", *STORY[3:-4].split("</p><p>")]
+
+
 def test_html_articles(spark, sf_dir):
     """The text of the article element, found by other means."""
     from html import unescape

@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,24 @@ MARKS = frozenset(
     " respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 TALK = frozenset("comment comments disqus replies respond reviews".split())
+# A token of several words marks where only these words and numbers follow a mark, as in site-footer or comments-area,
+WITHIN = frozenset(
+    "area articles author bar block body bottom box button buttons container content footer group holder inner item items left links list lists meta"
+    " nav outer panel posts primary reply right secondary section slot stories thread title top unit wrap wrapper".split()
+)
+# unless it tells of a state of the page, or names the head of the article; these marks count only alone.
+STATES = frozenset("allow allowed can closed disabled enabled free has have hide is js no not off on open opened show with without".split())
+OWN = frozenset("article content entry page post story title".split())
+ALONE = frozenset("form widget".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(UNSEEN) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[a-zA-Z/!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-_LABEL = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_PART = re.compile(r"[A-Za-z]+")
+_LABEL = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_SIZE = re.compile(r"\d+x\d+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 FEATURES = "words_before links_before words links words_after links_after in_article side page_has_article heading".split()
 
@@ -124,6 +135,22 @@ def block_tree() -> Forest:
     return fit_tree(data[:, :-1], data[:, -1], depth=8)
 
 
+@lru_cache(1 << 14)
+def marked(attrs: str) -> tuple[frozenset, frozenset]:
+    """Marks in class, id and role of a start tag: those that are whole tokens (but for numbers), and those within tokens of several words."""
+    whole, within = set(), set()
+    for token in " ".join(v for found in _LABEL.findall(attrs) for v in found).split():
+        parts = [p.lower() for p in _PART.findall(_SIZE.sub("", token))]
+        if token.lower() in MARKS or (len(parts) == 1 and parts[0] in MARKS):
+            whole.add(token.lower() if token.lower() in MARKS else parts[0])
+        elif not STATES & set(parts):
+            last = max((k for k, p in enumerate(parts) if p not in WITHIN or p in MARKS), default=0)
+            mark = parts[last] if parts else ""
+            if mark in MARKS - ALONE and not (mark == "header" and OWN & set(parts)):
+                within.add(mark)
+    return frozenset(whole), frozenset(within)
+
+
 @dataclass
 class Block:
     text: str
@@ -139,21 +166,26 @@ def flat_blocks(page: str) -> list[Block]:
 
     Comments, scripts, styles and the head hold no text. End tags without a start are passed
     over, and an element left open ends with the one around it. What lies outside an article
-    doesn't mark what is inside, except reader comments.
+    doesn't mark what is inside, except reader comments; nothing marks the body or a main element.
+    A mark within a token (right-sidebar) may tell of the page's layout: it doesn't hold for an
+    element with most of the page's unlinked words.
     """
     blocks: list[Block] = []
+    doubts: list[tuple[int, ...]] = []
+    elements = 0
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, in article, side, talk
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]  # name, in article, side, talk, elements perhaps side
     anchor, heading, at = False, False, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = len(text.split(" "))
-            _, article, side, _ = stack[-1]
+            _, article, side, _, doubt = stack[-1]
             share = min(1.0, len(html.unescape("".join(linked)).split()) / words)
             blocks.append(Block(text, words, share, article, side, heading))
+            doubts.append(doubt)
         parts.clear()
         linked.clear()
 
@@ -186,16 +218,30 @@ def flat_blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         else:
-            _, article, side, talk = stack[-1]
-            marks = {p.lower() for found in _LABEL.findall(m["attrs"]) for v in found for p in _PART.findall(v)} & MARKS if m["attrs"] else set()
-            talk = talk or bool(marks & TALK)
+            _, article, side, talk, doubt = stack[-1]
+            whole, within = marked(m["attrs"]) if m["attrs"] and name not in ("body", "main") else (frozenset(), frozenset())
+            if article:
+                whole, within = whole - {"header"}, within - {"header"}
+            talk = name != "main" and (talk or bool((whole | within) & TALK))
             if name in ("article", "main"):
-                article, side = True, bool(marks) or talk
+                article, side, doubt = True, bool(whole) or talk, ()
             else:
-                side = side or bool(marks) or (name in SIDE and not (name == "header" and article))
-            stack.append((name, article, side, talk))
+                side = side or bool(whole) or talk or (name in SIDE and not (name == "header" and article))
+            if within:
+                elements += 1
+                doubt = (*doubt, elements)
+            stack.append((name, article, side, talk, doubt))
     parts.append(page[at:])
     close()
+    if elements:
+        held, total = [0.0] * (elements + 1), 0.0
+        for b, doubt in zip(blocks, doubts, strict=True):
+            own = 0.0 if b.side else b.words * (1 - b.links)
+            total += own
+            for k in doubt:
+                held[k] += own
+        for b, doubt in zip(blocks, doubts, strict=True):
+            b.side = b.side or any(held[k] <= total / 2 for k in doubt)
     return blocks
 
 
@@ -203,7 +249,7 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     own = np.array([(b.words, b.links) for b in blocks], float).reshape(n, 2)
     pad = np.zeros((1, 2))
-    has = any(b.article for b in blocks)
+    has = any(b.article and not b.side for b in blocks)  # comments may be article elements
     flags = np.array([(b.article, b.side, has, b.heading) for b in blocks], float).reshape(n, 4)
     return np.hstack([np.vstack([pad, own[:-1]]), own, np.vstack([own[1:], pad]), flags]) if n else np.zeros((0, len(FEATURES)))
 
