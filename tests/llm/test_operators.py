@@ -128,6 +128,21 @@ def test_top_k_odd(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_large_parts(spark):
+    """Finite vectors of any size take part, with exact scores, as queries and as candidates."""
+    rng = random.Random(8)
+    vectors = {i: [rng.uniform(-1, 1) * (10 ** rng.choice((0, 0, 0, 6, 7))) for _ in range(2)] + [rng.uniform(-1, 1)] for i in range(100)}
+    vectors |= {100: [2.0**25, -(2.0**25) + 1, 1.0], 101: [0.015625, 0.015625, 2.0**40]}
+    v = topk.quantised(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"))
+    got = topk.top_k(v, v.where("vec_id % 20 = 0 and vec_id < 100"), k=8).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in e] for i, e in vectors.items()}
+    expected = set()
+    for q in range(0, 100, 20):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:8]
+        expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == expected and len(expected) == 40
+
+
 # ---- packing ---------------------------------------------------------------
 
 

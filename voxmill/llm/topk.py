@@ -14,21 +14,22 @@ from .common import settled, table
 SCALE, K, EVERY = 64, 20, 20
 BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024
-#: Products of larger parts are not exact in the doubles that score a block.
+#: Products of larger parts are not exact in the doubles that score a block; they are scored in integers.
 MAX_COMPONENT = 1 << 22
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, as array<int>.
+    """(vec_id, v): floor(scale * x) of each component, as array<long>.
 
-    Left out: null ids, null or empty vectors, vectors that hold null or non-finite parts or
-    parts beyond MAX_COMPONENT.
+    Left out: null ids, null or empty vectors, vectors that hold null or non-finite parts. A part
+    that no long holds is an error, as it is in SQL.
     """
-    part = lambda x: F.floor(x.cast("double") * scale)
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < MAX_COMPONENT)
+    scaled = lambda x: x.cast("double") * scale
+    part = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a vector's part is beyond the range of long")).cast("long"))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     whole = F.coalesce(F.forall("embedding", lambda x: F.coalesce(fine(x), F.lit(False))), F.lit(False))
     kept = vectors.where(F.col("vec_id").isNotNull() & whole & (F.size("embedding") > 0))
-    return kept.select("vec_id", F.transform("embedding", lambda x: part(x).cast("int")).alias("v"))
+    return kept.select("vec_id", F.transform("embedding", part).alias("v"))
 
 
 def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,6 +76,30 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
     return join(at, np.int64), join(found, np.int64), join(scores, np.int64)
 
 
+def integer_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As threshold_search, for parts of any size: every row is scored, in 64 bits where no sum can pass them, else in Python's integers."""
+    largest = lambda x: max((abs(int(v)) for v in (x.max(initial=0), x.min(initial=0))), default=0)
+    kind = np.int64 if largest(rows) * largest(queries) * rows.shape[1] < 1 << 63 else object
+    rows, queries = rows.astype(kind), queries.astype(kind)
+    at, found, scores = [], [], []
+    for q, (qid, w) in enumerate(zip(query_ids, queries, strict=True)):
+        top = sorted((-s, i) for s, i in zip((rows @ w).tolist(), ids.tolist(), strict=True) if i != qid)[:k]
+        at += [q] * len(top)
+        found += [i for _, i in top]
+        scores += [-s for s, _ in top]
+    return np.array(at, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
+
+
+def block_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best rows for each query among those with small parts and among the others, as (query position, vec_id, score)."""
+    small = lambda x: ((x > -MAX_COMPONENT) & (x < MAX_COMPONENT)).all(1)
+    fine, asked = small(rows), small(queries)
+    for r, q, search in ((fine, asked, threshold_search), (~fine, asked, integer_search), (np.ones(len(rows), bool), ~asked, integer_search)):
+        if r.any() and q.any():
+            at, found, score = search(ids[r], rows[r], query_ids[q], queries[q], k)
+            yield np.flatnonzero(q)[at], found, score
+
+
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """One row for each block of about `rows` vectors of one dimension: ids and components."""
     n = vectors.count()
@@ -99,9 +124,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids, qids = np.asarray(r.b_ids, np.int64), np.asarray(r.q_ids, np.int64)
-                rows, asked = np.asarray(r.b_v, np.int32).reshape(-1, r.dims), np.asarray(r.q_v, np.int32).reshape(-1, r.dims)
-                at, found, score = threshold_search(ids, rows, qids, asked, k)
-                yield pd.DataFrame({"query_id": qids[at], "vec_id": found, "score": score})
+                rows, asked = np.asarray(r.b_v, np.int64).reshape(-1, r.dims), np.asarray(r.q_v, np.int64).reshape(-1, r.dims)
+                for at, found, score in block_search(ids, rows, qids, asked, k):
+                    yield pd.DataFrame({"query_id": qids[at], "vec_id": found, "score": score})
 
     best = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
