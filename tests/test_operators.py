@@ -315,3 +315,19 @@ def test_clips_of_a_hot_user_stay_bounded(spark, tmp_path, monkeypatch):
     assert len(joined) == 4 + 3 and max(r.linear_n for r in joined) <= 10 * 100
     levels = run("wave_levels")
     assert max(r.norm_n for r in levels) == 100 and sum(r.norm_n for r in levels) == len(rows)
+
+
+def test_short_clips_have_an_alignment_row(spark, tmp_path):
+    from voxmill import queries
+
+    rows = [(100 * u + k, u, k, "view", float(k % 7)) for u, n in {1: 3, 2: 12, 3: 30, 4: 31, 5: 80}.items() for k in range(n)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.clip_id: r for r in queries.QUERIES["wave_alignment"](spark, str(tmp_path)).collect()}
+    assert {k: r.n for k, r in got.items()} == {1: 3, 2: 12, 3: 30, 4: 31, 5: 80}
+    assert got[1].cut is None and got[2].cut is None and got[5].cut is not None
+
+
+def test_bonafide_of_logits_is_registered():
+    from voxmill import queries
+
+    assert "bonafide_prob" in queries.ORACLE_SQL

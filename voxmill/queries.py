@@ -412,6 +412,13 @@ def _(spark, d):
     return rounded(e.select("vec_id", p(two).alias("last"), p(two, "first").alias("first"), p(one).alias("one"), p(one, "first").alias("one_first"), metrics.bonafide_probability(F.slice("embedding", 1, 0)).alias("bona")))
 
 
+@query("bonafide_prob", """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)
+  SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS two, round(1 / (1 + exp(-a)), 6) AS one, CAST(NULL AS DOUBLE) AS none FROM v""")
+def _(spark, d):
+    p = lambda n: metrics.bonafide_probability(F.slice("embedding", 1, n))
+    return rounded(table(spark, d, "embeddings").select("vec_id", p(2).alias("two"), p(1).alias("one"), p(0).alias("none")))
+
+
 @query("score_replies", """WITH r AS (SELECT event_id, value, event_id % 7 AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events)
   SELECT event_id, round(CASE WHEN k IN (0, 1) THEN n / 100 WHEN k = 2 THEN 0.5e0 ELSE n / 100 END, 6) AS score, CASE WHEN k = 2 THEN 'fallback' WHEN k = 0 THEN 'regex' ELSE 'repo' END AS backend,
     CASE WHEN k = 2 THEN 'boom' END AS error FROM r""")
@@ -636,7 +643,7 @@ def _(spark, d):
 
 @query("wave_alignment")
 def _(spark, d):
-    c = clips(spark, d).withColumn("n", F.size("samples")).where("n > 30")
+    c = clips(spark, d).withColumn("n", F.size("samples"))
     before, head = F.slice("samples", 11, 10), F.col("samples")
     cut = waves.align_cut(before, head, F.lit(1), F.lit(20), F.col("sr"), F.col("n"))
     return c.select("clip_id", "part", "n", cut.alias("cut"))
