@@ -96,6 +96,12 @@ def test_near_duplicates_chain(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == plain_components(sets)
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.79, 80])
+def test_near_duplicates_refuses_what_it_would_lose(spark, similarity):
+    with pytest.raises(ValueError, match="similarity"):
+        neardup.near_duplicates(odd(spark), similarity=similarity)
+
+
 def test_near_duplicates_odd(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd(spark), 2).collect()]
     assert len(got) == len(ODD) and (5, 1, 4, False) in got and (1, 0, 1, True) in got and (3, 0, 3, True) in got and (None, 4, None, True) in got

@@ -337,7 +337,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Links: shingle sets with similarity at least `similarity`. Texts without words link with
     nothing, equal sets always do. component_id is the least doc_id reachable; kept is
     doc_id = component_id, so rows that repeat a kept id are kept too. Null ids stay alone.
+    Similarities below SIMILARITY are refused: MATCHES, made for it, would lose their pairs.
     """
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not between {SIMILARITY} and 1")
     percent = round(100 * similarity)
     rows = settled(document_sets(docs, words))
     whole = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles")
