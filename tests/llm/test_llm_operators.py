@@ -96,8 +96,79 @@ def test_near_duplicates_chain(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == plain_components(sets)
 
 
-@pytest.mark.parametrize("similarity", [0.5, 0.79, 80])
-def test_near_duplicates_refuses_what_it_would_lose(spark, similarity):
+def edited_copies(rng, n, length, edits):
+    """Texts of one base, each with some words replaced: groups of every similarity between the fewest and the most edits."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    for _ in range(n):
+        text = list(base)
+        for at in rng.sample(range(length), rng.choice(edits)):
+            text[at] = f"x{rng.randrange(10**6)}"
+        yield " ".join(text)
+
+
+def matrix_components(sets, percent):
+    """`plain_components` by products of a dense incidence matrix, for groups of thousands."""
+    ids = [i for i in sorted(sets) if sets[i]]
+    names = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    once = {k for k, n in Counter(names[s] for i in ids for s in sets[i]).items() if n > 1}
+    shared = {k: c for c, k in enumerate(sorted(once))}
+    held = np.zeros((len(ids), len(shared)), np.float32)
+    for r, i in enumerate(ids):
+        held[r, [shared[names[s]] for s in sets[i] if names[s] in once]] = 1
+    size = np.array([len(sets[i]) for i in ids])
+    label = np.arange(len(ids))
+    edges = []
+    for a in range(0, len(ids), 500):
+        both = (held[a : a + 500] @ held.T).round().astype(np.int64)
+        x, y = np.nonzero(100 * both >= percent * (size[a : a + 500, None] + size[None] - both))
+        edges.append((x + a, y))
+    x, y = (np.concatenate(e) for e in zip(*edges, strict=True))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        if (least == label).all():
+            return {i: ids[label[r]] for r, i in enumerate(ids)} | {i: i for i in sets if not sets[i]}
+        label = least[least]
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_near_duplicates_large_groups(spark, monkeypatch, similarity):
+    """Thousands of edited copies at similarities from 0.5 to 0.95, most of them not linked, over many blocks of every kind."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 400)
+    monkeypatch.setattr(neardup, "SET_BYTES", 200_000)
+    monkeypatch.setattr(neardup, "ASK_BYTES", 400_000)
+    rng = random.Random(5)
+    texts = [*edited_copies(rng, 5200, 90, range(3, 20)), *edited_copies(rng, 600, 60, range(1, 6)), *edited_copies(rng, 300, 400, range(20, 60))]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sets = plain_sets(dict(rows), 2)
+    expected = matrix_components(sets, round(100 * similarity))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, similarity)
+    assert {r.doc_id: r.component_id for r in got.collect()} == expected
+    assert 1 < len(set(expected.values())) < len(rows)
+
+
+def test_forest():
+    forest = neardup.Forest()
+    assert [forest.join(*p) for p in ((5, 3), (3, 5), (7, 8), (8, 3), (7, 5))] == [True, False, True, True, False]
+    assert {forest.root(x) for x in (3, 5, 7, 8)} == {3} and forest.root(9) == 9
+
+
+def test_sketches_agree_where_signatures_do():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    y = np.concatenate([x[:3600], rng.integers(0, 1 << 63, 400, dtype=np.uint64)])
+    (a, p), (b, q) = neardup.signature(x), neardup.signature(y)
+    assert neardup.signature(x) == (a, p)
+    both = neardup._agreeing(neardup._table([p]), neardup._table([q]))[0]
+    assert abs(both / neardup.SKETCHED - (9 / 11 + 2 / 11 / 16)) < 0.1
+    posted, sketched = neardup.thresholds(0.8)
+    assert posted < 0.8 * neardup.COORDINATES and both >= sketched
+    assert (np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)).sum() >= posted
+
+
+@pytest.mark.parametrize("similarity", [0, -1, 1.5, 80])
+def test_near_duplicates_refuses_what_is_no_similarity(spark, similarity):
     with pytest.raises(ValueError, match="similarity"):
         neardup.near_duplicates(odd(spark), similarity=similarity)
 

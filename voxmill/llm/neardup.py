@@ -1,20 +1,21 @@
 """Near-duplicate groups by a signature-coordinate inverted join on MinHash.
 
 Documents with equal shingle sets are one class, so copies are joined once. Each class posts
-its signature under (coordinate, value) tokens. Classes that agree in at least MATCHES of the
-COORDINATES share one of any COORDINATES - MATCHES + 1 tokens, so only the rarest tokens are
+its signature under (coordinate, value) tokens. Classes that agree in at least `matches` of the
+COORDINATES share one of any COORDINATES - matches + 1 tokens, so only the rarest tokens are
 posted, and lists of one class are skipped. Each class is first held against the first class of
-its lists that it collides with most; pairs whose signatures agree make families, and those
-that the full sets confirm make components, which hold most of a large group. Then the classes
-outside a family's main component meet all of the family, and lists that touch several families
-are compared, outsiders of the list's main family against all of it; what is passed on is not
-pairs but (class, family). The members of a family stand in blocks of full sets, and a class
-held against a block gives one link for each component at most.
+its lists that it collides with most; pairs whose sketches agree make families, and those
+that the full sets confirm make components, which hold most of a large group. Lists that touch
+several families are then compared in bounded cells, which merge families that agree. What can
+be linked is by then in one family: the classes outside a family's main component are held
+against all of it, in cells bounded by the bytes of their sets. A cell gives no pairs but a
+spanning forest, so what is passed on never outgrows the rows that a task has read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +26,19 @@ from pyspark.sql import functions as F
 from .common import bound_batches, settled, table
 from .hashing import distinct, mixed, word_names
 
-#: A pair of similarity 0.8 agrees in fewer than MATCHES coordinates once in about ten million.
-COORDINATES, MATCHES = 64, 34
-POSTED = COORDINATES - MATCHES + 1
-SKETCH_BITS = 16
+COORDINATES = 64  # of the posted signature, 32 bits each
+SKETCHED, NIBBLE = 256, 16  # coordinates of the sketch, and values of each
+#: A pair at the least similarity has fewer agreeing coordinates than asked for about once in so many.
+ONE_MISS_IN = 10_000_000
+COUNT_BITS = 16
 BLOCK_ROWS = 4096  # classes of one list that a task compares at once
-BLOCK_SETS = 256  # full sets of one component that a task holds at once
+SET_BYTES = 8 << 20  # full sets of one family that a task indexes at once
+ASK_BYTES = 64 << 20  # full sets that are held against them in one task
 #: Collisions that make a first pair; pairs with fewer wait for the second round.
 FIRST_HITS = 3
 #: So many ids (8 bytes each) are sent to the readers of the texts; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
+SALTS = 16
 WORDS, SIMILARITY = 5, 0.8
 
 _IN_WORD = np.ones(256, bool)
@@ -57,17 +61,39 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return distinct(out)
 
 
+def least_matches(coordinates: int, agreeing: float) -> int:
+    """The most matches to ask for so that a pair whose coordinates agree with this chance is missed once in ONE_MISS_IN."""
+    missed = 0.0
+    for k in range(coordinates + 1):
+        missed += math.comb(coordinates, k) * agreeing**k * (1 - agreeing) ** (coordinates - k)
+        if missed > 1 / ONE_MISS_IN:
+            return k
+    return coordinates
+
+
+def thresholds(similarity: float) -> tuple[int, int]:
+    """Coordinates that must agree in the posted signature and in the sketch."""
+    return least_matches(COORDINATES, similarity), least_matches(SKETCHED, similarity + (1 - similarity) / NIBBLE)
+
+
 _RANDOM = np.random.default_rng(20240229)
-_FACTOR = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFT = _RANDOM.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_FACTOR = _RANDOM.integers(0, 1 << 63, SKETCHED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = _RANDOM.integers(0, 1 << 63, SKETCHED, dtype=np.uint64)
 
 
-def signature(names: np.ndarray) -> np.ndarray:
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(names), 4096):
-        part = names[at : at + 4096]
-        np.minimum(least, (part * _FACTOR[:, None] + _SHIFT[:, None]).min(1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+def signature(names: np.ndarray) -> tuple[bytes, bytes]:
+    """The posted coordinates, and a sketch: four bits of each of more coordinates."""
+    least = np.full(SKETCHED, np.iinfo(np.uint64).max, np.uint64)
+    hashed = np.empty((SKETCHED, min(len(names), 512)), np.uint64)
+    for at in range(0, len(names), 512):
+        part = names[at : at + 512]
+        out = hashed[:, : len(part)]
+        np.multiply(part, _FACTOR[:, None], out=out)
+        np.add(out, _SHIFT[:, None], out=out)
+        np.minimum(least, out.min(1), out=least)
+    high = (least >> np.uint64(32)).astype(np.uint32)
+    low = (high & 15).astype(np.uint8)
+    return high[:COORDINATES].tobytes(), (low[::2] | low[1::2] << 4).tobytes()
 
 
 def set_key(names: bytes) -> bytes:
@@ -75,7 +101,7 @@ def set_key(names: bytes) -> bytes:
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every row, from its whole text."""
+    """(doc_id, n_shingles, set_key, signature, sketch) of every row, from its whole text."""
     bound_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,10 +109,10 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 names = shingle_set(text, words) if isinstance(text, str) else np.zeros(0, np.uint64)
-                out.append((doc_id, len(names), set_key(names.tobytes()), signature(names).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature"])
+                out.append((doc_id, len(names), set_key(names.tobytes()), *signature(names)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary")
 
 
 def _tokens(signatures: pd.Series) -> np.ndarray:
@@ -96,7 +122,7 @@ def _tokens(signatures: pd.Series) -> np.ndarray:
 
 def _token_counts(classes: DataFrame) -> np.ndarray:
     """How often tokens occur, by hash bucket: a fixed number of counts, whatever the input."""
-    size = 1 << SKETCH_BITS
+    size = 1 << COUNT_BITS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size, np.int64)
@@ -110,32 +136,45 @@ def _token_counts(classes: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(token, class_id): each class under its POSTED rarest tokens, in lists of two classes or more."""
+def postings(classes: DataFrame, matches: int) -> DataFrame:
+    """(token, class_id, first): each class under its rarest tokens, in lists of two classes or more.
+
+    Two classes that agree in `matches` coordinates meet in a list.
+    """
     counts = _token_counts(classes)
+    posted = COORDINATES - matches + 1
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tokens = _tokens(b["signature"])
             common = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64)
             rank = (common << np.uint64(24)) | (tokens >> np.uint64(40))
-            rare = np.take_along_axis(tokens, np.argsort(rank, axis=1, kind="stable")[:, :POSTED], axis=1)
-            yield pd.DataFrame({"token": rare.ravel().view(np.int64), "class_id": np.repeat(b["class_id"].to_numpy(), POSTED)})
+            rare = np.take_along_axis(tokens, np.argsort(rank, axis=1, kind="stable")[:, :posted], axis=1)
+            yield pd.DataFrame({"token": rare.ravel().view(np.int64), "class_id": np.repeat(b["class_id"].to_numpy(), posted)})
 
     posts = classes.select("class_id", "signature").mapInPandas(post, "token long, class_id long")
     lists = posts.groupBy("token").agg(F.count("*").alias("n"), F.min("class_id").alias("first")).where("n > 1")
     return posts.join(lists, "token").select("token", "class_id", "first")
 
 
-def retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole signatures agree in MATCHES coordinates."""
+def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many coordinates sketches agree."""
+    apart = x ^ y
+    return ((apart & 15) == 0).sum(-1, dtype=np.int32) + ((apart & 240) == 0).sum(-1, dtype=np.int32)
+
+
+def _table(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCHED // 2)
+
+
+def retained(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in `matches` coordinates."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(-1, COORDINATES) for c in ("x", "y"))
-            yield b.loc[(x == y).sum(1) >= MATCHES, ["a", "b"]]
+            yield b.loc[_agreeing(_table(b["x"]), _table(b["y"])) >= matches, ["a", "b"]]
 
-    side = lambda i, c: classes.select(F.col("class_id").alias(i), F.col("signature").alias(c))
+    side = lambda i, c: classes.select(F.col("class_id").alias(i), F.col("sketch").alias(c))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(count, "a long, b long")
 
 
@@ -172,19 +211,46 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over `edges` (a, b), by label passing with pointer jumps."""
+    """(id, component): the least id reachable over `edges` (a, b), by label passing with pointer jumps.
+
+    Only labels that have moved are jumped to, and the many rows under one label are dealt over SALTS keys.
+    """
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = settled(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        passed = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("next"), "component")
-        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
-        moved = settled(passed.join(jump, "next").select("id", F.least("next", "far").alias("component"), F.col("component").alias("was")))
+        passed = settled(labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("next"), "component"))
+        own = passed.select(F.col("id").alias("next"), F.col("next").alias("far")).where("far < next")
+        jumps = passed.select("next").distinct().join(own, "next")
+        jumps = jumps.select("next", "far", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+        moved = passed.select("*", salt).join(jumps, ["next", "salt"], "left")
+        moved = settled(moved.select("id", F.coalesce("far", "next").alias("component"), F.col("component").alias("was")))
         labels = moved.select("id", "component")
         if moved.where("component < was").isEmpty():
             return labels
 
 
+class Forest:
+    """Sets of ids that are joined one by one."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def first_pairs(posts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class with the head of a list, the one it meets in most lists."""
     hits = posts.where("class_id <> first").groupBy(F.col("first").alias("a"), F.col("class_id").alias("b")).agg(F.count("*").alias("hits"))
@@ -193,17 +259,6 @@ def first_pairs(posts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return near.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b")
 
 
-def _sketch(signatures: pd.Series) -> list[bytes]:
-    """Four bits of each coordinate: what agrees in a signature agrees in them."""
-    low = (np.frombuffer(b"".join(signatures), np.uint32).reshape(-1, COORDINATES) & 15).astype(np.uint8)
-    return [r.tobytes() for r in low[:, ::2] | low[:, 1::2] << 4]
-
-
-def _agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    apart = x ^ y
-    return ((apart & 15) == 0).sum(-1, dtype=np.int32) + ((apart & 240) == 0).sum(-1, dtype=np.int32)
-
-
 def _crossed(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For lists with n outer and m inner rows, laid end to end: the places of every (outer, inner) of a list."""
     pairs = n * m
@@ -212,20 +267,16 @@ def _crossed(n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(n) - n)[own] + inside // m[own], (np.cumsum(m) - m)[own] + inside % m[own]
 
 
-def remaining_meetings(posts: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(id, component): classes that share a list with one of another component of `labels` and agree with it.
+def family_merges(posts: DataFrame, classes: DataFrame, families: DataFrame, percent: int, matches: int) -> DataFrame:
+    """(a, b): families (`families`, or a class of none as its own) of which two classes share a list and agree.
 
-    Lists within one component are done. In the others the classes outside the list's main
-    component meet all of its classes; of any two components one is outside the main one. Long
-    lists are cut into blocks of either side.
+    Lists within one family are done. In the others the classes outside the list's main family
+    meet all of its classes; of any two families one is outside the main one. Long lists are cut
+    into cells of bounded blocks of either side. A task joins families as it goes, passes over
+    classes that are already together, and gives each join once.
     """
-
-    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"class_id": b["class_id"], "n": b["n_shingles"].astype("int32"), "sketch": _sketch(b["signature"]) if len(b) else []})
-
-    small = classes.select("class_id", "n_shingles", "signature").mapInPandas(sketches, "class_id long, n int, sketch binary")
-    placed = posts.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
+    small = classes.select("class_id", F.col("n_shingles").cast("int").alias("n"), "sketch")
+    placed = posts.join(families.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "token", "class_id", F.coalesce("component", "class_id").alias("component")
     )
     parts = placed.groupBy("token", "component").agg(F.count("*").alias("n"))
@@ -236,69 +287,87 @@ def remaining_meetings(posts: DataFrame, classes: DataFrame, labels: DataFrame,
     one = (F.col("in_blocks") == 1) & (F.col("out_blocks") == 1)
     at = lambda n: F.pmod(F.xxhash64("class_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = F.struct("class_id", "component", "n", "sketch")
+    row = F.struct("component", "n", "sketch")
     whole = rows.where(one).select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), row.alias("row"), F.col("outside").alias("outer"), F.lit(True).alias("inner"))
     inner = rows.where(~one).select("token", each("out_blocks").alias("i"), at("in_blocks").alias("j"), row.alias("row"), F.lit(False).alias("outer"), F.lit(True).alias("inner"))
     outer = rows.where(~one & F.col("outside")).select("token", at("out_blocks").alias("i"), each("in_blocks").alias("j"), row.alias("row"), F.lit(True).alias("outer"), F.lit(False).alias("inner"))
     cells = whole.union(inner).union(outer).groupBy("token", "i", "j").agg(
         F.collect_list(F.when(F.col("outer"), F.col("row"))).alias("x"), F.collect_list(F.when(F.col("inner"), F.col("row"))).alias("y")
     )
-    fields = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "xy" for f in ("class_id", "component", "n", "sketch")]
+    fields = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "xy" for f in ("component", "n", "sketch")]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def met(b: pd.DataFrame, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        forest = Forest()
+
+        def joined(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+            return [(x, y) for x, y in set(zip(a.tolist(), b.tolist(), strict=True)) if forest.join(x, y)]
+
+        def short(b: pd.DataFrame, n: np.ndarray, m: np.ndarray) -> list[tuple[int, int]]:
             flat = lambda c: np.concatenate(b[c].to_numpy())
-            table = lambda c: np.frombuffer(b"".join(flat(c)), np.uint8).reshape(-1, COORDINATES // 2)
             x, y = _crossed(n, m)
             xp, yp, xn, yn = flat("x_component")[x], flat("y_component")[y], flat("x_n")[x], flat("y_n")[y]
-            fit = (xp != yp) & (100 * np.minimum(xn, yn).astype(np.int64) >= percent * np.maximum(xn, yn).astype(np.int64))
-            x, y = x[fit], y[fit]
-            fit = _agreeing(table("x_sketch")[x], table("y_sketch")[y]) >= MATCHES
-            return np.unique(np.column_stack([flat("x_class_id")[x[fit]], flat("y_component")[y[fit]]]), axis=0)
+            fit = np.flatnonzero((xp != yp) & (100 * np.minimum(xn, yn).astype(np.int64) >= percent * np.maximum(xn, yn).astype(np.int64)))
+            fit = fit[_agreeing(_table(flat("x_sketch"))[x[fit]], _table(flat("y_sketch"))[y[fit]]) >= matches]
+            return joined(xp[fit], yp[fit])
+
+        def long(r: pd.Series) -> list[tuple[int, int]]:
+            families, place = np.unique(r["y_component"], return_inverse=True)
+            root = np.array([forest.root(f) for f in families.tolist()])
+            size, sketch, found = r["y_n"].astype(np.int64), _table(r["y_sketch"]), []
+            for family, n, own in zip(r["x_component"].tolist(), r["x_n"].tolist(), r["x_sketch"], strict=True):
+                mine = forest.root(family)
+                near = np.flatnonzero((root[place] != mine) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+                near = near[_agreeing(sketch[near], np.frombuffer(own, np.uint8)) >= matches]
+                for other in families[np.unique(place[near])].tolist():
+                    if forest.join(family, other):
+                        found.append((family, other))
+                if len(near):
+                    root = np.array([forest.root(f) for f in families.tolist()]) if len(found) else root
+            return found
 
         for b in batches:
             n, m = b["x_n"].map(len).to_numpy(np.int64), b["y_n"].map(len).to_numpy(np.int64)
-            group = np.cumsum(n * m) // (1 << 18)  # so many pairs at once, or one list's rows against one row
-            found = [np.zeros((0, 2), np.int64)]
+            found = []
+            for k in np.flatnonzero(n * m > 1 << 12):
+                found += long(b.iloc[k])
+            few = np.flatnonzero(n * m <= 1 << 12)
+            group = np.cumsum((n * m)[few]) >> 14  # so many pairs at once
             for g in np.unique(group):
-                own = group == g
-                if (n * m)[own].sum() <= 1 << 20:
-                    found.append(met(b[own], n[own], m[own]))
-                    continue
-                for k in np.flatnonzero(own):
-                    for a in range(0, n[k], max(1, (1 << 18) // m[k])):
-                        part = b.iloc[[k]].copy()
-                        for c in ("x_class_id", "x_component", "x_n", "x_sketch"):
-                            part[c] = [b[c].iloc[k][a : a + max(1, (1 << 18) // m[k])]]
-                        found.append(met(part, part["x_n"].map(len).to_numpy(np.int64), m[[k]]))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"id": pairs[:, 0], "component": pairs[:, 1]})
+                own = few[group == g]
+                found += short(b.iloc[own], n[own], m[own])
+            yield pd.DataFrame(found, columns=["a", "b"])
 
-    return cells.where(F.size("x") > 0).select(*fields).mapInPandas(compare, "id long, component long").distinct()
+    return cells.where(F.size("x") > 0).select(*fields).mapInPandas(compare, "a long, b long").distinct()
 
 
 def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links on full sets of the classes in `asking` (id, group) with the members (id, group) of the group.
 
-    Members of the asking class' own component (`labels`) are passed over; of each other one
-    a block gives one link. A block's members come first in its task, then the askers, one by one.
+    Both sides of a group are cut into blocks by the bytes of their sets, and each pair of blocks is a
+    cell: its members come first in the task, then the askers, one by one. Classes of one component
+    (`labels`) are passed over, and so are those that links of the cell have joined: it gives a forest.
     """
+    sized = lambda rows: rows.join(classes.select(F.col("class_id").alias("id"), "n_shingles"), "id").groupBy("group").agg(F.sum("n_shingles").alias("n"))
+    parts = lambda n, most: F.ceil(F.col(n) * 8 / most).cast("int")
     members = members.join(asking.select("group").distinct(), "group", "left_semi")
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
-    held = members.join(sizes, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"))
-    ask = asking.join(sizes, "group").select("id", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"))
-    rows = held.union(ask).join(labels, "id", "left").select("id", "group", "block", "side", F.coalesce("component", "id").alias("part"))
+    sizes = sized(members).select("group", parts("n", SET_BYTES).alias("blocks")).join(sized(asking).select("group", parts("n", ASK_BYTES).alias("turns")), "group")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = members.join(sizes, "group").select("id", "group", at("blocks").alias("block"), each("turns").alias("turn"), F.lit(0).alias("side"))
+    ask = asking.join(sizes, "group").select("id", "group", each("blocks").alias("block"), at("turns").alias("turn"), F.lit(1).alias("side"))
+    rows = held.unionByName(ask).join(labels, "id", "left").select("id", "group", "block", "turn", "side", F.coalesce("component", "id").alias("part"))
     rows = settled(rows)
     sets = full_sets(rows.select("id").distinct(), classes, docs, words)
-    dealt = rows.join(sets, "id").repartition("group", "block").sortWithinPartitions("group", "block", "side", "id")
+    cell = ["group", "block", "turn"]
+    dealt = rows.join(sets, "id").repartition(*cell).sortWithinPartitions(*cell, "side", "id")
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, parts, held, index = None, [], [], [], None
+        key = None
         for b in batches:
             found = []
-            for group, block, side, i, part, names in zip(b["group"], b["block"], b["side"], b["id"], b["part"], b["names"], strict=True):
-                if (group, block) != key:
-                    key, ids, parts, held, index = (group, block), [], [], [], None
+            for *own, side, i, part, names in zip(*(b[c] for c in [*cell, "side", "id", "part", "names"]), strict=True):
+                if own != key:
+                    key, ids, parts, held, index, forest = own, [], [], [], None, Forest()
                 names = np.frombuffer(names, np.uint64)
                 if side == 0:
                     ids.append(i)
@@ -310,23 +379,29 @@ def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classe
                 if index is None:
                     known, inverse = np.unique(np.concatenate(held), return_inverse=True)
                     sizes = np.array([len(h) for h in held])
-                    index = known, inverse, sizes, np.cumsum(sizes) - sizes, np.array(parts)
-                known, inverse, sizes, starts, part_of = index
+                    index, held = (known, inverse, sizes, np.cumsum(sizes) - sizes), [True]
+                    root = np.array(parts)
+                mine = forest.root(part)
+                if (root == mine).all():
+                    continue
+                known, inverse, sizes, starts = index
                 place = np.minimum(np.searchsorted(known, names), len(known) - 1)
-                shared = np.zeros(len(known), np.int64)
+                shared = np.zeros(len(known), np.int32)
                 shared[place[known[place] == names]] = 1
                 both = np.add.reduceat(shared[inverse], starts)
-                fit = np.flatnonzero((100 * both >= percent * (sizes + len(names) - both)) & (part_of != part))
-                for k in fit[np.unique(part_of[fit], return_index=True)[1]]:
-                    found.append((min(i, ids[k]), max(i, ids[k])))
+                fit = np.flatnonzero((100 * both >= percent * (sizes + len(names) - both)) & (root != mine))
+                for k in fit[np.unique(root[fit], return_index=True)[1]]:
+                    if forest.join(part, parts[k]):
+                        found.append((min(i, ids[k]), max(i, ids[k])))
+                        root[(root == mine) | (root == root[k])] = mine = forest.root(part)
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.select("group", "block", "side", "id", "part", "names").mapInPandas(hold, "a long, b long").distinct()
+    return dealt.select(*cell, "side", "id", "part", "names").mapInPandas(hold, "a long, b long").distinct()
 
 
 def outside_main(families: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, group): the classes of each family that its largest component does not hold."""
-    placed = families.join(labels.withColumnRenamed("component", "part"), "id", "left").select("id", F.col("component").alias("group"), F.coalesce("part", "id").alias("part"))
+    """(id, group): the classes of each family (id, group) that its largest component does not hold."""
+    placed = families.join(labels.withColumnRenamed("component", "part"), "id", "left").select("id", "group", F.coalesce("part", "id").alias("part"))
     main = placed.groupBy("group", "part").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("part", "n").alias("main"))
     return placed.join(main, "group").where("part <> main").select("id", "group")
 
@@ -337,28 +412,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     Links: shingle sets with similarity at least `similarity`. Texts without words link with
     nothing, equal sets always do. component_id is the least doc_id reachable; kept is
     doc_id = component_id, so rows that repeat a kept id are kept too. Null ids stay alone.
-    Similarities below SIMILARITY are refused: MATCHES, made for it, would lose their pairs.
+    Other columns of `docs` are not read. What must agree in a signature follows from `similarity`.
     """
-    if not SIMILARITY <= similarity <= 1:
-        raise ValueError(f"similarity {similarity} is not between {SIMILARITY} and 1")
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not above 0 and at most 1")
     percent = round(100 * similarity)
+    posted, sketched = thresholds(similarity)
     rows = settled(document_sets(docs, words))
     whole = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_key", "n_shingles")
-    classes = settled(whole.agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature")))
+    classes = settled(whole.agg(F.min("doc_id").alias("class_id"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
     # Sets that can differ and still be similar: one name more or less must be within the limit.
     open_classes = classes.where((F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100)
-    posts = settled(postings(open_classes))
-    pairs = settled(retained(first_pairs(posts, open_classes.select("class_id", "n_shingles"), percent), open_classes))
+    posts = settled(postings(open_classes, posted))
+    pairs = settled(retained(first_pairs(posts, open_classes.select("class_id", "n_shingles"), percent), open_classes, sketched))
     families = components(pairs)
-    links = settled(confirmed(pairs, open_classes, docs, words, percent))
-    labels = components(links)
-    inside = group_links(settled(outside_main(families, labels)), families.withColumnRenamed("component", "group"), labels, open_classes, docs, words, percent)
-    meetings = settled(remaining_meetings(posts, open_classes, families, percent)).withColumnRenamed("component", "group")
-    alone = meetings.select(F.col("group").alias("id"), "group").distinct().join(families, "id", "left_anti")
-    everyone = families.withColumnRenamed("component", "group").unionByName(alone)
-    across = group_links(meetings, everyone, labels, open_classes, docs, words, percent)
-    links = settled(links.union(inside).union(across))
-    labels = components(links)
+    labels = components(settled(confirmed(pairs, open_classes, docs, words, percent)))
+    merges = family_merges(posts, open_classes, families, percent, sketched)
+    families = components(families.toDF("a", "b").union(merges)).withColumnRenamed("component", "group")
+    links = group_links(settled(outside_main(families, labels)), families, labels, open_classes, docs, words, percent)
+    labels = components(labels.toDF("a", "b").union(links))
     grouped = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "n_shingles", F.coalesce("component", "class_id").alias("_component")
     )
