@@ -38,7 +38,6 @@ ASK_BYTES = 64 << 20  # full sets that are held against them in one task
 FIRST_HITS = 3
 #: So many ids (8 bytes each) are sent to the readers of the texts; beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
-SALTS = 16
 WORDS, SIMILARITY = 5, 0.8
 
 _IN_WORD = np.ones(256, bool)
@@ -210,27 +209,40 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return full.select("a", "b", "x", "y").mapInPandas(hold, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over `edges` (a, b), by label passing with pointer jumps.
+def rooted(pairs: DataFrame) -> DataFrame:
+    """(id, component) over `pairs` (a, b) in which each b occurs once and a < b: the end of each chain, by pointer jumps."""
+    labels = pairs.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    while True:
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        moved = settled(labels.join(jump, "component", "left").select("id", F.coalesce("far", "component").alias("component"), F.col("far").isNotNull().alias("moved")))
+        labels = moved.select("id", "component")
+        if moved.where("moved").isEmpty():
+            ends = labels.select("component").distinct()
+            return labels.union(ends.select("component", F.col("component").alias("same")))
 
-    Only labels that have moved are jumped to, and the many rows under one label are dealt over SALTS keys.
-    """
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable over `edges` (a, b), by label passing with pointer jumps."""
     both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = settled(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "id"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        passed = settled(labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("next"), "component"))
-        own = passed.select(F.col("id").alias("next"), F.col("next").alias("far")).where("far < next")
-        jumps = passed.select("next").distinct().join(own, "next")
-        jumps = jumps.select("next", "far", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
-        moved = passed.select("*", salt).join(jumps, ["next", "salt"], "left")
-        moved = settled(moved.select("id", F.coalesce("far", "next").alias("component"), F.col("component").alias("was")))
+        passed = labels.join(near, labels.id == near.a).select("id", F.least("component", "near").alias("next"), "component")
+        jump = labels.select(F.col("id").alias("next"), F.col("component").alias("far"))
+        moved = settled(passed.join(jump, "next").select("id", F.least("next", "far").alias("component"), F.col("component").alias("was")))
         labels = moved.select("id", "component")
         if moved.where("component < was").isEmpty():
             return labels
 
 
+def united(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """`labels` (id, component) after `edges` (a, b) between components, or ids of none as their own."""
+    top = components(edges)
+    known = labels.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left")
+    alone = top.join(labels, "id", "left_anti")
+    return settled(known.select("id", F.coalesce("top", "component").alias("component")).union(alone))
+
+
 class Forest:
     """Sets of ids that are joined one by one."""
 
@@ -341,11 +353,12 @@ def family_merges(posts: DataFrame, classes: DataFrame, families: DataFrame, per
 
 
 def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links on full sets of the classes in `asking` (id, group) with the members (id, group) of the group.
+    """(a, b): components (`labels`, or a class of none as its own) that links on full sets join,
+    of the classes in `asking` (id, group) with the members (id, group) of the group.
 
     Both sides of a group are cut into blocks by the bytes of their sets, and each pair of blocks is a
     cell: its members come first in the task, then the askers, one by one. Classes of one component
-    (`labels`) are passed over, and so are those that links of the cell have joined: it gives a forest.
+    are passed over, and so are those that links of the cell have joined: it gives a forest.
     """
     sized = lambda rows: rows.join(classes.select(F.col("class_id").alias("id"), "n_shingles"), "id").groupBy("group").agg(F.sum("n_shingles").alias("n"))
     parts = lambda n, most: F.ceil(F.col(n) * 8 / most).cast("int")
@@ -365,12 +378,11 @@ def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classe
         key = None
         for b in batches:
             found = []
-            for *own, side, i, part, names in zip(*(b[c] for c in [*cell, "side", "id", "part", "names"]), strict=True):
+            for *own, side, part, names in zip(*(b[c] for c in [*cell, "side", "part", "names"]), strict=True):
                 if own != key:
-                    key, ids, parts, held, index, forest = own, [], [], [], None, Forest()
+                    key, parts, held, index, forest = own, [], [], None, Forest()
                 names = np.frombuffer(names, np.uint64)
                 if side == 0:
-                    ids.append(i)
                     parts.append(part)
                     held.append(names)
                     continue
@@ -392,11 +404,11 @@ def group_links(asking: DataFrame, members: DataFrame, labels: DataFrame, classe
                 fit = np.flatnonzero((100 * both >= percent * (sizes + len(names) - both)) & (root != mine))
                 for k in fit[np.unique(root[fit], return_index=True)[1]]:
                     if forest.join(part, parts[k]):
-                        found.append((min(i, ids[k]), max(i, ids[k])))
+                        found.append((part, parts[k]))
                         root[(root == mine) | (root == root[k])] = mine = forest.root(part)
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.select(*cell, "side", "id", "part", "names").mapInPandas(hold, "a long, b long").distinct()
+    return dealt.select(*cell, "side", "part", "names").mapInPandas(hold, "a long, b long").distinct()
 
 
 def outside_main(families: DataFrame, labels: DataFrame) -> DataFrame:
@@ -425,12 +437,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     open_classes = classes.where((F.col("n_shingles") + 1) * percent <= F.col("n_shingles") * 100)
     posts = settled(postings(open_classes, posted))
     pairs = settled(retained(first_pairs(posts, open_classes.select("class_id", "n_shingles"), percent), open_classes, sketched))
-    families = components(pairs)
-    labels = components(settled(confirmed(pairs, open_classes, docs, words, percent)))
-    merges = family_merges(posts, open_classes, families, percent, sketched)
-    families = components(families.toDF("a", "b").union(merges)).withColumnRenamed("component", "group")
-    links = group_links(settled(outside_main(families, labels)), families, labels, open_classes, docs, words, percent)
-    labels = components(labels.toDF("a", "b").union(links))
+    families = rooted(pairs)
+    labels = rooted(settled(confirmed(pairs, open_classes, docs, words, percent)))
+    families = united(families, family_merges(posts, open_classes, families, percent, sketched)).withColumnRenamed("component", "group")
+    labels = united(labels, group_links(settled(outside_main(families, labels)), families, labels, open_classes, docs, words, percent))
     grouped = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "n_shingles", F.coalesce("component", "class_id").alias("_component")
     )
