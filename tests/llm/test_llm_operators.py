@@ -268,22 +268,43 @@ def test_packing_odd(spark):
 def test_encoder_matches_the_tokenizer():
     own, encode, rng = tokenizer(), packing.Encoder(packing.default_tokenizer()), random.Random(2)
     cases = ["", " ", "a", " a", "a  b", "a \n b", "x\n\n y", "don't we'll", "tab\tx y", "a ", "\n", "½ ² x²", "<|endoftext|> a b", "🙂 🙂🙂 a"]
-    cases += ["".join(rng.choice("ab 'é1\n\t,.🙂 ") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
-    assert encode(cases) == [np.array(own.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in cases]
-
-
-def test_plan_places_every_piece():
+    cases += ["a\n\nb", "a\n\n\n b", "x.\nY", "it's'tis '", "9a1é×÷ñ", "a\u00a0\u00a0 b", "\x1cb\x1f a", "naïve—word", " lead", "x" * 23, " " + "y" * 23, "z" * 24 + " " + "z" * 70]
+    for letters in ("ab 'é1\n\t,.🙂 ", "ab 'st.é÷\n\r日—", "a.\n'\u3000\x85 s"):
+        cases += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
+    whole = [own.encode(c, add_special_tokens=False).ids for c in cases]
+    for _ in range(2):  # new units, then known ones
+        assert [ids.tolist() for ids in encode(cases)] == whole
+
+
+def test_encoder_gives_places_up(monkeypatch):
+    """A table of sixteen places, slices of a few texts: every unit is learned again and again."""
+    monkeypatch.setattr(packing, "SLOTS", 4)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 50)
+    own, encode, rng = tokenizer(), packing.Encoder(packing.default_tokenizer()), random.Random(3)
+    cases = [" ".join(rng.choice(["the", "of,", "Antidisestablishmentarianism", "x1", "señor", "日本"]) for _ in range(rng.randint(0, 20))) for _ in range(300)]
+    assert [ids.tolist() for ids in encode(cases)] == [own.encode(c, add_special_tokens=False).ids for c in cases]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "random", "small", "skewed", "halves", "exact", "few"])
+def test_plan(kind):
+    """Every piece is placed once without overlap, in no more sequences than best fit alone takes."""
     rng = np.random.default_rng(8)
-    for case in range(6):
-        histogram = np.zeros(1025, np.int64)
-        lengths = rng.integers(1, 1025, 3000) if case < 3 else rng.integers(1, 60, 3000) if case < 5 else np.full(700, 513)
-        np.add.at(histogram, lengths, 1)
-        plan = packing.make_plan(histogram)
-        used = np.zeros(1025, np.int64)
-        np.add.at(used, plan.length, plan.count)
-        assert (used == histogram).all()
-        floor = -(-int(lengths.sum()) // 1024) if case < 5 else 700
-        assert plan.sequences <= floor * 1.02 + 2
+    lengths = {
+        "uniform": lambda: np.repeat(np.arange(1, 1025), 200), "random": lambda: rng.integers(1, 1025, 200_000), "small": lambda: rng.integers(1, 60, 3000), "halves": lambda: np.full(700, 513),
+        "skewed": lambda: np.minimum(1024, rng.lognormal(5, 1.2, 100_000).astype(int) + 1), "exact": lambda: np.repeat([1024, 700, 324, 300, 24], 50), "few": lambda: np.array([1, 1023, 512]),
+    }[kind]()
+    histogram = np.bincount(lengths, minlength=1025)
+    plan = packing.make_plan(histogram)
+    used = np.zeros(1025, np.int64)
+    np.add.at(used, plan.length, plan.count)
+    assert (used == histogram).all()
+    first = np.repeat(plan.sequence - np.cumsum(plan.count) + plan.count, plan.count) + np.arange(plan.count.sum())
+    filled = np.bincount(first, np.repeat(plan.length, plan.count))
+    assert len(filled) == plan.sequences and filled.max() <= 1024 and filled.min() > 0
+    alone = packing._Filling(histogram, 1024)
+    alone.best_fit()
+    floor = max(-(-int(lengths.sum()) // 1024), int(histogram[513:].sum()))
+    assert floor <= plan.sequences <= min(alone.sequences, floor * 1.01 + 2)
 
 
 # ---- sharding --------------------------------------------------------------
