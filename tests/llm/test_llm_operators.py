@@ -561,21 +561,35 @@ def test_substrings_small(spark):
     rows = {k: line(rng.randint(0, 60)) + "".join(rng.choice(shared) + line(rng.randint(0, 5)) for _ in range(rng.randint(0, 4))) for k in range(60)}
     rows |= {100: "z" * 300, 101: "z" * 49, 102: "z" * 50, 103: "z" * 300}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)
-    found, name = substrings.without_repeats(df)
-    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in found.collect()}
-    spark.sql(f"DROP TABLE {name}")
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in substrings.without_repeats(df).select("doc_id", "repeats.*").collect()}
     assert got == plain_repeats(rows)
-    found, name = substrings.without_repeats(df, as_text=True)
-    kept = {r.doc_id: r.kept for r in found.collect()}
-    spark.sql(f"DROP TABLE {name}")
+    kept = {r.doc_id: r.repeats.kept for r in substrings.without_repeats(df, as_text=True).collect()}
     assert all("�" not in t for t in kept.values()) and kept[102] == "" and kept[101] == "z" * 49
 
 
+def test_substrings_over_bounds(spark, documents, texts, monkeypatch):
+    """Many chunks of a task, many ranges, and texts of many pieces, one of over a megabyte."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 30_000)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(substrings, "WINDOW_RANGE_BYTES", 15_000)
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(1_200_000))
+    places = [k * substrings.PIECE + d for k in (1,) for d in (-60, -49, -26, -1, 0)]
+    more = {10**6: "head " + long[: substrings.PIECE + 30], 10**6 + 1: long, 10**6 + 2: " ".join(long[p : p + 55] for p in places)}
+    rows = {i: t for i, t in texts.items() if i % 3 == 0} | more  # noqa: RUF005
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.starts), hashlib.sha256(r.kept).hexdigest()) for r in substrings.without_repeats(df).select("doc_id", "repeats.*").collect()}
+    assert got == plain_repeats(rows)
+
+
 def test_substrings_odd(spark):
-    for df, n, keep in ((odd(spark), len(ODD), ["lang", "score"]), (empty(spark), 0, ["lang"])):
-        found, name = substrings.without_repeats(df, keep)
-        assert found.count() == n
-        spark.sql(f"DROP TABLE {name}")
+    clashing = ["kept", "chunk", "Chunk2", "_id", "n_bytes", "starts", "ends", "_raw", "_kept_0", "bits"]
+    named = odd(spark).select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(clashing)])
+    for df, n, keep in ((odd(spark), len(ODD), ["lang", "score"]), (empty(spark), 0, ["lang"]), (named, len(ODD), clashing)):
+        found = substrings.without_repeats(df, keep)
+        assert found.columns == ["doc_id", *keep, "repeats"] and found.count() == n
+    assert [r[:-1] for r in found.drop("doc_id").distinct().collect()][0] == tuple(range(len(clashing)))
+    assert not spark.catalog.listTables()
 
 
 def test_difference_cover():

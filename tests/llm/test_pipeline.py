@@ -1,5 +1,7 @@
 """The stages one after another: columns, effects and odd inputs."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from voxmill.llm import decontamination, neardup, substrings
 
@@ -9,7 +11,6 @@ def staged(spark, docs, sf_dir, folder):
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, out[-1], sf_dir).write.parquet(f"{folder}/{k}")
         out.append(spark.read.parquet(f"{folder}/{k}"))
-    corpus_pipeline._drop_read(spark)
     return out
 
 
@@ -23,14 +24,27 @@ def test_stages(spark, sf_dir, tmp_path):
     assert decontamination.benchmark_leaks(safe, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).isEmpty()
     before, after = ({r.doc_id: r for r in df.collect()} for df in (single, cut))
     assert all(after[i].n_chars == len(after[i].text) <= len(before[i].text) and after[i].source == before[i].source for i in before)
-    found, name = substrings.without_repeats(single)
-    removed = {r.doc_id: sum(r.ends) - sum(r.starts) for r in found.collect()}
-    spark.sql(f"DROP TABLE {name}")
+    removed = {r.doc_id: sum(r.ends) - sum(r.starts) for r in substrings.without_repeats(single).select("doc_id", "repeats.*").collect()}
     assert all(len(before[i].text.encode()) - len(after[i].text.encode()) <= removed[i] for i in before)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in safe.select("doc_id").collect()}
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir, tmp_path):
+    names = ["kept", "chunk", "_id", "n_bytes", "starts", "ends", "repeats", "class_id", "token", "sequence_id", "size", "score"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    docs = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for df in staged(spark, docs, sf_dir, tmp_path)[1:-1]:
+        assert df.columns == docs.columns and df.select(*names).distinct().collect() == [tuple(range(len(names)))]
+
+
+def test_runs_leave_nothing(spark, sf_dir):
+    """Two runs in one session, the first still read when the second begins."""
+    first, second = corpus_pipeline.run(spark, sf_dir), corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(tuple, first.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, second.select("doc_id", "piece", "ids_crc32").collect()))
+    assert not spark.catalog.listTables()
+
+
 def test_empty(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [df.count() for df in staged(spark, docs, sf_dir, tmp_path)] == [0] * 6

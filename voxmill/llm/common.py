@@ -22,16 +22,19 @@ def bound_batches(spark: SparkSession, nbytes: int = ARROW_BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared or tempfile.mkdtemp(prefix="spark-")
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests,
-    a local session) a temporary folder is chosen.
-    """
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and continue from the files."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

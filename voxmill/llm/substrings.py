@@ -22,7 +22,7 @@ are settled by its digest and take no part in step 2.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,8 +36,9 @@ from .hashing import distinct
 WINDOW = 50
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 NAMED = 27
-CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 16 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of text for each range of sampled names (a quarter of the positions) and of whole windows.
+RANGE_BYTES, WINDOW_RANGE_BYTES = 16 << 20, 6 << 20
 PIECE = PERIOD * 50_000
 _LAST = (1 << 63) - 1
 COPY, SAMPLED, WHOLE = 0, 1, 2
@@ -64,6 +65,10 @@ def _names27(raw: np.ndarray) -> np.ndarray:
     return _name(nine[:-18], nine[9:-9], nine[18:])
 
 
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 _residues = np.arange(PIECE)
 _SAMPLED = np.flatnonzero(np.isin(_residues % PERIOD, COVER))
 del _residues
@@ -72,25 +77,22 @@ del _residues
 class Chunk:
     """The documents of one chunk and the sampled names of their texts."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[bytes], whole: bool):
-        self.ids = np.asarray(ids, np.int64)
+    def __init__(self, ids: Sequence[int], texts: Sequence[bytes]):
+        self.ids, self.texts = np.asarray(ids, np.int64), texts
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        names, owner, at, every = [], [], [], []
-        for d, text in enumerate(texts):
-            raw = np.frombuffer(text, np.uint8)
-            own = []
-            for start in range(0, max(len(raw) - NAMED + 1, 0), PIECE):
-                n27 = _names27(raw[start : start + PIECE + NAMED - 1])
+        names, owner, at = [], [], []
+        for d in range(len(texts)):
+            for start in range(0, max(self.sizes[d] - NAMED + 1, 0), PIECE):
+                n27 = self._named(d, start, PIECE)
                 pick = _SAMPLED[: np.searchsorted(_SAMPLED, len(n27))]
                 names.append(n27[pick])
                 owner.append(np.full(len(pick), d, np.int32))
                 at.append(pick + start)
-                own.append(n27)
-            if whole:
-                every.append(own[0] if len(own) == 1 else np.concatenate(own) if own else np.zeros(0, np.uint64))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.names, self.owner, self.at = join(names, np.uint64), join(owner, np.int32), join(at, np.int64)
-        self.every = every
+        self.names, self.owner, self.at = _joined(names, np.uint64), _joined(owner, np.int32), _joined(at, np.int64)
+
+    def _named(self, d: int, start: int, n: int) -> np.ndarray:
+        """Names of 27 bytes at `n` positions of a text from `start` on, or as many as there are."""
+        return _names27(np.frombuffer(self.texts[d], np.uint8)[start : start + n + NAMED - 1])
 
     def sampled_keys(self, ranges: int) -> np.ndarray:
         """(range, 32 bits within the range) of each sampled name; enough to filter, not to decide."""
@@ -123,11 +125,15 @@ class Chunk:
             s = at[cuts[d] : cuts[d + 1]]
             edge = np.bincount(np.clip(s - PERIOD + 1, 0, n), minlength=n + 1) - np.bincount(np.minimum(s + 1, n), minlength=n + 1)
             i = np.flatnonzero(np.cumsum(edge[:n]) > 0)
-            docs.append(np.full(len(i), d, np.int32))
-            places.append(i)
-            names.append(_name(self.every[d][i], self.every[d][i + WINDOW - NAMED]))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return join(docs, np.int32), join(places, np.int64), join(names, np.uint64)
+            for a in range(0, n, PIECE):  # names are made again, but for parts of texts that need them
+                own = i[slice(*np.searchsorted(i, (a, a + PIECE)))]
+                if not len(own):
+                    continue
+                n27 = self._named(d, a, PIECE + WINDOW - NAMED)
+                docs.append(np.full(len(own), d, np.int32))
+                places.append(own)
+                names.append(_name(n27[own - a], n27[own - a + WINDOW - NAMED]))
+        return _joined(docs, np.int32), _joined(places, np.int64), _joined(names, np.uint64)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -212,7 +218,7 @@ def _flags(side: pd.DataFrame, kind: int, where: np.ndarray) -> np.ndarray:
 
 
 def _windows(left: pd.DataFrame, side: pd.DataFrame, ranges: int) -> tuple[Chunk, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    chunk = Chunk(left["_id"].tolist(), left["_raw"].tolist(), whole=True)
+    chunk = Chunk(left["_id"].tolist(), left["_raw"].tolist())
     return chunk, chunk.candidates(ranges, side)
 
 
@@ -236,21 +242,37 @@ def _whole_characters(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple
     return starts[fit], ends[fit]
 
 
-def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = False) -> tuple[DataFrame, str]:
-    """(doc_id, *keep, n_bytes, starts, ends, kept) of every row, and the name of the table it reads.
+def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = False, result: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, *keep, repeats) of every row, or what `result` makes of it, settled.
 
-    `starts` and `ends` are the repeated spans in bytes of the text, `kept` is what lies outside
-    them. With `as_text` spans shrink to whole characters and `kept` is a string. The caller
-    drops the table once the rows are written or settled.
+    `repeats` holds n_bytes, starts, ends and kept: the bytes of the text, its repeated spans in bytes and what
+    lies outside them. With `as_text` spans shrink to whole characters and `kept` is a string. Texts stand in a
+    table of the session's warehouse meanwhile, which goes in any case.
 
     A null text is empty. Texts shorter than the window have no spans. Rows that repeat an id
     don't take from each other; a null id comes after all others. An empty table gives no rows.
+    Columns to keep may have any names but `doc_id` and `repeats`. A text is read in one task, with some
+    40 bytes for each byte of it that a repeated name covers.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     name = f"repeats_{uuid.uuid4().hex}"
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = docs.select("doc_id", *keep, F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), raw.alias("_raw"))
+    renamed = [f"_kept_{k}" for k in range(len(keep))]
+    own_names = [F.col(c).alias(r) for c, r in zip(keep, renamed, strict=True)]
+    rows = docs.select(F.col("doc_id").alias("_doc"), *own_names, F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), raw.alias("_raw"))
+    try:
+        _write_chunks(rows, name)
+        found = _repeats(spark.table(name), as_text)
+        struct = F.struct("n_bytes", "starts", "ends", "kept").alias("repeats")
+        found = found.select(F.col("_doc").alias("doc_id"), *[F.col(r).alias(c) for c, r in zip(keep, renamed, strict=True)], struct)
+        return settled(result(found) if result else found)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _write_chunks(rows: DataFrame, name: str) -> None:
+    """Save the rows, with the number of the chunk of each, as a table bucketed by chunk."""
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, number, held = TaskContext.get().partitionId(), 0, 0
@@ -261,15 +283,23 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
                     number, held = number + 1, 0
                 held += n
                 chunk.append(task << 32 | number)
-            yield b.assign(_chunk=np.array(chunk, np.int64))
+            yield b.assign(chunk=np.array(chunk, np.int64))
 
-    typed = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = rows.mapInPandas(chunked, ", ".join([*typed, "_chunk long"])).withColumnRenamed("_chunk", "chunk")
+    chunks = rows.mapInPandas(chunked, f"{_schema(rows)}, chunk long")
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+
+
+def _schema(df: DataFrame, without: Sequence[str] = ()) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without)
+
+
+def _repeats(texts: DataFrame, as_text: bool) -> DataFrame:
+    """The rows of the chunk table without _id, _raw and chunk, and n_bytes, starts, ends and kept."""
+    spark = texts.sparkSession
     own = texts.select("chunk", "_id", "_raw")
-    ranges = max(1, -(-(texts.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0) // RANGE_BYTES))
+    total = texts.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
+    ranges, window_ranges = (max(1, -(-total // size)) for size in (RANGE_BYTES, WINDOW_RANGE_BYTES))
 
     digests = own.where(F.octet_length("_raw") >= WINDOW).select("chunk", "_id", F.sha2("_raw", 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -277,7 +307,7 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
     copies = later.select("chunk", F.lit(COPY).alias("kind"), F.col("_id").alias("at"), F.lit(None).cast("binary").alias("bits"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = distinct(Chunk(pdf["_id"].tolist(), pdf["_raw"].tolist(), whole=False).sampled_keys(ranges))
+        keys = distinct(Chunk(pdf["_id"].tolist(), pdf["_raw"].tolist()).sampled_keys(ranges))
         return _blobs(int(pdf["chunk"].iloc[0]), keys >> np.uint64(32), keys.astype(np.uint32), None)
 
     names = own.groupBy("chunk").applyInPandas(sample, _BLOB)
@@ -289,22 +319,23 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
         if not len(left):
             return pd.DataFrame(columns=["range", "chunk", "names", "ids"])
         chunk, (owner, _, found) = _windows(left, right, ranges)
-        distinct, least, _ = _least(found, chunk.ids[owner])
-        return _blobs(int(left["chunk"].iloc[0]), _range_of(distinct, ranges), distinct, least)
+        names, least, _ = _least(found, chunk.ids[owner])
+        return _blobs(int(left["chunk"].iloc[0]), _range_of(names, window_ranges), names, least)
 
     windows = own.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(whole, _BLOB)
     side = settled(side.union(windows.groupBy("range").applyInPandas(_answers(WHOLE), _BITS)))
     del windows
     release(spark)
+    passed = [c for c in texts.columns if c not in ("_id", "_raw", "chunk")]
+    columns = [*passed, "n_bytes", "starts", "ends", "kept"]
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", *keep, "n_bytes", "starts", "ends", "kept"]
         if not len(left):
             return pd.DataFrame(columns=columns)
         chunk, (owner, at, found) = _windows(left, right, ranges)
         copied = set(right.loc[right["kind"] == COPY, "at"].tolist())
-        distinct, least, inverse = _least(found, chunk.ids[owner])
-        smaller = _flags(right, WHOLE, _range_of(distinct, ranges))
+        names, least, inverse = _least(found, chunk.ids[owner])
+        smaller = _flags(right, WHOLE, _range_of(names, window_ranges))
         repeated = smaller[inverse] | (chunk.ids[owner] > least[inverse])
         owner, at = owner[repeated], at[repeated]
         cuts = np.searchsorted(owner, np.arange(len(chunk.ids) + 1))
@@ -322,22 +353,14 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
             kept.append(left_over.decode("utf-8", "replace") if as_text else left_over)
         return left.assign(n_bytes=chunk.sizes, starts=starts, ends=ends, kept=kept)[columns]
 
-    result = [t for t, f in zip(typed, rows.schema.fields, strict=True) if f.name not in ("_id", "_raw")]
-    schema = ", ".join([*result, "n_bytes long, starts array<long>, ends array<long>, kept", "string" if as_text else "binary"])
-    schema = schema.replace("kept, ", "kept ")
-    return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(cut, schema), name
+    schema = f"{_schema(texts, ('_id', '_raw', 'chunk'))}, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}"
+    return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(cut, schema)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, name = without_repeats(table(spark, sf_dir, "documents"))
-    out = settled(
-        found.select(
-            "doc_id",
-            "n_bytes",
-            (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-            F.size("starts").cast("long").alias("n_spans"),
-            F.sha2("kept", 256).alias("kept_sha256"),
-        )
-    )
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return out
+    def digest(found: DataFrame) -> DataFrame:
+        r = found.select("doc_id", "repeats.*")
+        removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
+        return r.select("doc_id", "n_bytes", removed, F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+    return without_repeats(table(spark, sf_dir, "documents"), result=digest)
