@@ -6,37 +6,25 @@ columns of `docs`. Between stages the rows are written as Parquet and read again
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import decontamination, learning, neardup, packing, substrings, toxicity
-from voxmill.llm.common import table
+from voxmill.llm.common import shared_folder, table
 
 #: No stage has a SQL form; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
-_read_tables: list[str] = []
-
-
-def _drop_read(spark: SparkSession) -> None:
-    """Drop the working tables of stages whose rows have been written by now."""
-    while _read_tables:
-        spark.sql(f"DROP TABLE IF EXISTS {_read_tables.pop()}")
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the others stay as they are."""
-    _drop_read(spark)
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return learning.below(docs, model, toxicity.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document with the least id stays."""
-    _drop_read(spark)
     gone = neardup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -46,25 +34,28 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that held nothing else stays with an empty text.
     """
-    _drop_read(spark)
-    found, name = substrings.without_repeats(docs, [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")], as_text=True)
-    _read_tables.append(name)
-    out = found.withColumnRenamed("kept", "text")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    own = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = [f"column_{k}" for k in range(len(own))]  # so that none clashes with those of the operator
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(own, names, strict=True)])
+
+    def back(found: DataFrame) -> DataFrame:
+        text = F.col("repeats.kept")
+        columns = {c: F.col(n) for c, n in zip(own, names, strict=True)} | {"doc_id": F.col("doc_id"), "text": text}
+        if "n_chars" in own:
+            columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+    return substrings.without_repeats(renamed, names, as_text=True, result=back)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    _drop_read(spark)
     leaked = decontamination.benchmark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the training sequences."""
-    _drop_read(spark)
     return packing.pack_documents(docs, packing.default_tokenizer(), keep_ids=False)
 
 
@@ -78,8 +69,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
