@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bound_batches, table
 from .trees import Forest, fit_tree
 
-# Element names of HTML by role.
-UNSEEN = "script style noscript template svg math iframe object select textarea button head title".split()
+# Element names of HTML by role. What follows the first kind is text until its end tag, or to the end
+# of the page; the second kind goes where it is closed before a block begins or ends, and left open it is a tag like others.
+RAW = "script style iframe textarea title".split()
+INLINE_UNSEEN = "button noscript select svg template".split()
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -40,11 +42,14 @@ STATES = frozenset("allow allowed can closed disabled enabled free has have hide
 OWN = frozenset("article content entry page post story title".split())
 ALONE = frozenset("form widget".split())
 
+_BLOCK_TAG = r"/?(?:" + "|".join(sorted(BLOCK - {"details", "summary"})) + r")\b"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(UNSEEN) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<part>" + "|".join(INLINE_UNSEEN) + r")\b[^>]*>[^<]*(?:<(?!" + _BLOCK_TAG + r")[^<]*)*?</(?P=part)\s*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[a-zA-Z/!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
+_MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?main\b", re.IGNORECASE)
 _LABEL = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SIZE = re.compile(r"\d+x\d+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
@@ -164,7 +169,7 @@ class Block:
 def flat_blocks(page: str) -> list[Block]:
     """The page's non-empty text blocks in order.
 
-    Comments, scripts, styles and the head hold no text. End tags without a start are passed
+    Comments, scripts, styles and titles hold no text. End tags without a start are passed
     over, and an element left open ends with the one around it. What lies outside an article
     doesn't mark what is inside, except reader comments; nothing marks the body or a main element.
     A mark within a token (right-sidebar) may tell of the page's layout: it doesn't hold for an
@@ -196,8 +201,6 @@ def flat_blocks(page: str) -> list[Block]:
                 linked.append(page[at : m.start()])
         at = m.end()
         if not m["name"]:
-            if m["raw"] and m["raw"].lower() in BLOCK:
-                close()
             continue
         name, end = m["name"].lower(), bool(m["end"])
         if name == "a":
@@ -219,11 +222,12 @@ def flat_blocks(page: str) -> list[Block]:
                     break
         else:
             _, article, side, talk, doubt = stack[-1]
-            whole, within = marked(m["attrs"]) if m["attrs"] and name not in ("body", "main") else (frozenset(), frozenset())
+            main = name == "main" or bool(m["attrs"] and _MAIN.search(m["attrs"]))
+            whole, within = marked(m["attrs"]) if m["attrs"] and name != "body" and not main else (frozenset(), frozenset())
             if article:
                 whole, within = whole - {"header"}, within - {"header"}
-            talk = name != "main" and (talk or bool((whole | within) & TALK))
-            if name in ("article", "main"):
+            talk = not main and (talk or bool((whole | within) & TALK))
+            if name == "article" or main:
                 article, side, doubt = True, bool(whole) or talk, ()
             else:
                 side = side or bool(whole) or talk or (name in SIDE and not (name == "header" and article))
