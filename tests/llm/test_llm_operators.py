@@ -420,10 +420,69 @@ def test_decontamination_among_benchmark_words(spark):
     assert len(planted) > 250 and planted <= got and len(got - planted) < 40
 
 
+def brute_leaks(docs, items):
+    """Pairs whose item has a common subsequence of SURE of its words in some region of half its length more."""
+    found = set()
+    for i, text in docs.items():
+        words = text.split()
+        for k, item in items.items():
+            reach = len(item.split()) * 3 // 2
+            number = {w: n for n, w in enumerate(dict.fromkeys(words + item.split()))}
+            at, own = np.array([number[w] for w in words]), np.array([number[w] for w in item.split()])
+            regions = [at[a : a + reach] for a in range(0, max(1, len(at) - reach // 3), 2)]
+            if any(decontamination.common_subsequence(own, r) >= decontamination.SURE * len(own) for r in regions if len(np.intersect1d(own, r)) * 2 > len(own)):
+                found.add((i, k))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    """Recall of the latent candidates over edits of every strength, in texts of the benchmark's own words."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(4, 8))) for _ in range(600)]
+    weights = [1 / (k + 3) for k in range(len(pool))]
+    items = {k: " ".join(rng.choices(pool, weights, k=rng.randint(8, 70))) for k in range(25)}
+    docs = {}
+    for k, item in items.items():
+        for way in range(8):
+            copy = [w for w in (rng.choice(pool) if rng.random() < way * 0.04 else w for w in item.split()) if rng.random() > way * 0.01]
+            at = len(docs)
+            docs[at] = " ".join(rng.choices(pool, weights, k=rng.randint(0, 90)) + copy + rng.choices(pool, weights, k=rng.randint(0, 90)))
+    expected = brute_leaks(docs, items)
+    found = decontamination.benchmark_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    sure = {(r.doc_id, r.item_id) for r in found if r.similarity >= decontamination.SURE}
+    assert len(expected) > 100 and len(expected & sure) >= 0.97 * len(expected)
+
+
+def test_decontamination_at_any_size(spark, monkeypatch):
+    """The same rows whether items are searched at once or in turns, and texts whole or in overlapping sections."""
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcdefghijklmn") for _ in range(6)) for _ in range(300)]
+    items = {k: " ".join(rng.choices(pool, k=rng.randint(5, 50))) for k in range(30)}
+    docs = {k: " ".join(rng.choices(pool, k=300)) + " " + items[k] + " " + " ".join(rng.choices(pool, k=300)) for k in range(30)}
+    d, b = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    pairs = lambda: {(r.doc_id, r.item_id) for r in decontamination.benchmark_leaks(d, b).collect() if r.similarity == 1}
+    whole = pairs()
+    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 7)
+    assert pairs() == whole >= {(k, k) for k in range(30)}
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 500)
+    assert pairs() == whole
+
+
+def test_decontamination_short_and_unspaced_items(spark):
+    """Items under five words are found by their exact words, a single word only as the whole text; unspaced scripts by character."""
+    items = [(1, "three little words"), (2, "Word"), (3, "今天天气很好我们去公园散步吧"), (4, "two words."), (5, "你好吗")]
+    docs = [(10, "say three little words again"), (11, "three words little"), (12, "word"), (13, "a word here"), (14, "他说：今天天气很好，我们去公园散步吧。好的"), (15, "three “little” words"), (16, "那么你好吗朋友"), (17, "你们好")]
+    got = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(10, 1), (12, 2), (14, 3), (15, 1), (16, 5)}
+    short = decontamination.benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items[:2], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in short.collect()} == {(10, 1), (12, 2), (15, 1)}
+
+
 def test_subsequences_together():
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{w}" for w in rng.integers(0, 30, n)) for n in (5, 20, 63, 64, 65, 90)]
-    items = decontamination.prepare_items(list(enumerate(texts)))
+    rows = decontamination.item_words(list(enumerate(texts)))
+    items = decontamination.prepare_items(rows, np.unique(np.concatenate([w for _, w in rows])))
     group = decontamination.Group(items, np.arange(len(texts)))
     names = rng.choice(np.concatenate([items.vocabulary, np.arange(9, dtype=np.uint64)]), 200)
     known, place = items.places(names)
@@ -477,6 +536,26 @@ LAYOUTS = [
 ]
 
 
+LAYOUTS += [
+    "<html><head><title>No</title><meta charset=utf-8><body><nav><a href=/>Home</a></nav><article><h1>Head line</h1>{}</article>",
+    "<html><head><title>No</title><style>p</style><link rel=x></head><article><h1>Head line</h1>{}</article></html>",
+    "<body><article><button><h1>Head line</h1>{}</article></body>",
+    "<body><nav><button>Menu</nav><article><h1>Head line</h1>{}</article><footer><select><option>En</footer></body>",
+    '<body><article class="search-result"><h1>Head line</h1>{}</article></body>',
+    '<body><article><div class="entry no-sidebar"><h1>Head line</h1>{}</div></article></body>',
+    '<body><div id=top><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div role="main" class="content-sidebar"><h1>Head line</h1>{}</div></body>',
+    '<body><article><svg><title>icon</title><text>no</text></svg><noscript>no</noscript><h1>Head line</h1>{}<button type=button>Share</button></article></body>',
+    "<body class='home sidebar-left'><main id=content><h1>Head line</h1>{}</main><aside><p>See these other stories now</p></aside></body>",
+    "<body><div id=page><header><p>The Daily</p></header><article><h1>Head line</h1>{}</article></div><script>document.write('<p>no</p>')</body>",
+]
+
+
+def test_html_keeps_formulas_and_fallbacks(spark):
+    page = "<article><p>We know that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> holds for <object data=x>the drawing of it</object> in every case that we have seen.</p></article>"
+    got = html.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert got.text == "We know that a=b holds for the drawing of it in every case that we have seen."
+
+
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_html_layout_words_drop_nothing(spark, layout):
     got = html.extract_pages(spark.createDataFrame([(1, "u", layout.format(STORY))], "page_id long, url string, html string")).first()

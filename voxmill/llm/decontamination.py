@@ -8,11 +8,13 @@ the items are projected and held against each other by cosine;
 what is close enough is decided on the words: the longest common subsequence of item and
 region, and for middling ones whether the item's answer, its closing words, is there too.
 The cosine is a loose gate; a bound on the subsequence from counts of words keeps the checks few.
+Items of a few words have no say in a cosine; they are sought by their exact sequence of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,23 +35,40 @@ SURE, LIKELY, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 5
 #: Words in more than this share of the passages have no column, unless they are among the rarest of an item.
 COMMON_SHARE, RAREST = 0.1, 5
-BLOCK_ITEMS = 20_000  # items held by a task at once; more are searched in turns
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20  # items held by a task at once, and their text; more are searched in turns
 GROUP = 128  # items held against a slice at once
 CHECKED = 1 << 16  # candidates checked at once
 SLICE_BYTES = 1 << 20
+#: Sections of a longer text overlap by so many bytes for each byte of the longest item, and by as many more.
+OVERLAP, OVERLAP_BYTES = 3, 4096
 
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and places of the words of lower-cased UTF-8: runs of 0-9, a-z and what isn't ASCII.
+
+    General and ideographic punctuation parts words. Scripts without spaces (U+3000 to U+9FFF, Thai, Lao) have a word for each character.
+    """
+    lead = np.flatnonzero((raw >= 0xE0) & (raw <= 0xEF))
+    if not len(lead):
+        return word_names(raw, _IN_WORD)
+    first, second = raw[lead], raw[np.minimum(lead + 1, len(raw) - 1)]
+    mark = ((first == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((first == 0xE3) & (second == 0x80)) | ((first == 0xEF) & (second >= 0xBC))
+    alone = ((first >= 0xE3) & (first <= 0xE9)) | ((first == 0xE0) & (second >= 0xB8) & (second <= 0xBB))
+    return word_names(raw, _IN_WORD, lead[mark], lead[alone & ~mark])
+
+
 @dataclass
 class Slice:
-    """The words of some whole documents: names, document of each word, and word bounds of each document."""
+    """The words of some whole documents or sections: names, document of each word, and word bounds of each document."""
 
     ids: list
     names: np.ndarray
     doc: np.ndarray
     bounds: np.ndarray
+    whole: np.ndarray  # whether a document stands here as a whole
 
     def blocks(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Block number of each word and first block of each document (and the total)."""
@@ -58,36 +77,52 @@ class Slice:
         return first[self.doc] + (np.arange(len(self.names)) - self.bounds[self.doc]) // words, first
 
 
-def sliced(batches: Iterator[pd.DataFrame]) -> Iterator[Slice]:
-    def made(ids, texts):
+def sections(text: bytes, overlap: int) -> Iterator[bytes]:
+    """A text in parts of at most SLICE_BYTES that begin and end at white space where there is some, each with the last `overlap` bytes of the one before."""
+    at = 0
+    while len(text) - at > SLICE_BYTES:
+        end = text.rfind(b" ", at + SLICE_BYTES // 2, at + SLICE_BYTES)
+        end = end if end > 0 else at + SLICE_BYTES
+        yield text[at:end]
+        back = text.find(b" ", max(at + 1, end - overlap), end)
+        at = back if overlap and back > 0 else end
+    yield text[at:]
+
+
+def sliced(batches: Iterator[pd.DataFrame], overlap: int = 0) -> Iterator[Slice]:
+    def made(ids, texts, whole):
         starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
-        names, at = word_names(np.frombuffer(b"\n".join(texts), np.uint8), _IN_WORD)
+        names, at = words_of(np.frombuffer(b"\n".join(texts), np.uint8))
         doc = np.searchsorted(starts, at, "right") - 1
-        return Slice(ids, names, doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
+        return Slice(ids, names, doc, np.searchsorted(doc, np.arange(len(texts) + 1)), np.array(whole))
 
-    ids, texts, held = [], [], 0
+    ids, texts, whole, held = [], [], [], 0
     for b in batches:
         for i, t in zip(b["doc_id"], b["text"], strict=True):
             if isinstance(t, str) and t:
-                ids.append(i)
-                texts.append(t.lower().encode("utf-8", "surrogatepass"))
-                held += len(texts[-1])
-                if held > SLICE_BYTES:
-                    yield made(ids, texts)
-                    ids, texts, held = [], [], 0
+                raw = t.lower().encode("utf-8", "surrogatepass")
+                for part in sections(raw, min(overlap, SLICE_BYTES // 4)):
+                    ids.append(i)
+                    texts.append(part)
+                    whole.append(len(part) == len(raw))
+                    held += len(part)
+                    if held > SLICE_BYTES:
+                        yield made(ids, texts, whole)
+                        ids, texts, whole, held = [], [], [], 0
     if texts:
-        yield made(ids, texts)
+        yield made(ids, texts, whole)
 
 
 @dataclass
 class Items:
-    """A bounded block of benchmark items and the columns of their words."""
+    """A bounded block of benchmark items and the columns of all items' words."""
 
     ids: list
     words: list[np.ndarray]
     vocabulary: np.ndarray  # sorted names
     table: np.ndarray  # low bits of a name -> place in the vocabulary
     active: np.ndarray  # columns that take part
+    short: dict[int, dict[bytes, list]]  # number of words, below MIN_WORDS -> their names -> items
 
     def places(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which words are in the vocabulary, and their places in it."""
@@ -104,34 +139,38 @@ class Items:
         fit = self.active[column]
         return known[fit], column[fit]
 
-    def without_common(self, held: np.ndarray, passages: int) -> Items:
-        """The same items without the columns of common words."""
-        keep = held <= COMMON_SHARE * passages
+    def rarest(self, held: np.ndarray) -> np.ndarray:
+        """The columns of the rarest words of each item."""
+        out = np.zeros(len(self.active), bool)
         for w in self.words:
             own = distinct(self.columns(w)[1])
-            keep[own[np.argsort(held[own], kind="stable")[:RAREST]]] = True
-        return replace(self, active=keep)
+            out[own[np.argsort(held[own], kind="stable")[:RAREST]]] = True
+        return out
 
     @property
     def width(self) -> int:
         return min(len(self.vocabulary), MAX_COLUMNS)
 
 
-def prepare_items(rows: list[tuple[int, str]]) -> Items:
-    """Items with at least MIN_WORDS words. Where low bits clash, the table says -1 and a search decides."""
-    ids, words = [], []
-    for i, text in rows:
-        names = word_names(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8), _IN_WORD)[0]
-        if i is not None and len(names) >= MIN_WORDS:
-            ids.append(i)
-            words.append(names)
-    vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+def item_words(rows: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+    """The words of the items that have an id and any."""
+    found = [(i, words_of(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8))[0]) for i, text in rows if i is not None]
+    return [(i, w) for i, w in found if len(w)]
+
+
+def prepare_items(rows: list[tuple[int, np.ndarray]], vocabulary: np.ndarray) -> Items:
+    """Where low bits of the vocabulary's names clash, the table says -1 and a search decides."""
+    short: dict[int, dict[bytes, list]] = {}
+    for i, w in rows:
+        if len(w) < MIN_WORDS:
+            short.setdefault(len(w), {}).setdefault(w.tobytes(), []).append(i)
+    rows = [(i, w) for i, w in rows if len(w) >= MIN_WORDS]
     size = 1 << max(16, int(len(vocabulary) * 16).bit_length())
     slot = (vocabulary & np.uint64(size - 1)).astype(np.int64)
     lookup = np.zeros(size, np.int64)
     lookup[slot] = np.arange(len(vocabulary))
     lookup[np.flatnonzero(np.bincount(slot, minlength=size) > 1)] = -1
-    return Items(ids, words, vocabulary, lookup, np.ones(max(1, min(len(vocabulary), MAX_COLUMNS)), bool))
+    return Items([i for i, _ in rows], [w for _, w in rows], vocabulary, lookup, np.ones(max(1, min(len(vocabulary), MAX_COLUMNS)), bool), short)
 
 
 def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
@@ -172,7 +211,7 @@ def _products(column: np.ndarray, passage: np.ndarray, weight: np.ndarray, start
     into[names] += g * weight[names, None]
 
 
-def decompose(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
+def decompose(docs: DataFrame, items: Items, weight: np.ndarray, blocks: Callable[[], Iterator[Items]]) -> np.ndarray:
     """(columns, RANK): the leading right singular vectors, by a single-pass Nystrom sketch.
 
     They are not scaled by the singular values: that gives weak directions a say in which an
@@ -200,9 +239,10 @@ def decompose(docs: DataFrame, items: Items, weight: np.ndarray) -> np.ndarray:
     for r in parts:
         g[r.part : r.part + step] = np.frombuffer(r.data, np.float64).reshape(-1, width)
     own = np.zeros((items.width, width), np.float32)
-    for i, w in enumerate(items.words):
-        column = items.columns(w)[1]
-        _products(column, np.full(len(column), i), weight, start, own)
+    for block in blocks():
+        for i, w in enumerate(block.words):
+            column = items.columns(w)[1]
+            _products(column, np.full(len(column), i), weight, start, own)
     start = start.astype(np.float64)
     g += own * (np.abs(np.sum(start * g)) / max(np.abs(np.sum(start * own)), 1e-9) if g.any() else 1.0)
     shift = 1e-9 * max(np.linalg.norm(g), 1e-9)
@@ -281,9 +321,9 @@ class Group:
         return out
 
 
-def _search(items: Items, projection: np.ndarray):
+def _search(items: Items, projection: np.ndarray, overlap: int):
     projection = projection.astype(np.float32)
-    latent = np.array([projection[items.columns(w)[1]].sum(0) for w in items.words]).reshape(len(items.words), -1)
+    latent = np.array([projection[items.columns(w)[1]].sum(0) for w in items.words]).reshape(len(items.words), projection.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     lengths = np.array([len(w) for w in items.words])
     kind = np.abs(np.log(lengths[:, None] / np.array(WINDOWS))).argmin(1)
@@ -302,11 +342,23 @@ def _search(items: Items, projection: np.ndarray):
         a = s.bounds[d] + (at - first[d]) * BLOCK
         return i, d, np.maximum(s.bounds[d], a - reach // 2), np.minimum(s.bounds[d + 1], a + window + reach // 2)
 
+    def exact(s: Slice) -> Iterator[tuple[int, int]]:
+        """(document, item) of the short items whose words stand in a document one after the other, a single one as all of it."""
+        for n, known in items.short.items():
+            firsts = np.array([np.frombuffer(w, np.uint64)[0] for w in known])
+            at = np.flatnonzero(np.isin(s.names, firsts))
+            at = at[at + n <= s.bounds[s.doc[at] + 1]]
+            if n == 1:
+                at = at[s.whole[s.doc[at]] & (np.diff(s.bounds)[s.doc[at]] == 1)]
+            for k in at.tolist():
+                for i in known.get(s.names[k : k + n].tobytes(), ()):
+                    yield s.doc[k], i
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         padded = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
         groups = [Group(items, np.arange(a, min(a + GROUP, len(items.ids)))) for a in range(0, len(items.ids), GROUP)]
-        for s in sliced(batches):
-            found = []
+        for s in sliced(batches, overlap):
+            found = [(s.ids[d], i, 1.0, True) for d, i in exact(s)]
             _, first = s.blocks(BLOCK)
             owner = np.repeat(np.arange(len(s.ids)), np.diff(first))
             inner = s.bounds[owner] + (np.arange(first[-1]) - first[owner]) * BLOCK
@@ -356,27 +408,44 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, answer): documents that hold a benchmark item, with the share of
     its words found in order and whether its closing words are among them.
 
-    One row for each pair of ids. Null and empty texts hold nothing; items below MIN_WORDS words
-    are not sought; an empty side gives no rows. Items are searched in blocks of BLOCK_ITEMS.
+    One row for each pair of ids. Null and empty texts hold nothing; items without an id or words are not
+    sought, and those under MIN_WORDS words only by their exact sequence (a single word: as the whole text).
+    An empty side gives no rows. Other columns are not read. The latent space is made once, from all items
+    and all documents; only the search goes over blocks of items, each with a pass over the documents.
+    Beyond MAX_COLUMNS distinct words of the benchmark, some share a column of that space: a coarser
+    cosine, while checks stay on words. The driver holds a block of items and 8 bytes for each distinct word.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     texts = docs.select("doc_id", "text")
-    turns = max(1, -(-benchmark.count() // BLOCK_ITEMS))
-    found = None
-    for turn in range(turns):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn).select("item_id", "text").collect()
-        items = prepare_items([(r.item_id, r.text) for r in rows])
-        if not items.ids:
-            continue
-        held, passages = passage_counts(texts, items)
-        weight = np.log((passages + 1) / (held + 1)) + 1e-3
-        items = items.without_common(held, passages)
-        part = texts.mapInPandas(_search(items, decompose(texts, items, weight) * weight[:, None]), "doc_id long, item_id long, similarity double, answer boolean")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double, answer boolean")
-    return found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("answer").alias("answer"))
+    size = benchmark.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.max(F.octet_length("text")).alias("longest")).first()
+    turns = max(1, -(-size.n // BLOCK_ITEMS), -(-(size.bytes or 0) // BLOCK_BYTES))
+    overlap = OVERLAP * (size.longest or 0) + OVERLAP_BYTES
+
+    def collected() -> Iterator[list[tuple[int, np.ndarray]]]:
+        for turn in range(turns):
+            mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn)
+            yield item_words([(r.item_id, r.text) for r in mine.select("item_id", "text").collect()])
+
+    if turns == 1:
+        only = list(collected())
+        collected = lambda: iter(only)
+    vocabulary = np.zeros(0, np.uint64)
+    for rows in collected():
+        vocabulary = np.unique(np.concatenate([vocabulary, *[w for _, w in rows]]))
+    schema = "doc_id long, item_id long, similarity double, answer boolean"
+    if not len(vocabulary):
+        return spark.createDataFrame([], schema)
+    blocks = lambda: (prepare_items(rows, vocabulary) for rows in collected())
+    every = prepare_items([], vocabulary)
+    held, passages = passage_counts(texts, every)
+    weight = np.log((passages + 1) / (held + 1)) + 1e-3
+    active = held <= COMMON_SHARE * passages
+    for block in blocks():
+        active |= block.rarest(held)
+    projection = decompose(texts, replace(every, active=active), weight, blocks) * weight[:, None]
+    parts = [texts.mapInPandas(_search(replace(block, active=active), projection, overlap), schema) for block in blocks()]
+    return functools.reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("answer").alias("answer"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

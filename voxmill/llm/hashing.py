@@ -32,14 +32,22 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.diff(a, prepend=~a[:1]) != 0]
 
 
-def word_names(raw: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_names(raw: np.ndarray, in_word: np.ndarray, gaps: np.ndarray | None = None, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Names and start offsets of the runs of bytes for which `in_word` (a table of 256) holds.
 
     A name is a polynomial of the word's bytes, taken from running sums over the whole array,
-    so equal words have equal names wherever they stand.
+    so equal words have equal names wherever they stand. Three bytes from an offset in `gaps` on
+    are no word, and from one in `alone` on a word of their own.
     """
-    edge = np.flatnonzero(np.diff(in_word[raw], prepend=False, append=False))
+    held = in_word[raw]
+    if gaps is not None and len(gaps):
+        held[np.concatenate([gaps, gaps + 1, gaps + 2])] = False
+    edge = np.flatnonzero(np.diff(held, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
+    if alone is not None and len(alone):
+        edge = np.unique(np.concatenate([edge, alone, alone + 3]))
+        own = held[np.minimum(edge[:-1], len(raw) - 1)]
+        start, end = edge[:-1][own], edge[1:][own]
     if not len(start):
         return np.zeros(0, np.uint64), start
     power, back = _powers_to(len(raw) + 1)
