@@ -29,7 +29,7 @@ class TextModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most `max_rows` labelled rows outside the held-out bucket.
+    """(doc_id, text, y, calibrates) of at most `max_rows` labelled rows outside the held-out bucket.
 
     The row limit is what makes the broadcast of ids and the driver's share bounded.
     Labels other than 0 and 1 and null ids are left out; of repeated labels the largest counts,
@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         .limit(max_rows)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    calibrates = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATION_SHARE)) == 0
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("calibrates", calibrates)
 
 
 def feature_rows(sample: DataFrame, features: Callable[[list[str]], np.ndarray], width: int) -> pd.DataFrame:
@@ -54,17 +55,16 @@ def feature_rows(sample: DataFrame, features: Callable[[list[str]], np.ndarray],
         for b in batches:
             if len(b):
                 x = features(b["text"].fillna("").tolist())
-                yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": list(x.astype("float64"))})
+                yield b[["doc_id", "y", "calibrates"]].assign(x=list(x.astype("float64")))
 
-    return sample.mapInPandas(rows, "doc_id long, y int, x array<double>").toPandas().sort_values(["doc_id", "y"])
+    return sample.mapInPandas(rows, "doc_id long, y int, calibrates boolean, x array<double>").toPandas().sort_values(["doc_id", "y"])
 
 
 def fit(rows: pd.DataFrame, features: Callable, width: int, **options) -> TextModel:
-    """Boosted trees on three quarters of the sample, isotonic calibration on the rest."""
+    """Boosted trees on most of the sample, isotonic calibration on the rows set apart for it."""
     x = np.array(rows["x"].tolist(), float).reshape(-1, width)
     y = rows["y"].to_numpy(float)
-    part = rows["doc_id"].to_numpy(np.int64) * 2654435761 % (1 << 32) * CALIBRATION_SHARE >> 32
-    own = part != 0
+    own = ~rows["calibrates"].to_numpy(bool)
     forest = fit_boosted(x[own], y[own], **options)
     held = forest.probability(x[~own])
     usable = len(held) >= 50 and 0 < y[~own].sum() < len(held)

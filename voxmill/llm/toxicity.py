@@ -119,7 +119,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int
     """
     bound_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", modulus, held, max_rows)
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.where("not calibrates"))  # calibration is on rows that no feature has seen
     features = functools.partial(text_features, lexicon=lexicon)
     return fit(feature_rows(sample, features, WIDTH), features, WIDTH, trees=60, depth=3)
 
