@@ -9,26 +9,16 @@ from voxmill.functions import normalize, numerals, text
 from voxmill.operators import sentences
 
 SPOKEN = [
-    ("编号：1789310", "编号：一七八九三一零"), ("15kg", "十五千克"), ("300元", "三百元"),
-    ("2024年3月15日", "二零二四年三月十五日"), ("2024-03-15", "二零二四年三月十五日"), ("3-5天", "三到五天"),
-    ("2万, 2000万, 200万, 20万", "二万, 二千万, 二百万, 二十万"),
-    ("USB3.0 接口, H2O, v2, A1-2B, C-130", "USB3.0 接口, H2O, v2, A1-2B, C-130"),
-    ("A2024年 不应改, V2kg 不应改", "A2024年 不应改, V2kg 不应改"), ("03月05日", "三月五日"),
-    ("违停罚单，编号20240305", "违停罚单，编号二零二四零三零五"),
-    ("人民币0.75元（约合0.11美元", "人民币零点七五元（约合零点一一美元"), ("订单号是：08195761", "订单号是：零八一九五七六一"),
-    ("配上16GB内存和512GB硬盘", "配上十六吉比内存和五百一十二吉比硬盘"), ("订3月15日MU5115上海飞北京", "订三月十五日MU5115上海飞北京"),
-    ("修武县气象台2023年6月11日20时53分发布", "修武县气象台二零二三年六月十一日二十时五十三分发布"),
-    ("65英寸，4k分辨率，", "六十五英寸，4k分辨率，"), ("大概是100元", "大概是一百元"), ("下个月的15号到17号", "下个月的十五号到十七号"),
-    ("支付137.9元", "支付一百三十七点九元"), ("指南：1.政府及相关部", "指南：一.政府及相关部"), ("超过5000公里了", "超过五千公里了"),
-    ("男性平均为 3500-4000 mL，女性为 2500-3000 mL", "男性平均为 三千五百到四千毫升，女性为 二千五百到三千毫升"),
-    ("住宿日期从11月20日到11月23日", "住宿日期从十一月二十日到十一月二十三日"), ("充值300返1000’的", "充值三百返一千’的"),
-    ("11月20号入", "十一月二十号入"), ("素受体（PTH1R）广泛分", "素受体（PTH1R）广泛分"),
-    ("台2022年11月27日11时40分发布", "台二零二二年十一月二十七日十一时四十分发布"),
-    ("伊犁州气象局2023年3月31日17时联", "伊犁州气象局二零二三年三月三十一日十七时联"), ("筛查，价格1280元，", "筛查，价格一千二百八十元，"),
-    ("预计27-29日", "预计二十七到二十九日"), ("29日全县最高气温降至-12到-6℃", "二十九日全县最高气温降至负十二到负六摄氏度"),
-    ("全县有5级左右（5.5到13.8米/秒", "全县有五级左右（五点五到十三点八米每秒"), ("天气（能见度1到9千米", "天气（能见度一到九千米"),
-    ("18000元", "一万八千元"), ("温度-3.5°C，折扣12.5%", "温度负三点五摄氏度，折扣百分之十二点五"),
-    ("2024年", "二千零二十四年"), ("5 goals", "五克oals"), ("", ""),
+    # dates and times
+    ("会议在 1998-7-21 举行", "会议在 一九九八年七月二十一日 举行"), ("1066年10月14日开战", "一零六六年十月十四日开战"), ("7月1日放假", "七月一日放假"), ("闹钟定在6时45分", "闹钟定在六时四十五分"),
+    # shares, ranges, signs
+    ("电量剩 8 %", "电量剩 百分之八"), ("涨幅0.5%", "涨幅百分之零点五"), ("等7~10天", "等七到十天"), ("冷库保持-18℃", "冷库保持负十八摄氏度"), ("海拔 -154。", "海拔 负一百五十四。"), ("夜里-4-9℃", "夜里负四到九摄氏度"),
+    # numbers with units, as written or in another case
+    ("背包重12kg", "背包重十二千克"), ("全长42.195KM", "全长四十二点一九五千米"), ("风速6m/s", "风速六米每秒"), ("主频3GHz", "主频三吉赫兹"),
+    # bare numbers: quantities, identifiers, long ones, decimals
+    ("来了1203人", "来了一千二百零三人"), ("工号：4417", "工号：四四一七"), ("约100500，", "约一零零五零零，"), ("100500台", "十万五百台"), ("圆周率3.14", "圆周率三点一四"), ("标价 9.90元", "标价 九点九零元"),
+    # tokens of letters and digits stay, and so does text without numbers
+    ("把 MP3 和 B-52 交给 R2D2 看", "把 MP3 和 B-52 交给 R2D2 看"), ("接 HDMI2.1 线", "接 HDMI2.1 线"), ("Q4年报", "Q4年报"), ("没有数字", "没有数字"), ("3 little pigs", "三升ittle pigs"), ("", ""),
 ]
 
 

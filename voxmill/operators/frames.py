@@ -80,16 +80,25 @@ def pad_and_merge(segs: DataFrame, pad: int, length: str | int) -> DataFrame:
     return numbered.groupBy(CLIP, "_seg").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_seg")
 
 
-def _inside(df: DataFrame, segs: DataFrame, hop: int) -> tuple[DataFrame, DataFrame, Column]:
-    f, s = df.alias("f"), segs.alias("s")
-    at = F.col("f.frame_idx") * hop
-    return f, s, (F.col(f"f.{CLIP}") == F.col(f"s.{CLIP}")) & (at >= F.col("s.start")) & (at < F.col("s.end"))
+def _placed(df: DataFrame, segs: DataFrame, hop: int) -> DataFrame:
+    """The frames with the `_start` and `_end` of the segment that each starts in, or nulls.
+
+    A clip's segments must not overlap. They stand among its frames in order of time, and each frame
+    looks back to the last one: a sort of the clip, however many segments it has.
+    """
+    frames = df.withColumn("_at", (F.col("frame_idx") * hop).cast("long"))
+    both = frames.unionByName(segs.select(CLIP, F.col("start").alias("_at"), F.col("start").alias("_start"), F.col("end").alias("_end")), allowMissingColumns=True)
+    order = _clip().orderBy("_at", F.col("frame_idx").isNotNull())
+    back = lambda c: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    looked = both.select(*df.columns, "_at", back("_start").alias("_start"), back("_end").alias("_end")).where("frame_idx is not null")
+    inside = F.col("_at") < F.col("_end")
+    return looked.select(*df.columns, F.when(inside, F.col("_start")).alias("_start"), F.when(inside, F.col("_end")).alias("_end"))
 
 
 def segment_energy(df: DataFrame, segs: DataFrame, hop: int) -> DataFrame:
-    """Segments with the mean `energy` of the frames that start in them."""
-    f, s, inside = _inside(df, segs, hop)
-    return f.join(s, inside).groupBy(F.col(f"s.{CLIP}").alias(CLIP), F.col("s.start").alias("start"), F.col("s.end").alias("end")).agg(F.avg("f.energy").alias("energy"))
+    """Segments (none over another) with the mean `energy` of the frames that start in them."""
+    held = _placed(df, segs, hop).where("_end is not null")
+    return held.groupBy(CLIP, F.col("_start").alias("start"), F.col("_end").alias("end")).agg(F.avg("energy").alias("energy"))
 
 
 def segment_score(segs: DataFrame, sr: int, hnr: str | None = None) -> DataFrame:
@@ -133,13 +142,11 @@ def stitch_in_order(segs: DataFrame, want: int) -> DataFrame:
 
 
 def snr_from_speech(df: DataFrame, segs: DataFrame, hop: int, sr: int) -> DataFrame:
-    """(clip_id, snr_db): mean energy inside over outside the segments.
+    """(clip_id, snr_db): mean energy inside over outside the segments, none of which lies over another.
 
     Where either side has under 0.2 s, the 0.8 and 0.2 quantiles of the frames' magnitudes are used.
     """
-    f, s, inside = _inside(df, segs, hop)
-    flagged = f.join(s, inside, "left_semi").select(CLIP, "frame_idx", F.lit(True).alias("_in"))
-    marked = df.join(flagged, [CLIP, "frame_idx"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    marked = _placed(df, segs, hop).withColumn("_in", F.col("_end").isNotNull())
     magnitude = F.sqrt("energy")
     sides = marked.groupBy(CLIP).agg(
         (F.count_if("_in") * hop).alias("_speech"),

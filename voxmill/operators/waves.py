@@ -14,13 +14,13 @@ TARGET_DB = -23.0
 
 
 def _each(change: Callable[..., np.ndarray], *columns: Column) -> Column:
-    """Apply `change` to each row's samples (and further columns) in Arrow batches; null stays null."""
+    """Apply `change` to each row's samples (and further columns), in doubles, in Arrow batches; null stays null."""
 
     @F.pandas_udf(SAMPLES)
     def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
         out = []
         for row in zip(first, *rest, strict=True):
-            out.append(None if row[0] is None else np.asarray(change(np.array(row[0], np.float32), *row[1:]), np.float32))
+            out.append(None if row[0] is None else np.asarray(change(np.array(row[0], np.float64), *row[1:]), np.float32))
         return pd.Series(out)
 
     return run(*columns)

@@ -313,12 +313,70 @@ def _(spark, d):
     )
 
 
-@query("spoken_prices")
+def _said_digits(x: str) -> str:
+    return f"translate(CAST({x} AS VARCHAR), '0123456789.', '零一二三四五六七八九点')"
+
+
+def _said(n: str) -> str:
+    """SQL of the numeral of a whole number below 10^16."""
+    parts = []
+    for power, name in ((12, "兆"), (8, "亿"), (4, "万"), (0, "")):
+        four = f"lpad(CAST(({n}) // {10**power} % 10000 AS VARCHAR), 4, '0')"
+        placed = f"regexp_replace({_said_digits(four)}, '^(.)(.)(.)(.)$', '\\1千\\2百\\3十\\4')"
+        group = f"trim(regexp_replace(regexp_replace({placed}, '零[千百十]', '零', 'g'), '零+', '零', 'g'), '零')"
+        parts.append(f"CASE WHEN {group} = '' THEN '' ELSE {group} || '{name}' END")
+    return f"CASE WHEN ({n}) = 0 THEN '零' ELSE regexp_replace({' || '.join(parts)}, '^一十', '十') END"
+
+
+@query("spoken_prices", f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003 AS k, printf('%.2f', o_totalprice) AS p FROM orders)
+  SELECT o_orderkey, {_said("k")} AS key, {_said("CAST(split_part(p, '.', 1) AS BIGINT)")} || '点' || {_said_digits("split_part(p, '.', 2)")} AS price FROM o""")
 def _(spark, d):
     price = F.format_string("%.2f", "o_totalprice")
     return table(spark, d, "orders").select("o_orderkey", numerals.int_to_chinese(F.col("o_orderkey") * 1000003).alias("key"), numerals.number_to_chinese(price).alias("price"))
 
 
+def written_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A text for each rule of the normaliser, around an order's numbers and date."""
+    o = table(spark, d, "orders").withColumn("n", (F.col("o_orderkey") % 9990).cast("int"))
+    n, day = F.col("n"), F.col("o_orderdate").cast("date")
+    text = lambda form, *c: F.format_string(form, *(c or (n,)))
+    return o.select(
+        "o_orderkey", F.date_format(day, "'发于 'yyyy-MM-dd'。'").alias("dashed"),
+        text("%d年%d月%d日发布", F.year(day), F.month(day), F.dayofmonth(day)).alias("dated"),
+        text("于%d月%d日%d时%d分", F.month(day), F.dayofmonth(day), n % 24, n % 60).alias("timed"),
+        text("约%d%%左右").alias("share"), text("需要%d-%d天", n, n + 3).alias("span"), text("气温-%d℃").alias("signed"), text("重%dkg，长%dKM", n, n).alias("amount"),
+        text("得分为 -%d。").alias("negative"), text("共%d人").alias("counted"), text("编号：%d。").alias("known"), text("房间 %d。", n + 10000).alias("long"),
+        text("付%d.25元").alias("price"), text("比率 %d.25，").alias("ratio"), text("见 A%d-B 与 v%d 和 %dkg。", n, n, n).alias("kept"),
+    )
+
+
+@query("spoken_rules", f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 9990 AS INTEGER) AS n, CAST(o_orderdate AS DATE) AS d FROM orders),
+  p AS (SELECT *, {_said("n")} AS s, {_said_digits("n")} AS spelled, {_said_digits("year(d)")} || '年' || {_said("month(d)")} || '月' || {_said("day(d)")} || '日' AS dated FROM o)
+  SELECT o_orderkey, '发于 ' || dated || '。' AS dashed, dated || '发布' AS dated, '于' || split_part(dated, '年', 2) || {_said("n % 24")} || '时' || {_said("n % 60")} || '分' AS timed,
+    '约百分之' || s || '左右' AS share, '需要' || s || '到' || {_said("n + 3")} || '天' AS span, '气温负' || s || '摄氏度' AS signed, '重' || s || '千克，长' || s || '千米' AS amount,
+    '得分为 负' || s || '。' AS negative, '共' || s || '人' AS counted, '编号：' || spelled || '。' AS known, '房间 ' || {_said_digits("n + 10000")} || '。' AS long,
+    '付' || s || '点二五元' AS price, '比率 ' || spelled || '点二五，' AS ratio, '见 A' || n || '-B 与 v' || n || ' 和 ' || s || '千克。' AS kept FROM p""")
+def _(spark, d):
+    rows = written_rules(spark, d)
+    return rows.select("o_orderkey", *[normalize.normalize_text(c).alias(c) for c in rows.columns[1:]])
+
+
+@query("kept_tokens", """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 9990 AS INTEGER) AS n FROM orders)
+  SELECT o_orderkey, 0 AS token_pos, 'A' || n || '-B' AS token FROM o UNION ALL SELECT o_orderkey, 1, 'v' || n FROM o""")
+def _(spark, d):
+    return normalize.protected_tokens(written_rules(spark, d).select("o_orderkey", F.col("kept").alias("text")))
+
+
+@query("number_readings", """WITH o AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '元' WHEN 1 THEN '，' ELSE '公里' END AS r, CASE WHEN o_custkey % 2 = 0 THEN '编号：' ELSE '约' END AS l, o_orderkey % 4 = 0 AS pointed FROM orders)
+  SELECT o_orderkey, CASE WHEN r <> '，' THEN 'number' WHEN l = '编号：' OR pointed OR o_orderkey >= 10000 THEN 'digits' ELSE 'number' END AS reading FROM o""")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    right = F.element_at(F.array(F.lit("元"), F.lit("，"), F.lit("公里")), (key % 3 + 1).cast("int"))
+    left = F.when(F.col("o_custkey") % 2 == 0, "编号：").otherwise("约")
+    number = F.concat(key.cast("string"), F.when(key % 4 == 0, ".5").otherwise(""))
+    return table(spark, d, "orders").select("o_orderkey", numerals.number_reading(number, left, right).alias("reading"))
+
+
 @query("protected_tokens")
 def _(spark, d):
     return normalize.protected_tokens(documents(spark, d).select("utt", "text"))
@@ -387,6 +445,19 @@ def _(spark, d):
     return rounded(hypotheses(spark, d).select("conv_id", "turn", metrics.wer("ref", "hyp").alias("wer")))
 
 
+@query("wer_letters", r"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '~', 'g'), '\s', '', 'g') AS t FROM conversations),
+  h AS (SELECT c.conv_id, c.turn, r.ref, c.t FROM c JOIN (SELECT conv_id, min(t) AS ref FROM c WHERE turn = 0 GROUP BY conv_id) r ON c.conv_id = r.conv_id WHERE c.turn > 0)
+  SELECT conv_id, turn, round(CASE WHEN length(ref) > 0 THEN levenshtein(ref, t) / length(ref) END, 6) AS wer FROM h""")
+def _(spark, d):
+    """Each character a word of its own, what isn't ASCII as ~."""
+    letters = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", "~"), r"\s", "")
+    c = table(spark, d, "conversations").select("conv_id", "turn", letters.alias("t"))
+    apart = lambda c: F.trim(F.regexp_replace(c, "(.)", "$1 "))
+    ref = c.where("turn = 0").groupBy("conv_id").agg(F.min("t").alias("ref"))
+    both = c.where("turn > 0").join(ref, "conv_id").select("conv_id", "turn", apart("ref").alias("ref"), apart("t").alias("hyp"))
+    return rounded(both.select("conv_id", "turn", metrics.wer("ref", "hyp").alias("wer")))
+
+
 @query("hypotheses", r"SELECT conv_id, regexp_replace(string_agg(text, '' ORDER BY turn, text), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS hypothesis FROM conversations GROUP BY conv_id")
 def _(spark, d):
     return selection.hypothesis_from_segments(table(spark, d, "conversations"), "conv_id", "turn", "text")
@@ -570,7 +641,16 @@ def _(spark, d):
     return report.select("clip_id", "length", F.when(F.size("segments") > 0, F.array_join(shown, " ")).alias("segments"))
 
 
-@query("clean_clips")
+CLEAN = f"""{SNR}, segs AS (SELECT s.clip_id, s.start, s."end", avg(f.energy) AS energy FROM frm f JOIN merged s ON f.clip_id = s.clip_id AND f.frame_idx * {HOP} >= s.start AND f.frame_idx * {HOP} < s."end" GROUP BY ALL),
+scored AS (SELECT *, energy AS score FROM segs WHERE "end" - start >= {int(0.1 * SR)}),
+r AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY clip_id ORDER BY score DESC, start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM scored),
+top AS (SELECT clip_id, start, CAST(least("end", start + {2 * SR} - before) AS BIGINT) AS stop FROM r WHERE before < {2 * SR}
+  UNION ALL SELECT clip_id, 0, least({2 * SR}, length) FROM sizes WHERE clip_id NOT IN (SELECT clip_id FROM scored)),
+lists AS (SELECT clip_id, '[' || string_agg('{{"start":' || start || ',"end":' || stop || '}}', ',' ORDER BY start, stop) || ']' AS segments FROM top GROUP BY clip_id)"""
+
+
+@query("clean_clips", f"""WITH {CLEAN} SELECT clip_id, length, round(snr_db, 6) AS snr_db, CASE WHEN snr_db >= 15 THEN NULL WHEN snr_db >= 8 THEN 0.4e0 ELSE 0.2e0 END AS denoise, coalesce(segments, '[]') AS segments
+  FROM sizes LEFT JOIN snr USING (clip_id) LEFT JOIN lists USING (clip_id)""")
 def _(spark, d):
     report = jobs.clean_clips(frame_rows(spark, d), jobs.ClipConfig(HOP, PAD // 4, SR, 2.0))
     return rounded(report.withColumn("segments", F.to_json("segments")))
@@ -606,6 +686,24 @@ def summary(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*kept, *[x for c in names for x in (F.size(c).alias(f"{c}_n"), total(c).alias(f"{c}_energy"))])
 
 
+WAVE = f"""{FRM}, wav AS (SELECT clip_id, frame_idx // {CLIP} AS part, frame_idx % {CLIP} AS i, CAST(CAST(sin(energy) * 0.9e0 AS FLOAT) AS DOUBLE) AS y, frame_idx FROM frm)"""
+
+
+def _square(x: str) -> str:
+    """SQL of the energy of samples, stored in single precision."""
+    return f"round(sum(CAST(CAST({x} AS FLOAT) AS DOUBLE) ** 2), 4)"
+
+
+@query("wave_gains", f"""WITH {WAVE}, m AS (SELECT *, avg(y * y) OVER w AS power, max(abs(y)) OVER w + 1e-9 AS peak, count(*) OVER w AS n, lead(y) OVER (w ORDER BY i) AS after FROM wav WINDOW w AS (PARTITION BY clip_id, part))
+  SELECT clip_id, part, CAST(max(n) AS INTEGER) AS gain_n, {_square(f"greatest(-1, least(1, y * {10 ** -1.15!r} / sqrt(power + 1e-9)))")} AS gain_energy, CAST(max(n) AS INTEGER) AS norm_n, {_square(f"y * {10 ** -1.15!r} / (sqrt(power) + 1e-12)")} AS norm_energy,
+    CAST(max(n) AS INTEGER) AS limit_n, {_square(f"CASE WHEN peak > {10 ** -0.15!r} THEN y * {10 ** -0.15!r} / peak ELSE y END")} AS limit_energy,
+    CAST(max(n) // 2 AS INTEGER) AS mono_n, coalesce(round(sum(CAST(CAST((y + after) / 2 AS FLOAT) AS DOUBLE) ** 2) FILTER (i % 2 = 0 AND after IS NOT NULL), 4), 0) AS mono_energy FROM m GROUP BY clip_id, part""")
+def _(spark, d):
+    y = F.col("samples")
+    out = clips(spark, d).select("clip_id", "part", waves.rms_gain(y).alias("gain"), waves.rms_normalize(y).alias("norm"), waves.peak_limit(y).alias("limit"), waves.to_mono(y, F.lit(2)).alias("mono"))
+    return summary(out, "gain", "norm", "limit", "mono")
+
+
 @query("wave_levels")
 def _(spark, d):
     y = F.col("samples")
@@ -626,14 +724,45 @@ def _(spark, d):
     return c.select("clip_id", F.col("trimmed").cast("int").alias("trimmed"), F.col("headless").cast("int").alias("headless"), (F.col("n") / sr).alias("seconds"), cut.cast("int").alias("cut"))
 
 
-@query("wave_fades")
+@query("wave_cut_values", f"""WITH {WAVE}, m AS (SELECT *, count(*) OVER (PARTITION BY clip_id, part) AS n, clip_id % 90 - 10 AS aligned FROM wav)
+  SELECT clip_id, part, CAST(least(max(n), 50) AS INTEGER) AS trimmed_n, round(sum(y * y) FILTER (i < 50), 4) AS trimmed_energy, CAST(CASE WHEN max(n) > 65 THEN max(n) - 65 ELSE max(n) END AS INTEGER) AS headless_n,
+    round(sum(y * y) FILTER (n <= 65 OR i >= 65), 4) AS headless_energy, CAST(CASE WHEN max(aligned) > 0 AND max(aligned) < max(n) THEN max(aligned) WHEN max(n) > 65 THEN 65 ELSE 0 END AS BIGINT) AS cut FROM m GROUP BY clip_id, part""")
+def _(spark, d):
+    y, sr = F.col("samples"), F.col("sr")
+    cut = waves.lookback_cut(F.col("clip_id") % 90 - 10, sr, F.lit(5), F.size(y).cast("long"))
+    out = clips(spark, d).select("clip_id", "part", waves.trim_seconds(y, sr, 0.5).alias("trimmed"), waves.trim_head_by_chars(y, sr, F.lit(5)).alias("headless"), cut.alias("cut"))
+    return summary(out, "trimmed", "headless")
+
+
+def _faded(n: str, y: str = "y", i: str = "i", m: str = "n") -> str:
+    """SQL of a sample under ramps of n samples at both ends."""
+    return f"({y}) * CASE WHEN ({n}) <= 0 THEN 1 WHEN {i} < ({n}) THEN {i} / greatest(({n}) - 1, 1) ELSE 1 END * CASE WHEN ({n}) <= 0 THEN 1 WHEN {i} >= {m} - ({n}) THEN ({m} - 1 - {i}) / greatest(({n}) - 1, 1) ELSE 1 END"
+
+
+@query("wave_fades", f"""WITH {WAVE}, m AS (SELECT *, count(*) OVER (PARTITION BY clip_id, part) AS n FROM wav), tones AS (SELECT k, t AS i, k * 200 AS n, CAST(CAST(0.1e0 * sin(2 * pi() * 440 * t / 400) AS FLOAT) AS DOUBLE) AS y FROM range(0, 3) a(k), range(0, 400) b(t) WHERE t < k * 200),
+  tone AS (SELECT k, CAST(count(*) AS INTEGER) AS tone_n, {_square(_faded("20"))} AS tone_energy FROM tones GROUP BY k)
+  SELECT clip_id, part, CAST(max(n) AS INTEGER) AS skip_n, {_square(_faded("CASE WHEN n < 20 THEN 0 ELSE 10 END"))} AS skip_energy, CAST(max(n) AS INTEGER) AS half_n, {_square(_faded("least(10, n // 2)"))} AS half_energy,
+    CAST(max(n) AS INTEGER) AS third_n, {_square(_faded("least(10, n // 3)"))} AS third_energy, coalesce(max(tone_n), 0) AS tone_n, coalesce(max(tone_energy), 0) AS tone_energy
+  FROM m LEFT JOIN tone ON k = clip_id % 3 GROUP BY clip_id, part""")
 def _(spark, d):
     y, sr = F.col("samples"), F.col("sr")
     out = clips(spark, d).select("clip_id", "part", *[waves.fade(y, sr, 100, m).alias(m) for m in ("skip", "half", "third")], waves.tone(F.col("clip_id") % 3 / 2, 400).alias("tone"))
     return summary(out, "skip", "half", "third", "tone")
 
 
-@query("wave_joins")
+_T = "({at}) / greatest({n} - 1, 1)"
+_OVERLAP = "CASE WHEN l.mode = 'power' THEN least(10, l.stop, p.len) WHEN l.stop > 10 AND p.len > 10 THEN 10 ELSE 0 END"
+_RISE, _FALL = _T.format(at="w.i", n="l.n"), _T.format(at="o.p - q.start", n="q.n")
+
+
+@query("wave_joins", f"""WITH RECURSIVE {WAVE}, sized AS (SELECT concat_ws('-', clip_id // 10, part) AS utt, clip_id, part, count(*) AS len FROM wav GROUP BY ALL), pcs AS (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY clip_id) AS k FROM sized),
+  laid AS (SELECT mode, utt, k, clip_id, part, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS start, CAST(len AS BIGINT) AS stop FROM pcs, (VALUES ('linear'), ('power')) m(mode) WHERE k = 1
+    UNION ALL SELECT l.mode, p.utt, p.k, p.clip_id, p.part, {_OVERLAP}, l.stop - {_OVERLAP}, l.stop - {_OVERLAP} + p.len FROM laid l JOIN pcs p ON p.utt = l.utt AND p.k = l.k + 1),
+  own AS (SELECT l.mode, l.utt, l.k, l.start + w.i AS p, w.y * CASE WHEN w.i >= l.n THEN 1 WHEN l.mode = 'power' THEN sin({_RISE} * pi() / 2) ELSE {_RISE} END AS y FROM laid l JOIN wav w ON w.clip_id = l.clip_id AND w.part = l.part),
+  put AS (SELECT o.mode, o.utt, o.p, o.k, max(o.y) * product(CASE WHEN q.k IS NULL THEN 1 WHEN q.mode = 'power' THEN cos({_FALL} * pi() / 2) ELSE 1 - {_FALL} END) AS y
+    FROM own o LEFT JOIN laid q ON q.mode = o.mode AND q.utt = o.utt AND q.k > o.k AND o.p >= q.start AND o.p < q.start + q.n GROUP BY o.mode, o.utt, o.p, o.k),
+  out AS (SELECT mode, utt, p, greatest(-1, least(1, sum(y))) AS y FROM put GROUP BY ALL), e AS (SELECT mode, utt, CAST(count(*) AS INTEGER) AS n, {_square("y")} AS energy FROM out GROUP BY ALL)
+  SELECT a.utt, a.n AS linear_n, a.energy AS linear_energy, b.n AS power_n, b.energy AS power_energy FROM e a JOIN e b ON a.utt = b.utt WHERE a.mode = 'linear' AND b.mode = 'power'""")
 def _(spark, d):
     group = F.concat_ws("-", F.floor(F.col("clip_id") / 10), "part")
     rows = clips(spark, d).select(group.alias("utt"), F.col("clip_id").alias("pos"), "samples")
@@ -641,7 +770,10 @@ def _(spark, d):
     return linear.join(summary(waves.join_equal_power(rows, 100, 100).withColumnRenamed("samples", "power"), "power"), "utt")
 
 
-@query("wave_alignment")
+@query("wave_alignment", f"""WITH {WAVE}, m AS (SELECT *, count(*) OVER (PARTITION BY clip_id, part) AS n FROM wav), b AS (SELECT clip_id, part, i - 10 AS j, y AS own FROM m WHERE i BETWEEN 10 AND 19),
+  dots AS (SELECT m.clip_id, m.part, m.i - b.j AS pos, sum(m.y * own) AS dot, sqrt(sum(m.y * m.y)) * sqrt(sum(own * own)) AS size FROM m JOIN b ON m.clip_id = b.clip_id AND m.part = b.part AND m.i >= b.j AND m.i - b.j <= n - 10 WHERE n >= 20 GROUP BY ALL),
+  best AS (SELECT clip_id, part, arg_max({{'pos': pos, 'sim': dot / (size + 1e-8)}}, {{'dot': dot, 'early': -pos}}) AS x FROM dots GROUP BY clip_id, part)
+  SELECT clip_id, part, CAST(n AS INTEGER) AS n, CAST(CASE WHEN n >= 20 AND x.sim >= 0.35 THEN greatest(0, least(x.pos + 18, n - 1)) END AS BIGINT) AS cut FROM (SELECT clip_id, part, count(*) AS n FROM wav GROUP BY ALL) LEFT JOIN best USING (clip_id, part)""")
 def _(spark, d):
     c = clips(spark, d).withColumn("n", F.size("samples"))
     before, head = F.slice("samples", 11, 10), F.col("samples")
@@ -649,7 +781,8 @@ def _(spark, d):
     return c.select("clip_id", "part", "n", cut.alias("cut"))
 
 
-@query("frames_rms")
+@query("frames_rms", f"""WITH {WAVE}, m AS (SELECT *, count(*) OVER w AS n, lead(y) OVER (w ORDER BY frame_idx) AS after FROM wav WINDOW w AS (PARTITION BY clip_id))
+  SELECT clip_id, frame_idx, round(sqrt(CASE WHEN after IS NULL THEN y * y ELSE (y * y + after * after) / 2 END + 1e-9), 6) AS rms FROM m WHERE frame_idx < greatest(1, n - 2)""")
 def _(spark, d):
     reach = 2  # samples in a frame; a last part of no more holds no frame of its own
     c = clips(spark, d, reach).where((F.col("part") == 0) | (F.size("samples") > reach))
