@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ARROW_BATCH_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,24 +30,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and continue from the files."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared checkpoint folder and continue from the files.
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    Its cleaner acts when the driver's garbage collection finds them, which on a large heap
-    may be long after; a job of several large shuffles asks for it between them. What the first
-    collection frees makes the shuffles themselves unreachable, which the second one finds.
+    The shuffle files of the job, which nothing reads after that, go with its end.
     """
-    gc.collect()
-    for _ in range(2):
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for the new frame
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def held_out_bucket(doc_id: str | Column, modulus: int) -> Column:
