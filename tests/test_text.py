@@ -114,3 +114,13 @@ def test_timeline(spark, power, overlap, lengths, starts, total):
     df = spark.createDataFrame([(lengths,)], "n array<int>")
     spans = df.select(sentences.timeline(F.col("n"), overlap, power)).first()[0]
     assert [s.start for s in spans] == starts and (total is None or spans[-1].end == total)
+
+
+@pytest.mark.parametrize("power", [True, False])
+def test_timeline_rows_match_timeline(spark, power):
+    rows = [(u, p, (u * 37 + p * p * 11) % (30 if u % 3 else 12)) for u in range(40) for p in range(u % 9)]
+    df = spark.createDataFrame(rows, "utt int, pos int, n int").repartition(4)
+    got = {(r.utt, r.pos): (r.start, r.end) for r in sentences.timeline_rows(df, "n", 10, power).collect()}
+    lists = df.groupBy("utt").agg(F.sort_array(F.collect_list(F.struct("pos", "n")))["n"].alias("n"))
+    expected = {(r.utt, p): tuple(s) for r in lists.select("utt", sentences.timeline(F.col("n"), 10, power).alias("spans")).collect() for p, s in enumerate(r.spans)}
+    assert got == expected and len(got) == len(rows)

@@ -33,6 +33,8 @@ def lookback_context(df: DataFrame, n: int = 8, key: str = "utt") -> DataFrame:
 def timeline(lengths: Column, overlap: int, equal_power: bool = True) -> Column:
     """Array of (start, end) of joined pieces, from an array of their lengths in samples.
 
+    For short arrays, whose spans are copied at each step; `timeline_rows` is linear in the pieces.
+
     Equal power: a piece overlaps by min(overlap, what is there, its own length). Linear: by
     `overlap` if both are longer than that, else it is appended.
     """
@@ -47,3 +49,18 @@ def timeline(lengths: Column, overlap: int, equal_power: bool = True) -> Column:
 
     empty = F.struct(F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(0).cast("long").alias("total"))
     return F.aggregate(F.transform(lengths, lambda n: n.cast("long")), empty, step, lambda acc: acc["spans"])
+
+
+def timeline_rows(df: DataFrame, length: str, overlap: int, equal_power: bool = True, key: str = "utt", order: str = "pos") -> DataFrame:
+    """`start` and `end` of each row's piece, as `timeline` gives them; a null length counts as 0.
+
+    What is there before a piece reaches the overlap as soon as one piece (equal power) or all together
+    (linear) do, so running maxima and sums in one sort of the key are enough.
+    """
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    n, lap = F.coalesce(F.col(length), F.lit(0)).cast("long"), F.lit(overlap).cast("long")
+    earlier = lambda total: F.coalesce(total.over(before), F.lit(0).cast("long"))
+    shared = F.least(lap, earlier(F.max(n)), n) if equal_power else F.when((earlier(F.sum(n)) > lap) & (n > lap), lap).otherwise(F.lit(0).cast("long"))
+    laid = df.withColumn("_shared", shared)
+    start = earlier(F.sum(n - F.col("_shared"))) - F.col("_shared")
+    return laid.withColumn("start", start).withColumn("end", F.col("start") + n).drop("_shared")

@@ -286,8 +286,9 @@ def _(spark, d):
   SELECT utt, CAST(pos AS INTEGER) AS pos, CAST(coalesce(sum(n - 1440) OVER w, 0) AS BIGINT) AS start, CAST(coalesce(sum(n - 1440) OVER w, 0) + n AS BIGINT) AS "end" FROM p
   WINDOW w AS (PARTITION BY utt ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(spark, d):
-    cut = documents(spark, d).select("utt", F.transform(text.split_sentences(F.col("text")), lambda s: F.length(s) * 1500).alias("n"))
-    return cut.select("utt", F.posexplode(sentences.timeline(F.col("n"), 1440)).alias("pos", "span")).select("utt", "pos", "span.*")
+    pieces = documents(spark, d).select("utt", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    lengths = pieces.select("utt", "pos", (F.length("sentence") * 1500).alias("n"))
+    return sentences.timeline_rows(lengths, "n", 1440).drop("n")
 
 
 _D = "'零一二三四五六七八九点'"
