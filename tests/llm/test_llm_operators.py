@@ -189,13 +189,38 @@ def test_threshold_search():
         ids = rng.permutation(n).astype(np.int64)
         queries = np.vstack([rows[:5], np.zeros((1, dims), np.int32)])
         own = np.append(ids[:5], -1)
-        at, found, score = topk.threshold_search(ids, rows, own, queries, k)
+        at, found, score = topk.threshold_search(ids, rows, topk.sorted_lists(rows), own, queries, k, np.full((len(queries), k), -np.inf))
         for q in range(len(queries)):
             all_scores = rows.astype(np.int64) @ queries[q]
             best = sorted((-s, i) for s, i in zip(all_scores, ids, strict=True) if i != own[q])[:k]
             assert sorted(zip(-score[at == q], found[at == q], strict=True)) == best
 
 
+def test_top_k_carries_scores_between_blocks(spark):
+    """Many blocks on both sides, with ties and copies, long vectors and short: as brute force."""
+    rng = np.random.default_rng(11)
+    rows = rng.integers(-2, 3, (900, 3)) * rng.choice((1, 1, 1, 9), (900, 1))
+    rows[100:160] = rows[100]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows.tolist())], "vec_id long, v array<long>")
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=7, block_rows=25, query_rows=9).collect()
+    expected = set()
+    for q in range(0, 900, 20):
+        best = sorted((-s, i) for i, s in enumerate((rows @ rows[q]).tolist()) if i != q)[:7]
+        expected |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == expected and len(got) == 45 * 7
+
+
+def test_threshold_search_stops_on_an_earlier_bound():
+    """Scores of earlier blocks leave nothing to find in a block that cannot reach them, and all that ties with them."""
+    rows, ids = np.array([[1, 1], [2, 0], [0, 2], [-3, 1]]), np.arange(4)
+    search = lambda best: topk.threshold_search(ids, rows, topk.sorted_lists(rows), np.array([9]), np.array([[1, 1]]), 2, best)
+    assert search(np.array([[5.0, 4.0]]))[1].tolist() == []
+    best = np.array([[2.0, 2.0]])
+    assert search(best)[1].tolist() == [0, 1] and sorted(best[0]) == [2.0, 2.0]
+    best = np.array([[1.0, -np.inf]])
+    assert search(best)[1].tolist() == [0, 1] and sorted(best[0]) == [2.0, 2.0]
+
+
 def test_top_k_odd(spark):
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [-1.0, 0.5]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

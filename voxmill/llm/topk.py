@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import bound_batches, settled, table
 
 SCALE, K, EVERY = 64, 20, 20
 BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024
+STRANDS = 16  # so many tasks share the row blocks that a query block meets
 #: Products of larger parts are not exact in the doubles that score a block; they are scored in integers.
 MAX_COMPONENT = 1 << 22
 
@@ -32,21 +33,31 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return kept.select("vec_id", F.transform("embedding", part).alias("v"))
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of a block for each query: (query position, vec_id, score).
+def sorted_lists(rows: np.ndarray) -> np.ndarray:
+    """Of each dimension (column), the places of the rows by rising component."""
+    return np.argsort(rows, axis=0, kind="stable")
+
+
+def threshold_search(
+    ids: np.ndarray, rows: np.ndarray, order: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best_so_far: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a block that may be among the k best of each query: (query position, vec_id, score).
+
+    `order` is sorted_lists(rows). `best_so_far` (queries, k) holds each query's best scores in earlier
+    blocks, in any order, and is brought up to date: what is below all of a query's is passed over.
 
     Each dimension has one sorted list, walked from the end that the query's sign prefers.
     Walking is by doubling depths: rows seen so far are scored in full, and the search stops
-    when the sum of what each list could still give is below the k-th best score. (A tie at
-    the bound goes on, as the unseen row may have the smaller id.)
+    when the sum of what each list could still give is below the k-th best score, of this block or
+    of the earlier ones. (A tie at the bound goes on, as the unseen row may have the smaller id.)
     """
     n, dims = rows.shape
-    order = np.argsort(rows, axis=0, kind="stable")
     ranked = np.take_along_axis(rows, order, axis=0)
     exact = rows.astype(np.float64)
     at, found, scores = [], [], []
     for q, (qid, w) in enumerate(zip(query_ids, queries.astype(np.float64), strict=True)):
         depth = max(1, 2 * k // dims)
+        floor = best_so_far[q].min()
         while True:
             if depth * dims >= n:
                 seen = np.arange(n)
@@ -60,15 +71,16 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
             own = ids[seen] != qid
             names, got = ids[seen][own], best[own]
             if len(got) > k:
-                least = np.partition(got, len(got) - k)[len(got) - k]
-                fit = got >= least
-                names, got = names[fit], got[fit]
+                least = max(floor, np.partition(got, len(got) - k)[len(got) - k])
             else:
-                least = -np.inf
+                least = floor
             if bound < least or bound == -np.inf:
                 break
             depth *= 2
+        fit = got >= least
+        names, got = names[fit], got[fit]
         top = np.lexsort((names, -got))[:k]
+        best_so_far[q] = np.partition(np.concatenate([best_so_far[q], got[top]]), len(top))[len(top) :]
         at.append(np.full(len(top), q))
         found.append(names[top])
         scores.append(got[top])
@@ -90,51 +102,86 @@ def integer_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, que
     return np.array(at, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
 
 
-def block_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best rows for each query among those with small parts and among the others, as (query position, vec_id, score)."""
-    small = lambda x: ((x > -MAX_COMPONENT) & (x < MAX_COMPONENT)).all(1)
-    fine, asked = small(rows), small(queries)
-    for r, q, search in ((fine, asked, threshold_search), (~fine, asked, integer_search), (np.ones(len(rows), bool), ~asked, integer_search)):
+def _small(rows: np.ndarray) -> np.ndarray:
+    return ((rows > -MAX_COMPONENT) & (rows < MAX_COMPONENT)).all(1)
+
+
+def block_search(
+    ids: np.ndarray, rows: np.ndarray, order: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best_so_far: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The best rows for each query among those with small parts (of which `order` has the lists) and among the others, as (query position, vec_id, score)."""
+    fine, asked = _small(rows), _small(queries)
+    if fine.any() and asked.any():
+        best = best_so_far[asked]
+        at, found, score = threshold_search(ids[fine], rows[fine], order, query_ids[asked], queries[asked], k, best)
+        best_so_far[asked] = best
+        yield np.flatnonzero(asked)[at], found, score
+    for r, q in ((~fine, asked), (np.ones(len(rows), bool), ~asked)):
         if r.any() and q.any():
-            at, found, score = search(ids[r], rows[r], query_ids[q], queries[q], k)
+            at, found, score = integer_search(ids[r], rows[r], query_ids[q], queries[q], k)
             yield np.flatnonzero(q)[at], found, score
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """One row for each block of about `rows` vectors of one dimension: ids and components."""
+    """One row for each block of about `rows` vectors of one dimension: ids and components.
+
+    `vectors` is settled, so rows can be dealt by their place: repeated ids spread like others.
+    """
     n = vectors.count()
     parts = max(1, -(-n // rows))
-    packed = vectors.withColumn("dims", F.size("v")).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
+    packed = vectors.withColumn("dims", F.size("v")).withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
     own = packed.groupBy("dims", name).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("_rows"))
     return own.select("dims", name, F.col("_rows.vec_id").alias(f"{name}_ids"), F.flatten(F.col("_rows.v")).alias(f"{name}_v"))
 
 
+def _listed(blocks: DataFrame) -> DataFrame:
+    """Add each block's sorted lists, made once, and the largest sum of squares of a row of it."""
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            orders, reach = [], []
+            for dims, v in zip(batch["dims"], batch["b_v"], strict=True):
+                rows = np.asarray(v, np.int64).reshape(-1, dims)
+                orders.append(sorted_lists(rows[_small(rows)]).astype(np.int32).tobytes())
+                reach.append(float((rows.astype(np.float64) ** 2).sum(1).max()))
+            yield batch.assign(b_order=orders, b_reach=reach)
+
+    return blocks.mapInPandas(lists, "dims int, b int, b_ids array<long>, b_v array<long>, b_order binary, b_reach double")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows other than itself, ties to the smaller id.
 
-    Both sides are (vec_id, v). Blocks of queries meet blocks of rows of the same dimension;
-    each pair gives k rows a query, of which the k best are ranked. Copies of a vector are
+    Both sides are (vec_id, v). Blocks of queries meet blocks of rows of the same dimension,
+    those with long vectors first; a task carries each query's k-th best score from one block to the next.
+    A pair gives at most k rows a query, of which the k best of all are ranked. Copies of a vector are
     rows like any other; repeated ids count once for each row. An empty side gives no rows.
     """
-    left = _blocks(queries, query_rows, "q")
-    right = _blocks(vectors, block_rows, "b")
-    pairs = left.join(right, "dims").repartition("q", "b")
+    bound_batches(vectors.sparkSession)
+    left = _blocks(settled(queries), query_rows, "q")
+    right = settled(_listed(_blocks(settled(vectors), block_rows, "b")))
+    pairs = left.join(right, "dims").withColumn("strand", F.pmod("b", F.lit(STRANDS)))
+    dealt = pairs.repartition("dims", "q", "strand").sortWithinPartitions("dims", "q", "strand", F.col("b_reach").desc())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, best = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
                 ids, qids = np.asarray(r.b_ids, np.int64), np.asarray(r.q_ids, np.int64)
                 rows, asked = np.asarray(r.b_v, np.int64).reshape(-1, r.dims), np.asarray(r.q_v, np.int64).reshape(-1, r.dims)
-                for at, found, score in block_search(ids, rows, qids, asked, k):
+                if (r.dims, r.q, r.strand) != key:
+                    key, best = (r.dims, r.q, r.strand), np.full((len(qids), k), -np.inf)
+                order = np.frombuffer(r.b_order, np.int32).reshape(-1, r.dims)
+                for at, found, score in block_search(ids, rows, order, qids, asked, k, best):
                     yield pd.DataFrame({"query_id": qids[at], "vec_id": found, "score": score})
 
-    best = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+    best = dealt.mapInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = settled(quantised(table(spark, sf_dir, "embeddings")))
+    rows = quantised(table(spark, sf_dir, "embeddings"))
     return top_k(rows, rows.where(F.pmod("vec_id", F.lit(EVERY)) == 0))
 
 
