@@ -619,6 +619,23 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_long_turns_and_conversations(spark):
+    """Turns of many deltas, many turns, and texts that end on the borders of pieces come back whole."""
+    long = "".join(random.Random(3).choices("ab\n <&[\u00e9\u4e2d\U0001f600", k=100_001))
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 2, "assistant", long[: chat.PIECE_CHARS]), (1, 3, "assistant", "")]
+    rows += [(2, t, ("user", "assistant")[t % 2], long[t * 31 : t * 31 + t % 700]) for t in range(3000)]
+    rows += [(3, t, "assistant", "x" * n) for t, n in enumerate((0, 255, 256, 257, 512, 1001, 1024, 2048))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat.turn_log(df).where("conv_id = 3").groupBy("turn").count().where("turn = 4 and count = 3 or turn = 3 and count = 3 or turn = 0 and count = 1").count() == 3
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for c in (1, 2, 3):
+        own = [r for r in rows if r[0] == c]
+        said = "".join(t for *_, role, t in own if role == "assistant")
+        assert got[c].n_turns == len(own) and got[c].loss_chars == len(said)
+        assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for *_, role, t in own).encode()).hexdigest()
+
+
 def test_chat_events(spark):
     log = [
         (1, 0, 0, 0, "open", "user", ""), (1, 0, 0, 1, "delta", None, "he"), (1, 0, 0, 2, "delta", None, "llo"),

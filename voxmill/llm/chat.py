@@ -19,6 +19,7 @@ from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
 DELTA_CHARS = 256
+PIECE_CHARS = 1024  # of a rendered conversation, from which spans are read
 PLANTED_ID, PLANTED_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
@@ -30,6 +31,11 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def pieces(c: Column, chars: int) -> Column:
+    """The text in pieces of `chars` code points (the last may be shorter), cut in one pass; none of an empty text."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))
+
+
 def turn_log(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
     """Finished turns as the log a streaming server writes: one open row, then deltas in order.
 
@@ -40,17 +46,9 @@ def turn_log(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFr
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("part", F.row_number().over(own))
-    pieces = F.ceil(F.char_length("text") / delta_chars).cast("int")
-    steps = rows.select("conv_id", "turn", "part", "role", "text", F.explode(F.sequence(F.lit(0), pieces)).alias("seq"))
-    return steps.select(
-        "conv_id",
-        "turn",
-        "part",
-        "seq",
-        F.when(F.col("seq") == 0, "open").otherwise("delta").alias("kind"),
-        "role",
-        F.when(F.col("seq") == 0, "").otherwise(F.substring("text", (F.col("seq") - 1) * delta_chars + 1, F.lit(delta_chars))).alias("text"),
-    )
+    said = F.concat(F.array(F.lit("")), pieces(F.col("text"), delta_chars))
+    steps = rows.select("conv_id", "turn", "part", "role", F.posexplode(said).alias("seq", "text"))
+    return steps.select("conv_id", "turn", "part", "seq", F.when(F.col("seq") == 0, "open").otherwise("delta").alias("kind"), "role", "text")
 
 
 def fold_messages(log: DataFrame) -> DataFrame:
@@ -93,7 +91,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The digest of each conversation, taken from the rendered text and its loss spans alone."""
+    """The digest of each conversation, taken from the rendered text and its loss spans alone.
+
+    Spans are cut out of the pieces that hold them, so the work is linear in a conversation.
+    """
     parts = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, F.greatest(F.size(F.split("formatted", r"<\|im_start\|>")) - 1, F.lit(0)))
 
     def plain(part: Column) -> Column:
@@ -102,8 +103,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = body.substr(F.lit(1), F.char_length(body) - len(END) - 1)
         return F.concat(role, F.lit("\n"), unescape(body), F.lit("\n"))
 
-    said = F.transform("loss_spans", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    read = formatted.select("conv_id", F.transform(parts, plain).alias("_turns"), F.array_join(said, "").alias("_loss"), "formatted")
+    def cut(held: Column, span: Column) -> Column:
+        first, skipped = F.floor(span["start"] / PIECE_CHARS).cast("int"), (span["start"] % PIECE_CHARS).cast("int")
+        count = F.floor((skipped + span["length"]) / PIECE_CHARS).cast("int") + 1
+        return F.array_join(F.slice(held, first + 1, count), "").substr(skipped + 1, span["length"].cast("int"))
+
+    def spoken(held: Column) -> Column:
+        return F.array_join(F.transform("loss_spans", lambda span: unescape(cut(held, span))), "")
+
+    # The outer array has one element, so that the pieces are made once and not for each span.
+    said = F.element_at(F.transform(F.array(pieces(F.col("formatted"), PIECE_CHARS)), spoken), 1)
+    read = formatted.select("conv_id", F.transform(parts, plain).alias("_turns"), said.alias("_loss"), "formatted")
     return read.select(
         "conv_id",
         F.size("_turns").cast("long").alias("n_turns"),
