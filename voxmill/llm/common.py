@@ -45,6 +45,12 @@ def settled(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, with what it holds; none is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out_bucket(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; null ids fall into bucket 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))

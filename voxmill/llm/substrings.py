@@ -140,7 +140,7 @@ def _packed(a: np.ndarray) -> bytes:
     """Byte planes, compressed: the planes of sorted differences and of ids are mostly alike."""
     import zstandard
 
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T)
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
