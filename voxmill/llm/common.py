@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or tempfile.mkdtemp(prefix="spark-")
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """The session with other settings (dots written as __) for a while."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from the files.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, remove, settled, shared_folder, table
+from .common import bound_batches, configured, remove, settled, shared_folder, table
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOSES_ONE_IN = 97
@@ -188,6 +188,12 @@ def spelling_variants(words: DataFrame) -> DataFrame:
     its root ends the chain of forms. An empty table gives no rows. Words must be distinct.
     """
     words = settled(words.select("word", "n"))
+    # Settled frames have no known size, and each join would first gather a filter of their keys on the driver.
+    with configured(words.sparkSession, spark__sql__optimizer__runtime__bloomFilter__enabled="false"):
+        return _variants(words)
+
+
+def _variants(words: DataFrame) -> DataFrame:
     near = near_pairs(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
     best = near.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
     joined = words.join(best, "word", "left")
@@ -195,7 +201,7 @@ def spelling_variants(words: DataFrame) -> DataFrame:
     usual = F.coalesce(most >= 2 * F.col("n"), F.lit(False))
     out = settled(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(usual, F.col("best.near")).alias("form"), F.when(usual, most).alias("form_n")))
     roots = follow(out.where("form is not null"))
-    return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return settled(out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
