@@ -1,13 +1,14 @@
 """Spelling variants by a relational trie frontier.
 
 Words and their reversals stand in one trie, kept as a table of edges (parent, label, ...) whose
-nodes are prefixes. A state (word, position, node, edits) starts at the word's middle with no
-edit; each level joins the states with the edges of one depth. A word that differs in its second
-half is met by the word as it is, one that differs in its first half by the reversal, so states
-start deep in the trie, where nodes have few children. Deletions and substitutions by a greater
-character are followed; nearness is symmetric, so the other directions need no states. A state
-ends where its node holds one word (the rest is compared by its hash) and cannot go on where the
-child lacks the next character.
+nodes are prefixes. States are (word, position, node, edits). Those without an edit are the prefixes of
+a word from its middle on: a word that differs in its second half is met by the word as it is, one
+that differs in its first half by the reversal, so states are deep in the trie, where nodes have few
+children. Joined with the edges they take their one edit, and one-edit states then go on level by
+level, each level a join with the edges. Deletions and substitutions by a greater character are
+followed; nearness is symmetric, so the other directions need no states. A state ends where its node
+holds one word (the rest is compared by its hash) and cannot go on where the child lacks the next
+character. Edges of nodes with very many words stand in several shares, to which their states are dealt.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, configured, remove, settled, shared_folder, table
@@ -31,6 +32,8 @@ MIN_LENGTH, MIN_COUNT = 5, 3
 HELD_WORDS = 400_000
 #: Prefixes of up to so many characters are counted at first; longer ones only of words that still share one.
 FIRST_DEPTH = 32
+#: Words of a node for each share of its states.
+NODE_WORDS = 50_000
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -74,99 +77,81 @@ def _place(char: str) -> str:
     return f"CASE WHEN ascii({char}) < 128 THEN ascii({char}) - 97 ELSE ascii({char}) - 192 END"
 
 
-def _trie(sides: DataFrame) -> tuple[DataFrame, int]:
-    """(node, n, rest, last, low, high): words below, hash of what follows the node (of one word), whether a word ends here, next letters.
-
-    Also the greatest depth of a node that two words share.
-    """
-    size, done, deepest = F.length("side"), None, 0
+def _trie(sides: DataFrame) -> DataFrame:
+    """(node, n, rest, last, low, high): words below, hash of what follows the node (of one word), whether a word ends here, next letters."""
+    size, done = F.length("side"), None
     alive, since, to = sides, 3, FIRST_DEPTH
     while True:
         at = alive.select("side", F.explode(F.sequence(F.lit(since), F.least(size, F.lit(to)))).alias("depth"))
-        following = F.expr("substring(side, depth + 1, 1)")
-        bit = F.expr(f"shiftleft(1L, {_place('next')})")
-        rows = at.select(F.expr("left(side, depth)").alias("node"), following.alias("next"), F.xxhash64(F.expr("substring(side, depth + 1)")).alias("rest"))
-        ended, ascii_ = F.col("next") == "", F.ascii("next") < 128
+        rows = at.select(F.expr("left(side, depth)").alias("node"), F.expr("substring(side, depth + 1, 1)").alias("next"), F.xxhash64(F.expr("substring(side, depth + 1)")).alias("rest"))
+        ended, ascii_, bit = F.col("next") == "", F.ascii("next") < 128, F.expr(f"shiftleft(1L, {_place('next')})")
         rows = rows.select("node", "rest", ended.alias("last"), F.when(~ended & ascii_, bit).otherwise(F.lit(0)).alias("low"), F.when(~ended & ~ascii_, bit).otherwise(F.lit(0)).alias("high"))
-        nodes = settled(
-            rows.groupBy("node").agg(
-                F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("last").alias("last"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")
-            )
-        )
+        nodes = settled(rows.groupBy("node").agg(F.count("*").alias("n"), F.max("rest").alias("rest"), F.max("last").alias("last"), F.bit_or("low").alias("low"), F.bit_or("high").alias("high")))
         done = nodes if done is None else done.unionByName(nodes)
-        shared = nodes.where("n > 1").agg(F.max(F.length("node"))).first()[0] or 0
-        deepest = max(deepest, shared)
-        if shared < to:
-            return done, deepest
-        same = nodes.where((F.col("n") > 1) & (F.length("node") == to)).select(F.col("node").alias("_node"))
+        same = nodes.where((F.length("node") == to) & (F.col("n") > 1)).select(F.col("node").alias("_node"))
+        if same.isEmpty():
+            return done
         alive = alive.where(size > to).join(same, F.expr(f"left(side, {to})") == F.col("_node"), "left_semi")
         since, to = to + 1, 2 * to
 
 
-def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """One level: (side, pos, node, edits, last, hit) of the states after an edge each, and of the neighbours (`hit`) they end in."""
-    size = F.length("side")
-    nothing = F.lit(None).cast("string")
-    shorter = states.where((F.col("edits") == 0) & (F.col("pos") == size - 1) & F.col("last")).withColumn("hit", F.col("node"))
-    here, after = F.expr("substring(side, pos + 1, 1)"), F.expr("substring(side, pos + 2, 1)")
-    label, fresh = F.col("label"), F.col("edits") == 0
-    along = F.when(label == here, F.struct((F.col("pos") + 1).alias("pos"), F.col("edits").alias("edits")))
-    along = along.when(fresh & (label > here), F.struct((F.col("pos") + 1).alias("pos"), F.lit(1).alias("edits")))
-    # Of equal characters in a row the last one is deleted.
-    skip = F.when(fresh & (label == after) & (after != here), F.struct((F.col("pos") + 2).alias("pos"), F.lit(1).alias("edits")))
-    met = states.where(F.col("pos") < size).drop("last").join(edges, "node")
-    moved = met.select("side", F.concat("node", "label").alias("node"), "n", "rest", "last", "low", "high", F.explode(F.array_compact(F.array(along, skip))).alias("move"))
-    moved = moved.select("side", "node", "n", "rest", "last", "low", "high", "move.pos", "move.edits")
-    left_over = F.expr("substring(side, pos + 1)")
-    one, through = F.col("n") == 1, F.col("pos") == size
-    hit = F.when((F.col("edits") == 1) & one & (F.col("rest") == F.xxhash64(left_over)), F.concat("node", left_over)).when((F.col("edits") == 1) & ~one & through & F.col("last"), F.col("node"))
-    moved = moved.withColumns({"hit": hit, "coming": F.expr("substring(side, pos + 1, 1)")})
+def _moved(met: DataFrame, moves: Column) -> DataFrame:
+    """(side, pos, node, n, hit): the one-edit states after the `moves` (new positions) along the edge each row holds, and the neighbours (`hit`) they end in."""
+    size, through = F.length("side"), F.col("pos") == F.length("side")
+    after = met.select("side", F.concat("node", "label").alias("node"), "label", "n", "rest", "last", "low", "high", F.explode(F.array_compact(moves)).alias("pos"))
+    left_over, ended = F.expr("substring(side, pos + 1)"), F.col("label") == ""
+    after = after.withColumn("coming", F.expr("substring(side, pos + 1, 1)"))
+    hit = F.when(ended, F.col("node")).when((F.col("n") == 1) & (F.col("rest") == F.xxhash64(left_over)), F.concat("node", left_over)).when((F.col("n") > 1) & through & F.col("last"), F.col("node"))
     held = F.expr(f"shiftrightunsigned(if(ascii(coming) < 128, low, high), {_place('coming')}) & 1") == 1
-    goes_on = ~one & ((F.col("edits") == 0) | (~through & held))
-    columns = ("side", "pos", "node", "edits", "last", "hit")
-    return moved.where(F.col("hit").isNotNull() | goes_on).select(*columns).unionByName(shorter.select(*columns)).withColumn("hit", F.coalesce("hit", nothing))
+    goes_on = ~ended & (F.col("n") > 1) & (F.col("pos") < size) & held
+    return after.withColumn("hit", hit).where(F.col("hit").isNotNull() | goes_on).select("side", "pos", "node", "n", "hit")
+
+
+def _salted(n: str) -> str:
+    """SQL of how many shares the states of a node with n words are dealt to."""
+    return f"CAST(1 + {n} DIV {NODE_WORDS} AS INT)"
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, near), both ways, of distinct `word`s of the letters a-z and U+00C0 to U+00FF that differ by one character.
 
-    Words are taken to have five characters or more. The number of levels is the length of the longest
-    prefix or suffix that two words share, and so is that of jobs; nothing is left out at any length.
+    Words are taken to have five characters or more. The rounds are as many as the longest way that a one-edit state
+    goes through nodes that several words share; nothing is left out at any length.
     """
     spark = words.sparkSession
     sides = settled(words.select(F.explode(F.array(F.concat(F.lit("f"), "word"), F.concat(F.lit("r"), F.reverse("word")))).alias("side")))
-    nodes, deepest = _trie(sides)
-    folder = f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
+    nodes = _trie(sides)
+    name, folder = f"trie_{uuid.uuid4().hex}", f"{shared_folder(spark)}/trie-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        # An edge is its child with the parent's name; edges of one depth stand in files of their own.
-        cut = nodes.where(F.length("node") > 3).select(F.expr("left(node, length(node) - 1)").alias("parent"), F.right("node", F.lit(1)).alias("label"), "n", "rest", "last", "low", "high")
-        dealt = cut.withColumn("depth", F.length("parent")).where(F.col("depth") <= deepest)
-        dealt.repartitionByRange("depth", "parent").write.partitionBy("depth").option("compression", "zstd").parquet(folder)
-        edges = spark.read.schema("parent string, label string, n long, rest long, last boolean, low long, high long, depth int").parquet(folder)
+        # An edge is its child with the parent's name; a word ends in an edge without a letter.
+        facts = ("n", "rest", "last", "low", "high")
+        inner = nodes.where(F.length("node") > 3).select(F.expr("left(node, length(node) - 1)").alias("parent"), F.right("node", F.lit(1)).alias("label"), *facts)
+        ends = nodes.where("last").select(F.col("node").alias("parent"), F.lit("").alias("label"), F.lit(1).cast("long").alias("n"), F.xxhash64(F.lit("")).alias("rest"), "last", *[F.lit(0).cast("long").alias(c) for c in ("low", "high")])
+        edges = inner.unionByName(ends).withColumn("total", F.sum("n").over(Window.partitionBy("parent"))).where("total > 1")
+        edges = edges.select("parent", "label", *facts, F.explode(F.sequence(F.lit(0), F.expr(_salted("total")) - 1)).alias("salt"))
+        edges.repartition(parts, "parent", "salt").write.bucketBy(parts, "parent", "salt").sortBy("parent", "salt").option("path", folder).saveAsTable(name)
+        edges = spark.table(name).withColumnRenamed("parent", "node")
 
         half = (F.length("side") - 1) / 2
         middle = F.when(F.col("side").startswith("f"), F.floor(half)).otherwise(F.ceil(half)).cast("int") + 1
-        starts = sides.select("side", middle.alias("pos")).withColumn("node", F.expr("left(side, pos)"))
-        starts = settled(starts.join(nodes.where("n > 1").select("node", "last"), "node").select("side", "pos", "node", F.lit(0).alias("edits"), "last"))
-        found, states = [], None
-        for depth in range(3, deepest + 1):
-            own = starts.where(F.col("pos") == depth)
-            states = own if states is None else states.unionByName(own)
-            level = _advanced(states, edges.where(F.col("depth") == depth).withColumnRenamed("parent", "node").drop("depth"))
-            level = settled(level.coalesce(parts))  # each level is a union and would have twice as many
-            found.append(level.where("hit is not null").select("side", "hit"))
-            states = level.where("hit is null").drop("hit")
-        if not found:
-            return spark.createDataFrame([], "word string, near string")
-        hits = found[0]
-        for f in found[1:]:
-            hits = hits.unionByName(f)
+        starts = sides.select("side", F.explode(F.sequence(middle, F.length("side") - 1)).alias("pos")).withColumn("node", F.expr("left(side, pos)"))
+        here, after = F.expr("substring(side, pos + 1, 1)"), F.expr("substring(side, pos + 2, 1)")
+        replaced = F.when(F.col("label") > here, F.col("pos") + 1)
+        # Of equal characters in a row the last one is deleted; past the end a word's end follows.
+        deleted = F.when((F.col("label") == after) & (after != here), F.least(F.col("pos") + 2, F.length("side")))
+        level = settled(_moved(starts.join(edges.where("salt = 0"), "node"), F.array(replaced, deleted)))
+        hits = level.where("hit IS NOT NULL").select("side", "hit")
+        while not (states := level.where("hit IS NULL")).isEmpty():
+            dealt = states.select("side", "pos", "node", F.expr(f"CAST(pmod(xxhash64(side), {_salted('n')}) AS INT)").alias("salt"))
+            level = settled(_moved(dealt.join(edges, ["node", "salt"]), F.array(F.when(F.col("label") == here, F.col("pos") + 1))))
+            hits = hits.unionByName(level.where("hit IS NOT NULL").select("side", "hit"))
         plain = lambda c: F.when(F.col(c).startswith("f"), F.substring(c, 2, 1 << 30)).otherwise(F.reverse(F.substring(c, 2, 1 << 30)))
         pairs = hits.select(plain("side").alias("a"), plain("hit").alias("b")).distinct()
         both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), F.col("a").alias("near")))).alias("p"))
         return settled(both.select("p.word", "p.near"))
     finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(spark, folder)
 
 
