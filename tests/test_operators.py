@@ -120,7 +120,7 @@ def test_error_rates(spark):
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 table[i, j] = min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-        assert metrics.word_edits(a, b) == table[len(a), len(b)]
+        assert metrics.edits(a, b) == table[len(a), len(b)]
 
 
 def test_policies(spark):
