@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, settled, table
+from .common import bound_batches, remove, settled, shared_folder, table
 from .hashing import distinct
 
 WINDOW = 50
@@ -77,8 +77,8 @@ del _residues
 class Chunk:
     """The documents of one chunk and the sampled names of their texts."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[bytes]):
-        self.ids, self.texts = np.asarray(ids, np.int64), texts
+    def __init__(self, ids: Sequence[int], texts: Sequence[bytes], rows: Sequence[int] = ()):
+        self.ids, self.texts, self.rows = np.asarray(ids, np.int64), texts, np.asarray(rows, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         names, owner, at = [], [], []
         for d in range(len(texts)):
@@ -100,6 +100,10 @@ class Chunk:
         low = (self.names & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)
         return high + low
 
+    def copied(self, side: pd.DataFrame) -> np.ndarray:
+        """Which rows hold the whole text of a document with a smaller id."""
+        return np.isin(self.rows, side.loc[side["kind"] == COPY, "at"].to_numpy(np.int64))
+
     def candidates(self, ranges: int, side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, position, name) of the windows over a name that stands in another document."""
         keys = self.sampled_keys(ranges)
@@ -113,8 +117,7 @@ class Chunk:
         shared = several | _flags(side, SAMPLED, keys[starts] >> np.uint64(32))
         hot = np.zeros(len(keys), bool)
         hot[order] = np.repeat(shared, np.diff(starts, append=len(keys)))
-        copies = side.loc[side["kind"] == COPY, "at"].to_numpy(np.int64)
-        skip = np.isin(self.ids, copies)
+        skip = self.copied(side)
         owner, at = self.owner[hot], self.at[hot]
         cuts = np.searchsorted(owner, np.arange(len(self.ids) + 1))
         docs, places, names = [], [], []
@@ -218,7 +221,7 @@ def _flags(side: pd.DataFrame, kind: int, where: np.ndarray) -> np.ndarray:
 
 
 def _windows(left: pd.DataFrame, side: pd.DataFrame, ranges: int) -> tuple[Chunk, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    chunk = Chunk(left["_id"].tolist(), left["_raw"].tolist())
+    chunk = Chunk(left["_id"].tolist(), left["_raw"].tolist(), left["_row"].tolist())
     return chunk, chunk.candidates(ranges, side)
 
 
@@ -247,35 +250,37 @@ def without_repeats(docs: DataFrame, keep: Sequence[str] = (), as_text: bool = F
 
     `repeats` holds n_bytes, starts, ends and kept: the bytes of the text, its repeated spans in bytes and what
     lies outside them. With `as_text` spans shrink to whole characters and `kept` is a string. Texts stand in a
-    table of the session's warehouse meanwhile, which goes in any case.
+    table in the shared checkpoint folder meanwhile, which goes in any case.
 
-    A null text is empty. Texts shorter than the window have no spans. Rows that repeat an id
-    don't take from each other; a null id comes after all others. An empty table gives no rows.
+    A null text is empty. Texts shorter than the window have no spans. Rows that repeat an id are documents of
+    their own that don't take from each other; null ids are one id that comes after all others. An empty table gives no rows.
     Columns to keep may have any names but `doc_id` and `repeats`. A text is read in one task, with some
     40 bytes for each byte of it that a repeated name covers.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     name = f"repeats_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
     renamed = [f"_kept_{k}" for k in range(len(keep))]
     own_names = [F.col(c).alias(r) for c, r in zip(keep, renamed, strict=True)]
     rows = docs.select(F.col("doc_id").alias("_doc"), *own_names, F.coalesce("doc_id", F.lit(_LAST)).alias("_id"), raw.alias("_raw"))
     try:
-        _write_chunks(rows, name)
+        _write_chunks(rows, name, folder)
         found = _repeats(spark.table(name), as_text)
         struct = F.struct("n_bytes", "starts", "ends", "kept").alias("repeats")
         found = found.select(F.col("_doc").alias("doc_id"), *[F.col(r).alias(c) for c, r in zip(keep, renamed, strict=True)], struct)
         return settled(result(found) if result else found)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, folder)
 
 
-def _write_chunks(rows: DataFrame, name: str) -> None:
-    """Save the rows, with the number of the chunk of each, as a table bucketed by chunk."""
+def _write_chunks(rows: DataFrame, name: str, folder: str) -> None:
+    """Save the rows, with the number of the chunk of each and its own in the task, as a table bucketed by chunk."""
 
     def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, number, held = TaskContext.get().partitionId(), 0, 0
+        task, number, held, first = TaskContext.get().partitionId(), 0, 0, 0
         for b in batches:
             chunk = []
             for n in map(len, b["_raw"]):
@@ -283,11 +288,12 @@ def _write_chunks(rows: DataFrame, name: str) -> None:
                     number, held = number + 1, 0
                 held += n
                 chunk.append(task << 32 | number)
-            yield b.assign(chunk=np.array(chunk, np.int64))
+            yield b.assign(chunk=np.array(chunk, np.int64), _row=np.arange(first, first + len(b), dtype=np.int64))
+            first += len(b)
 
-    chunks = rows.mapInPandas(chunked, f"{_schema(rows)}, chunk long")
+    chunks = rows.mapInPandas(chunked, f"{_schema(rows)}, chunk long, _row long")
     buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").saveAsTable(name)
+    chunks.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", folder).saveAsTable(name)
 
 
 def _schema(df: DataFrame, without: Sequence[str] = ()) -> str:
@@ -296,14 +302,14 @@ def _schema(df: DataFrame, without: Sequence[str] = ()) -> str:
 
 def _repeats(texts: DataFrame, as_text: bool) -> DataFrame:
     """The rows of the chunk table without _id, _raw and chunk, and n_bytes, starts, ends and kept."""
-    own = texts.select("chunk", "_id", "_raw")
+    own = texts.select("chunk", "_row", "_id", "_raw")
     total = texts.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
     ranges, window_ranges = (max(1, -(-total // size)) for size in (RANGE_BYTES, WINDOW_RANGE_BYTES))
 
-    digests = own.where(F.octet_length("_raw") >= WINDOW).select("chunk", "_id", F.sha2("_raw", 256).alias("digest"))
+    digests = own.where(F.octet_length("_raw") >= WINDOW).select("chunk", "_row", "_id", F.sha2("_raw", 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = digests.join(first, "digest").where("_id > first")
-    copies = later.select("chunk", F.lit(COPY).alias("kind"), F.col("_id").alias("at"), F.lit(None).cast("binary").alias("bits"))
+    copies = later.select("chunk", F.lit(COPY).alias("kind"), F.col("_row").alias("at"), F.lit(None).cast("binary").alias("bits"))
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = distinct(Chunk(pdf["_id"].tolist(), pdf["_raw"].tolist()).sampled_keys(ranges))
@@ -321,22 +327,22 @@ def _repeats(texts: DataFrame, as_text: bool) -> DataFrame:
 
     windows = own.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(whole, _BLOB)
     side = settled(side.union(windows.groupBy("range").applyInPandas(_answers(WHOLE), _BITS)))
-    passed = [c for c in texts.columns if c not in ("_id", "_raw", "chunk")]
+    passed = [c for c in texts.columns if c not in ("_id", "_raw", "_row", "chunk")]
     columns = [*passed, "n_bytes", "starts", "ends", "kept"]
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=columns)
         chunk, (owner, at, found) = _windows(left, right, ranges)
-        copied = set(right.loc[right["kind"] == COPY, "at"].tolist())
+        copied = chunk.copied(right)
         names, least, inverse = _least(found, chunk.ids[owner])
         smaller = _flags(right, WHOLE, _range_of(names, window_ranges))
         repeated = smaller[inverse] | (chunk.ids[owner] > least[inverse])
         owner, at = owner[repeated], at[repeated]
         cuts = np.searchsorted(owner, np.arange(len(chunk.ids) + 1))
         starts, ends, kept = [], [], []
-        for d, (i, text) in enumerate(zip(chunk.ids, left["_raw"], strict=True)):
-            if len(text) >= WINDOW and int(i) in copied:
+        for d, text in enumerate(left["_raw"]):
+            if copied[d]:
                 a, b = np.array([0]), np.array([len(text)])
             else:
                 a, b = spans_of(at[cuts[d] : cuts[d + 1]], len(text))
@@ -348,7 +354,7 @@ def _repeats(texts: DataFrame, as_text: bool) -> DataFrame:
             kept.append(left_over.decode("utf-8", "replace") if as_text else left_over)
         return left.assign(n_bytes=chunk.sizes, starts=starts, ends=ends, kept=kept)[columns]
 
-    schema = f"{_schema(texts, ('_id', '_raw', 'chunk'))}, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}"
+    schema = f"{_schema(texts, ('_id', '_raw', '_row', 'chunk'))}, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}"
     return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInPandas(cut, schema)
 
 
