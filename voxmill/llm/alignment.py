@@ -53,6 +53,8 @@ class Rows:
         return Rows(np.arange(len(owner) + 1), owner, width)
 
     def transposed(self) -> Rows:
+        if len(self.columns) == self.width and (self.columns[1:] > self.columns[:-1]).all():  # each column once, in order
+            return Rows(np.arange(self.width + 1), np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts)), len(self.starts) - 1)
         order = np.argsort(self.columns, kind="stable")
         row = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
         return Rows(np.concatenate([[0], np.cumsum(np.bincount(self.columns, minlength=self.width))]), row[order], len(self.starts) - 1)
@@ -63,16 +65,20 @@ def product(a: Rows, b: Rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
     Gustavson's order: row i of the product is the sum of the rows of b that row i of a names.
     """
-    n = len(a.starts) - 1
-    work = np.concatenate([[0], np.cumsum(np.diff(b.starts)[a.columns])])[a.starts]  # entries of b named before each row
+    n, sizes = len(a.starts) - 1, np.diff(b.starts)
+    single = bool((sizes == 1).all())
+    work = a.starts if single else np.concatenate([[0], np.cumsum(sizes[a.columns])])[a.starts]  # entries of b named before each row
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(work, work[first] + BLOCK_ROWS, "right")) - 1)
         own = a.columns[a.starts[first] : a.starts[last]]
         row = np.repeat(np.arange(first, last), np.diff(a.starts[first : last + 1]))
-        size = np.diff(b.starts)[own]
-        row = np.repeat(row, size)
-        column = b.columns[np.arange(size.sum()) + np.repeat(b.starts[own] - np.cumsum(size) + size, size)]
+        if single:
+            column = b.columns[own]
+        else:
+            size = sizes[own]
+            row = np.repeat(row, size)
+            column = b.columns[np.arange(size.sum()) + np.repeat(b.starts[own] - np.cumsum(size) + size, size)]
         key = row * max(b.width, 1) + column
         if (np.diff(key) < 0).any():
             key = np.sort(key)
@@ -89,9 +95,15 @@ def overlap_links(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The group of each token: groups end where tokens of both end."""
-    ends_a, ends_b = np.cumsum(a), np.cumsum(b)
-    shared = np.intersect1d(ends_a, ends_b)
-    return np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+    ends = np.cumsum(a), np.cumsum(b)
+    total = int(ends[0][-1]) if len(a) else 0
+    out = []
+    for own, other in (ends, ends[::-1]):
+        closes = np.zeros(total + 1, bool)
+        closes[other] = True
+        closes = closes[own]
+        out.append(np.cumsum(closes) - closes)
+    return out[0], out[1]
 
 
 def group_links(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,26 +114,31 @@ def group_links(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         yield i, j
 
 
+#: Decimal digits of ids below 65,536, to the right, before a place for the mark after them; and which places show.
+_IDS = np.arange(1 << 16)[:, None]
+_POWERS = 10 ** np.arange(4, -1, -1)
+_TEXT = np.concatenate([_IDS // _POWERS % 10 + ord("0"), np.zeros_like(_IDS)], axis=1).astype(np.uint8)
+_SHOWN = np.concatenate([_IDS >= np.append(_POWERS[:-1], 0), np.ones_like(_IDS, bool)], axis=1)
+_SHOWN[:, 4] = True
+del _IDS
+
+
 def written_groups(ids_a: np.ndarray, ids_b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> bytes:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group in order."""
+    """`a1,a2|b1;a3|b2,b3`: the ids of each group in order; ids are below 65,536."""
     n = len(ids_a) + len(ids_b)
     if not n:
         return b""
-    place = np.concatenate([np.arange(len(ids_a)) + np.searchsorted(of_b, of_a), np.arange(len(ids_b)) + np.searchsorted(of_a, of_b, "right")])
+    before_a = np.concatenate([[0], np.cumsum(np.bincount(of_a))])
+    before_b = np.concatenate([[0], np.cumsum(np.bincount(of_b))])
+    place = np.concatenate([np.arange(len(ids_a)) + before_b[of_a], np.arange(len(ids_b)) + before_a[of_b + 1]])
+    mark = np.full(n, ord(","), np.uint8)
+    mark[before_a[1:] - 1] = ord("|")
+    mark[len(ids_a) + before_b[1:] - 1] = ord(";")
     ids, after = np.empty(n, np.int64), np.empty(n, np.uint8)
-    ids[place] = np.concatenate([ids_a, ids_b])
-    mark = np.full(len(ids_a), ord(","), np.uint8), np.full(len(ids_b), ord(","), np.uint8)
-    mark[0][np.append(np.diff(of_a) > 0, True)] = ord("|")
-    mark[1][np.append(np.diff(of_b) > 0, True)] = ord(";")
-    after[place] = np.concatenate(mark)
-    digits = len(str(int(ids.max())))
-    powers = 10 ** np.arange(digits - 1, -1, -1)
-    text = np.empty((n, digits + 1), np.uint8)
-    text[:, :digits] = ids[:, None] // powers % 10 + ord("0")
-    text[:, digits] = after
-    shown = np.ones((n, digits + 1), bool)
-    shown[:, : digits - 1] = ids[:, None] >= powers[:-1]
-    return text[shown].tobytes()[:-1]
+    ids[place], after[place] = np.concatenate([ids_a, ids_b]), mark
+    text = _TEXT[ids]
+    text[:, 5] = after
+    return text[_SHOWN[ids]].tobytes()[:-1]
 
 
 class ByteLevel:
@@ -151,7 +168,8 @@ class Pieces:
     before them are encoded apart, each once.
     """
 
-    HELD = 300_000
+    #: Words that are held in a worker, and bytes of text whose words are looked up together.
+    HELD, SLICE = 600_000, 1 << 20
 
     def __init__(self, path: str):
         import sentencepiece
@@ -160,30 +178,45 @@ class Pieces:
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.pieces = [bytes([int(m[1], 16)]) if self.model.is_byte(i) and (m := _GOOD_BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         probe = "  ａ é  b"
-        self.apart = not any(re.search("[^▁]▁", p) for p in names) and b"".join(self.pieces[i] for i in self.model.encode(probe)) == (" " + probe).encode()
+        self.apart = not any(re.search("[^▁]▁", p) for p in names) and self._bytes(self.model.encode(probe)) == (" " + probe).encode()
         self._clear()
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            # Words with the one space before them; of several spaces the others are words without letters.
-            yield np.array(self.model.encode(text), np.int64) if not self.apart or "  " in text or "▁" in text or text[-1:] == " " or text[:1] == " " else self._by_words(text.split(" "))
-
-    def _by_words(self, words: list[str]) -> np.ndarray:
+        self.ids, self.starts, self.exact = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """The ids of each text, and whether their bytes are those of a space and the text."""
+        at, held = 0, 0
+        for k, text in enumerate(texts):
+            held += len(text)
+            if held >= self.SLICE or k == len(texts) - 1:
+                yield from self._slice(texts[at : k + 1])
+                at, held = k + 1, 0
+
+    def _slice(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        # Words with the one space before them; texts with other spaces are encoded whole.
+        split = [t.split(" ") if self.apart and "  " not in t and "▁" not in t and t[-1:] != " " and t[:1] != " " else None for t in texts]
         if len(self.place) > self.HELD:
             self._clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.place))
+        new = list(dict.fromkeys(w for words in split if words for w in words if w not in self.place))
         if new:
             got = self.model.encode(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])])
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.int64)])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        size = self.starts[at + 1] - self.starts[at]
-        return self.ids[np.arange(size.sum()) + np.repeat(self.starts[at] - np.cumsum(size) + size, size)]
+            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint16)])
+            self.exact = np.concatenate([self.exact, np.array([self._bytes(g) == (" " + w).encode("utf-8", "surrogatepass") for g, w in zip(got, new, strict=True)])])
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                ids = self.model.encode(text)
+                yield np.array(ids, np.int64), self._bytes(ids) == b" " + text.encode("utf-8", "surrogatepass")
+                continue
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            size = self.starts[at + 1] - self.starts[at]
+            yield self.ids[np.arange(size.sum()) + np.repeat(self.starts[at] - np.cumsum(size) + size, size)].astype(np.int64), bool(self.exact[at].all())
 
 
 @functools.lru_cache(2)
@@ -202,9 +235,8 @@ def aligned(texts: Sequence[str | None], path_a: str, path_b: str) -> Iterator[t
         if not t:
             yield none, none, none, none
             continue
-        text, ids_a, ids_b = next(pairs)
-        raw = b" " + text.encode("utf-8", "surrogatepass")
-        same = b"".join(map(a.pieces.__getitem__, ids_a.tolist())) == raw and b"".join(map(b.pieces.__getitem__, ids_b.tolist())) == raw
+        text, ids_a, (ids_b, same) = next(pairs)
+        same = same and b"".join(map(a.pieces.__getitem__, ids_a.tolist())) == b" " + text.encode("utf-8", "surrogatepass")
         yield (ids_a, ids_b, size_a[ids_a], size_b[ids_b]) if same else (none, none, none, none)
 
 
