@@ -54,6 +54,9 @@ _LABEL = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _SIZE = re.compile(r"\d+x\d+")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
+#: An article with so many times fewer unlinked words than the largest is a teaser.
+TEASER = 5
+
 FEATURES = "words_before links_before words links words_after links_after in_article side page_has_article heading".split()
 
 # Blocks labelled by hand. Words and link density (0 to 1) of the block before, the block
@@ -164,6 +167,8 @@ class Block:
     article: bool
     side: bool
     heading: bool
+    part: int = 0  # the outermost article or main element, from 1
+    items: int = 0  # the innermost list, from 1
 
 
 def flat_blocks(page: str) -> list[Block]:
@@ -173,23 +178,25 @@ def flat_blocks(page: str) -> list[Block]:
     over, and an element left open ends with the one around it. What lies outside an article
     doesn't mark what is inside, except reader comments; nothing marks the body or a main element.
     A mark within a token (right-sidebar) may tell of the page's layout: it doesn't hold for an
-    element with most of the page's unlinked words.
+    element with most of the page's unlinked words, and neither do a form around them nor a mark on their
+    article. Of several articles those with less than a fifth of the largest one's words are teasers.
     """
     blocks: list[Block] = []
     doubts: list[tuple[int, ...]] = []
-    elements = 0
+    elements, articles, lists = 0, 0, 0
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]  # name, in article, side, talk, elements perhaps side
+    # Name, in article, side, talk, elements perhaps side, outermost article, innermost list.
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...], int, int]] = [("", False, False, False, (), 0, 0)]
     anchor, heading, at = False, False, 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             words = len(text.split(" "))
-            _, article, side, _, doubt = stack[-1]
+            _, article, side, _, doubt, part, items = stack[-1]
             share = min(1.0, len(html.unescape("".join(linked)).split()) / words)
-            blocks.append(Block(text, words, share, article, side, heading))
+            blocks.append(Block(text, words, share, article, side, heading, part, items))
             doubts.append(doubt)
         parts.clear()
         linked.clear()
@@ -221,20 +228,28 @@ def flat_blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         else:
-            _, article, side, talk, doubt = stack[-1]
+            _, article, side, talk, doubt, part, items = stack[-1]
             main = name == "main" or bool(m["attrs"] and _MAIN.search(m["attrs"]))
             whole, within = marked(m["attrs"]) if m["attrs"] and name != "body" and not main else (frozenset(), frozenset())
             if article:
                 whole, within = whole - {"header"}, within - {"header"}
             talk = not main and (talk or bool((whole | within) & TALK))
+            unsure = bool(within)
             if name == "article" or main:
-                article, side, doubt = True, bool(whole) or talk, ()
+                if not article:
+                    articles += 1
+                    part = articles
+                article, side, doubt, unsure = True, talk, (), unsure or bool(whole)
             else:
-                side = side or bool(whole) or talk or (name in SIDE and not (name == "header" and article))
-            if within:
+                side = side or bool(whole) or talk or (name in SIDE - {"form"} and not (name == "header" and article))
+                unsure = unsure or name == "form"
+            if unsure:
                 elements += 1
                 doubt = (*doubt, elements)
-            stack.append((name, article, side, talk, doubt))
+            if name in ("ul", "ol"):
+                lists += 1
+                items = lists
+            stack.append((name, article, side, talk, doubt, part, items))
     parts.append(page[at:])
     close()
     if elements:
@@ -246,9 +261,26 @@ def flat_blocks(page: str) -> list[Block]:
                 held[k] += own
         for b, doubt in zip(blocks, doubts, strict=True):
             b.side = b.side or any(held[k] <= total / 2 for k in doubt)
+    if articles > 1:
+        own = np.zeros(articles + 1)
+        for b in blocks:
+            own[b.part] += 0.0 if b.side or not b.part else b.words * (1 - b.links)
+        for b in blocks:
+            b.side = b.side or bool(b.part and own[b.part] * TEASER < own.max())
     return blocks
 
 
+def whole_lists(blocks: list[Block], kept: np.ndarray) -> np.ndarray:
+    """Items of a list of which most unlinked words are kept stay with them, but for side matter."""
+    held: dict[int, list[float]] = {}
+    for b, k in zip(blocks, kept, strict=True):
+        if b.items:
+            total = held.setdefault(b.items, [0.0, 0.0])
+            total[0] += b.words * (1 - b.links)
+            total[1] += b.words * (1 - b.links) * k
+    return np.array([bool(k) or (b.items > 0 and not b.side and 2 * held[b.items][1] > held[b.items][0]) for b, k in zip(blocks, kept, strict=True)], bool)
+
+
 def block_features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     own = np.array([(b.words, b.links) for b in blocks], float).reshape(n, 2)
@@ -273,7 +305,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             kept = tree.margin(np.concatenate([np.zeros((0, len(FEATURES))), *map(block_features, found)])) >= 0.5
             out, at = [], 0
             for blocks in found:
-                out.append("\n\n".join(x.text for x, k in zip(blocks, kept[at : at + len(blocks)], strict=True) if k))
+                own = whole_lists(blocks, kept[at : at + len(blocks)])
+                out.append("\n\n".join(x.text for x, k in zip(blocks, own, strict=True) if k))
                 at += len(blocks)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
 
