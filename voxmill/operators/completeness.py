@@ -21,9 +21,10 @@ def pending_tasks(tasks: DataFrame, done: DataFrame, key: str = "utt") -> DataFr
     return tasks.join(done.select(key), key, "left_anti")
 
 
-def progress(done: DataFrame, total: int, key: str = "utt") -> DataFrame:
+def progress(done: DataFrame, total: int | Column, key: str = "utt") -> DataFrame:
+    """`total` is a number, or a scalar subquery that is counted with the rest."""
     n = F.countDistinct(key)
-    return done.agg(n.alias("n_done"), F.greatest(F.lit(0), F.lit(total) - n).alias("n_left"))
+    return done.agg(n.alias("n_done")).select("n_done", F.greatest(F.lit(0), (F.lit(total) if isinstance(total, int) else total) - F.col("n_done")).alias("n_left"))
 
 
 def missing_ids(spark: SparkSession, n: int, done: DataFrame, key: str = "utt") -> DataFrame:

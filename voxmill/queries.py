@@ -8,13 +8,18 @@ of a conversation, a vector is an embedding. Doubles are rounded at the end on b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics, normalize, numerals, text
 from .operators import completeness, selection, sentences, waves
 from .operators import frames as fr
+from .operators import ranged
 from .plans import jobs
+from .sources import clips as wav
+from .sources import runs as rn
 from .sources import tasks as src
 
 HOP, PAD, SR = 160, 320, 1600
@@ -127,6 +132,13 @@ def _(spark, d):
     return selection.losing_candidates(selection.score_dynamic_weights(candidates(spark, d))).select("utt", "cand_idx", "tag")
 
 
+@query("scored_lines", f"""WITH {DYNAMIC} SELECT utt, cand_idx, 'utt=' || utt || ' | model=' || tag || ' | WER=' || printf('%.3f', wer) || ' | SIM=' || printf('%.3f', sim)
+  || ' | AASIST=' || CASE WHEN cm IS NULL THEN 'NA' ELSE printf('%.3f', cm) END || ' | TOTAL=' || CASE WHEN score IS NULL THEN 'NA' ELSE printf('%.3f', round(score, 6)) END AS line FROM s""")
+def _(spark, d):
+    scored = selection.score_dynamic_weights(candidates(spark, d))
+    return selection.score_lines(scored.withColumn("score", F.round("score", 6)))
+
+
 @query("score_lines", f"""WITH {CAND} SELECT utt, cand_idx, 'utt=' || utt || ' | model=' || tag || ' | WER=' || printf('%.3f', wer) || ' | SIM=' || printf('%.3f', sim)
   || ' | AASIST=' || CASE WHEN cm IS NULL THEN 'NA' ELSE printf('%.3f', cm) END || ' | TOTAL=NA' AS line FROM cand""")
 def _(spark, d):
@@ -165,7 +177,7 @@ def _(spark, d):
 
 @query("progress", "SELECT count(DISTINCT doc_id) AS n_done, greatest(0, (SELECT count(*) FROM documents) - count(DISTINCT doc_id)) AS n_left FROM labels")
 def _(spark, d):
-    return completeness.progress(labels(spark, d), documents(spark, d).count())
+    return completeness.progress(labels(spark, d), documents(spark, d).agg(F.count("*")).scalar())
 
 
 @query("missing_ids", "SELECT range AS utt FROM range(1, 1 + (SELECT count(*) FROM documents)) WHERE range NOT IN (SELECT doc_id FROM labels)")
@@ -291,6 +303,17 @@ def _(spark, d):
     return sentences.timeline_rows(lengths, "n", 1440).drop("n")
 
 
+@query("timeline_linear", f"""WITH RECURSIVE {SENTENCES}, p AS (SELECT utt, pos, 300 * length(sentence) AS n FROM sent),
+  laid AS (SELECT utt, pos, CAST(0 AS BIGINT) AS start, CAST(n AS BIGINT) AS stop FROM p WHERE pos = 0
+    UNION ALL SELECT p.utt, p.pos, CASE WHEN l.stop > 1440 AND n > 1440 THEN l.stop - 1440 ELSE l.stop END, CASE WHEN l.stop > 1440 AND n > 1440 THEN l.stop - 1440 ELSE l.stop END + n FROM laid l JOIN p ON p.utt = l.utt AND p.pos = l.pos + 1)
+  SELECT utt, CAST(pos AS INTEGER) AS pos, start, stop AS "end" FROM laid""")
+def _(spark, d):
+    """Pieces of 300 samples a character: the short ones are put after one another without an overlap."""
+    pieces = documents(spark, d).select("utt", F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    lengths = pieces.select("utt", "pos", (F.length("sentence") * 300).alias("n"))
+    return sentences.timeline_rows(lengths, "n", 1440, equal_power=False).drop("n")
+
+
 _D = "'零一二三四五六七八九点'"
 
 
@@ -799,3 +822,140 @@ def _(spark, d):
     found = fr.frames(c.withColumn("clip_id", F.concat_ws(":", "part", "clip_id")))
     part, clip = (F.get(F.split("clip_id", ":", 2), k).cast("long") for k in (0, 1))
     return rounded(found.select(clip.alias("clip_id"), (part * CLIP + F.col("frame_idx")).cast("int").alias("frame_idx"), "rms"))
+
+
+# ---- one clip with a third of all frames -----------------------------------
+
+_HOT_USER = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END"
+#: Groups of more rows than this are narrowed by counts.
+HELD = 2000
+
+
+def hot(sql: str) -> str:
+    return sql.replace("user_id", _HOT_USER)
+
+
+def hot_frames(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.expr(_HOT_USER).alias("clip_id"), "ts", "event_id", F.col("value").alias("energy"), "event_type")
+    return ranged.numbered(e, ["clip_id"], ["ts", "event_id"], "frame_idx").withColumn("frame_idx", F.col("frame_idx").cast("int"))
+
+
+def hot_merged(frames: DataFrame) -> DataFrame:
+    runs = ranged.speech_runs(ranged.voiced_by_median(frames, "energy", HELD), HOP)
+    sizes = frames.groupBy("clip_id").agg(((F.max("frame_idx") + 1) * HOP).cast("long").alias("length"))
+    return ranged.pad_and_merge(runs.join(sizes, "clip_id"), PAD // 4, "length")
+
+
+def hot_bins(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.col("event_type")
+    freq = F.when(kind == "view", 50.0).when(kind == "click", 60.0).otherwise(F.col("frame_idx") % 7 * 10.0)
+    return hot_frames(spark, d).select("clip_id", "frame_idx", freq.alias("freq_hz"), (F.col("energy") / 100).alias("mag"))
+
+
+@query("hot_voiced", f"WITH {hot(FRM)} SELECT clip_id, frame_idx, is_speech FROM med")
+def _(spark, d):
+    return ranged.voiced_by_median(hot_frames(spark, d), "energy", HELD).select("clip_id", "frame_idx", "is_speech")
+
+
+@query("hot_runs", f"WITH {hot(RUNS)} SELECT * FROM runs")
+def _(spark, d):
+    return ranged.speech_runs(ranged.voiced_by_median(hot_frames(spark, d), "energy", HELD), HOP)
+
+
+@query("hot_merged", f"WITH {hot(MERGED)} SELECT * FROM merged")
+def _(spark, d):
+    return hot_merged(hot_frames(spark, d))
+
+
+@query("hot_energy", f"""WITH {hot(SEGS)} SELECT clip_id, start, "end", round(energy, 9) AS energy FROM segs""")
+def _(spark, d):
+    frames = hot_frames(spark, d)
+    return rounded(ranged.segment_energy(frames, hot_merged(frames), HOP), 9)
+
+
+@query("hot_snr", f"WITH {hot(SNR)} SELECT clip_id, round(snr_db, 6) AS snr_db FROM snr")
+def _(spark, d):
+    frames = hot_frames(spark, d)
+    return rounded(ranged.snr_from_speech(frames, hot_merged(frames), HOP, SR, HELD))
+
+
+@query("hot_spectrum", f"""WITH {hot(BINS)}, q AS (SELECT clip_id, freq_hz, quantile_cont(mag, 0.1) AS a, quantile_cont(mag, 0.9) AS b FROM bins GROUP BY ALL)
+  SELECT clip_id, round(20 * log10(avg(b + 1e-9) / avg(a + 1e-9) + 1e-9), 6) AS snr_db FROM q GROUP BY clip_id""")
+def _(spark, d):
+    return rounded(ranged.snr_from_percentiles(hot_bins(spark, d), held=HELD // 4))
+
+
+@query("hot_floor", f"""WITH {hot(BINS)}, q AS (SELECT *, quantile_cont(mag + 1e-8, 0.1) OVER (PARTITION BY clip_id, freq_hz) AS f FROM bins)
+  SELECT clip_id, frame_idx, freq_hz, round(greatest(mag + 1e-8 - 0.9e0 * f, 0e0), 6) AS floored FROM q""")
+def _(spark, d):
+    return rounded(ranged.spectral_floor(hot_bins(spark, d), held=HELD // 4).select("clip_id", "frame_idx", "freq_hz", "floored"))
+
+
+# ---- files: written to the shared folder, read back, removed -----------------
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    return f"{rn.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def read_and_removed(df: DataFrame, folder: str) -> DataFrame:
+    out = ranged.checkpointed(df)
+    rn.Store(df.sparkSession, folder).delete()
+    return out
+
+
+@query("score_log_runs", f"""WITH {DYNAMIC} SELECT 'main' AS run_id, CAST(utt AS VARCHAR) AS utt, tag, printf('%.6f', wer) AS wer, printf('%.6f', sim) AS sim, coalesce(printf('%.6f', cm), '') AS cm,
+  CASE WHEN chosen THEN '1' ELSE '0' END AS chosen FROM chosen""")
+def _(spark, d):
+    """The log written twice under one run id, beside an attempt that never came to its commit: read once."""
+    folder, columns = fresh_folder(spark, "score-log"), ("utt", "tag", "wer", "sim", "cm", "chosen")
+    log = src.format_score_log(selection.score_log(candidates(spark, d)).select(*columns))
+    form = {"fmt": "csv", "header": "true", "emptyValue": ""}
+    rn.stage(log.where("chosen = '1'"), folder, "main", **form)
+    for _ in range(2):
+        rn.write_run(log, folder, "main", **form)
+    found = rn.read_runs(spark, folder, ", ".join(f"{c} string" for c in columns), fmt="csv", header="true")
+    return read_and_removed(found.select("run_id", *[F.coalesce(c, F.lit("")).alias(c) for c in columns]), folder)
+
+
+@query("manifest_files", "SELECT doc_id AS utt, source AS reference_speech, nullif(text, '') AS text, doc_id || '.wav' AS synthesized_speech FROM documents")
+def _(spark, d):
+    """Every document as a task, its manifest written and read again; the format has no empty text beside null."""
+    folder = fresh_folder(spark, "manifest")
+    tasks = documents(spark, d).select("utt", F.col("source").alias("reference_speech"), "text")
+    out = src.write_manifest(src.result_manifest(tasks), folder)
+    read = src.result_manifest(src.read_tasks(spark, out, f"{src.TASK_SCHEMA}, synthesized_speech STRING").drop("synthesized_speech"))
+    return read_and_removed(read.withColumn("text", F.when(F.col("text") != "", F.col("text"))), out)
+
+
+def written_waves(spark: SparkSession, d: str) -> str:
+    """A user's values in order as a file of samples."""
+    folder = fresh_folder(spark, "waves")
+    wav.write_waves(frame_rows(spark, d).select("clip_id", F.col("frame_idx").alias("at"), (F.sin("energy") * 0.9).alias("value")), folder, SR)
+    return folder
+
+
+PCM = f"{FRM}, pcm AS (SELECT clip_id, frame_idx AS place, round(sin(energy) * 0.9e0 * 32768) / 32768 AS y FROM frm)"
+
+
+@query("output_files", "SELECT user_id || '.wav' AS name, 44 + 2 * count(*) AS size FROM events GROUP BY user_id")
+def _(spark, d):
+    folder = written_waves(spark, d)
+    return read_and_removed(src.list_outputs(spark, folder).select("name", "size"), folder)
+
+
+@query("clip_samples", f"""WITH {PCM} SELECT clip_id, CAST(place AS BIGINT) AS "at", round(y, 6) AS value FROM pcm""")
+def _(spark, d):
+    """Samples of the files, which are cut every 64 kB into partitions and blocks of 4,096."""
+    folder = written_waves(spark, d)
+    found = wav.samples_of(wav.load_blocks(spark, folder, 1 << 16, 1 << 12))
+    return read_and_removed(rounded(found.withColumn("clip_id", F.col("clip_id").cast("long"))), folder)
+
+
+@query("clip_frames", f"""WITH {PCM}, n AS (SELECT clip_id, count(*) AS n FROM pcm GROUP BY clip_id), f AS (SELECT clip_id, n, unnest(range(0, greatest(1, n - 32), 16)) AS since FROM n)
+  SELECT f.clip_id, CAST(since // 16 AS BIGINT) AS frame_idx, round(sqrt(avg(y * y) + 1e-9), 6) AS rms FROM f JOIN pcm p ON p.clip_id = f.clip_id AND p.place >= since AND p.place < since + 32 GROUP BY ALL""")
+def _(spark, d):
+    """Frames of 32 samples every 16, from blocks of 40 that know the 32 after them."""
+    folder = written_waves(spark, d)
+    found = wav.block_frames(wav.load_blocks(spark, folder, 1 << 16, 40, 32), 32, 16)
+    return read_and_removed(rounded(found.withColumn("clip_id", F.col("clip_id").cast("long"))), folder)

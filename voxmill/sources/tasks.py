@@ -16,8 +16,8 @@ TASK_SCHEMA = "utt LONG, reference_speech STRING, text STRING"
 LOG_COLUMNS = ("ts", "utt", "tag", "wav_path", "wer", "sim", "aasist", "wer_norm", "sim_norm", "aasist_norm", "final_score", "chosen")
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, schema=TASK_SCHEMA, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
+def read_tasks(spark: SparkSession, path: str, schema: str = TASK_SCHEMA) -> DataFrame:
+    return spark.read.csv(path, schema=schema, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8")
 
 
 def limit_tasks(df: DataFrame, n: int, key: str = "utt") -> DataFrame:
@@ -41,8 +41,9 @@ def result_directory(directory: str) -> str:
 
 
 def write_manifest(df: DataFrame, directory: str) -> str:
+    """Quotes in texts are doubled and white space is kept, so that `read_tasks` gives the texts back."""
     out = result_directory(directory)
-    df.write.mode("overwrite").csv(out, header=True)
+    df.write.mode("overwrite").csv(out, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return out
 
 
