@@ -133,10 +133,10 @@ def _(spark, d):
 
 
 @query("scored_lines", f"""WITH {DYNAMIC} SELECT utt, cand_idx, 'utt=' || utt || ' | model=' || tag || ' | WER=' || printf('%.3f', wer) || ' | SIM=' || printf('%.3f', sim)
-  || ' | AASIST=' || CASE WHEN cm IS NULL THEN 'NA' ELSE printf('%.3f', cm) END || ' | TOTAL=' || CASE WHEN score IS NULL THEN 'NA' ELSE printf('%.3f', round(score, 6)) END AS line FROM s""")
+  || ' | AASIST=' || CASE WHEN cm IS NULL THEN 'NA' ELSE printf('%.3f', cm) END || ' | TOTAL=' || CASE WHEN score IS NULL THEN 'NA' ELSE printf('%.3f', round(score, 6) + 1e-9) END AS line FROM s""")
 def _(spark, d):
     scored = selection.score_dynamic_weights(candidates(spark, d))
-    return selection.score_lines(scored.withColumn("score", F.round("score", 6)))
+    return selection.score_lines(scored.withColumn("score", F.round("score", 6) + 1e-9))  # halves go up in both engines
 
 
 @query("score_lines", f"""WITH {CAND} SELECT utt, cand_idx, 'utt=' || utt || ' | model=' || tag || ' | WER=' || printf('%.3f', wer) || ' | SIM=' || printf('%.3f', sim)
