@@ -14,7 +14,8 @@ from .common import bound_batches, settled, table
 SCALE, K, EVERY = 64, 20, 20
 BLOCK_ROWS = 4096
 QUERY_BLOCK_ROWS = 1024
-STRANDS = 16  # so many tasks share the row blocks that a query block meets
+#: At least so many tasks share the row blocks that a query block meets, and at most so many row blocks go to one of them.
+STRANDS, STRAND_BLOCKS = 16, 64
 #: Products of larger parts are not exact in the doubles that score a block; they are scored in integers.
 MAX_COMPONENT = 1 << 22
 
@@ -160,7 +161,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_rows: int =
     bound_batches(vectors.sparkSession)
     left = _blocks(settled(queries), query_rows, "q")
     right = settled(_listed(_blocks(settled(vectors), block_rows, "b")))
-    pairs = left.join(right, "dims").withColumn("strand", F.pmod("b", F.lit(STRANDS)))
+    strands = max(STRANDS, -(-right.count() // STRAND_BLOCKS))
+    # Query blocks go to every strand, row blocks to their own, so no key holds all blocks.
+    spread = left.withColumn("strand", F.explode(F.sequence(F.lit(0), F.lit(strands - 1))))
+    pairs = spread.join(right.withColumn("strand", F.pmod("b", F.lit(strands))), ["dims", "strand"])
     dealt = pairs.repartition("dims", "q", "strand").sortWithinPartitions("dims", "q", "strand", F.col("b_reach").desc())
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
