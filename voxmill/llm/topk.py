@@ -48,43 +48,47 @@ def threshold_search(
     blocks, in any order, and is brought up to date: what is below all of a query's is passed over.
 
     Each dimension has one sorted list, walked from the end that the query's sign prefers.
-    Walking is by doubling depths: rows seen so far are scored in full, and the search stops
+    Walking is by doubling depths: rows seen so far are scored in full (from the second block on only at the
+    depth where the bound falls below the k-th score of the earlier ones), and the search stops
     when the sum of what each list could still give is below the k-th best score, of this block or
     of the earlier ones. (A tie at the bound goes on, as the unseen row may have the smaller id.)
     """
     n, dims = rows.shape
-    ranked = np.take_along_axis(rows, order, axis=0)
-    exact = rows.astype(np.float64)
-    at, found, scores = [], [], []
-    for q, (qid, w) in enumerate(zip(query_ids, queries.astype(np.float64), strict=True)):
-        depth = max(1, 2 * k // dims)
-        floor = best_so_far[q].min()
-        while True:
-            if depth * dims >= n:
-                seen = np.arange(n)
-                best = exact @ w
-                bound = -np.inf
-            else:
-                up, down = order[-depth:, w > 0], order[:depth, w < 0]
-                seen = np.unique(np.concatenate([up.ravel(), down.ravel()]))
-                best = exact[seen] @ w
-                bound = np.where(w > 0, ranked[-depth], ranked[depth - 1]) @ w
-            own = ids[seen] != qid
-            names, got = ids[seen][own], best[own]
-            if len(got) > k:
-                least = max(floor, np.partition(got, len(got) - k)[len(got) - k])
-            else:
-                least = floor
-            if bound < least or bound == -np.inf:
-                break
-            depth *= 2
-        fit = got >= least
+    ranked = np.take_along_axis(rows, order, axis=0).astype(np.float64)
+    exact, wanted = rows.astype(np.float64), queries.astype(np.float64)
+    depths = [max(1, 2 * k // dims)]
+    while depths[-1] * dims < n:
+        depths.append(2 * depths[-1])
+    depths = np.array(depths[:-1], np.int64)  # from the last on, all rows have been seen
+    bounds = ranked[n - depths] @ np.maximum(wanted, 0).T + ranked[depths - 1] @ np.minimum(wanted, 0).T
+    at, found, scores, whole = [], [], [], []
+
+    def settle(q: int, names: np.ndarray, got: np.ndarray) -> None:
+        fit = (names != query_ids[q]) & (got >= best_so_far[q].min())
         names, got = names[fit], got[fit]
         top = np.lexsort((names, -got))[:k]
         best_so_far[q] = np.partition(np.concatenate([best_so_far[q], got[top]]), len(top))[len(top) :]
         at.append(np.full(len(top), q))
         found.append(names[top])
         scores.append(got[top])
+
+    for q, w in enumerate(wanted):
+        floor = best_so_far[q].min()
+        # With a k-th score of earlier blocks, the depth at which the bound falls below it is known; else it is walked to.
+        for i in np.flatnonzero(bounds[:, q] < floor)[:1] if floor > -np.inf else range(len(depths)):
+            up, down = order[n - depths[i] :, w > 0], order[: depths[i], w < 0]
+            seen = np.unique(np.concatenate([up.ravel(), down.ravel()]))
+            names, got = ids[seen], exact[seen] @ w
+            others = got[names != query_ids[q]]
+            least = max(floor, np.partition(others, len(others) - k)[len(others) - k]) if len(others) > k else floor
+            if bounds[i, q] < least:
+                settle(q, names, got)
+                break
+        else:
+            whole.append(q)
+    full = exact @ wanted[whole].T  # lists that run out: all rows, scored together
+    for j, q in enumerate(whole):
+        settle(q, ids, full[:, j])
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     return join(at, np.int64), join(found, np.int64), join(scores, np.int64)
 
