@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmill.llm import decontamination, learning, neardup, packing, substrings, toxicity
-from voxmill.llm.common import shared_folder, table
+from voxmill.llm.common import remove, settled, shared_folder, table
 
-#: No stage has a SQL form; tests hold each against a brute-force version.
+#: No stage has a SQL form. Tests hold the near-duplicate and the repeats stage against brute force, the toxicity stage against
+#: its model applied text by text, and the other two against their operators, which have brute-force tests of their own.
 ORACLE_SQL = None
 
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the others stay as they are."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -71,6 +73,13 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    try:
+        return settled(_staged(spark, docs, sf_dir, folder))
+    finally:
+        remove(spark, folder)
+
+
+def _staged(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

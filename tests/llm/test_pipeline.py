@@ -1,9 +1,12 @@
 """The stages one after another: columns, effects and odd inputs."""
 
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxmill.llm import decontamination, neardup, substrings
+from voxmill.llm import decontamination, neardup, substrings, toxicity
 
 
 def staged(spark, docs, sf_dir, folder):
@@ -43,6 +46,8 @@ def test_runs_leave_nothing(spark, sf_dir):
     first, second = corpus_pipeline.run(spark, sf_dir), corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(tuple, first.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, second.select("doc_id", "piece", "ids_crc32").collect()))
     assert not spark.catalog.listTables()
+    left = {p.name.split("-")[0].split("_")[0] for p in Path(spark.conf.get("spark.checkpoint.dir")).iterdir()}
+    assert not left & {"pipeline", "repeats", "links", "trie"}
 
 
 def test_empty(spark, sf_dir, tmp_path):
@@ -52,3 +57,36 @@ def test_empty(spark, sf_dir, tmp_path):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_toxic_documents_go_one_by_one(spark, sf_dir):
+    """The stage keeps just the documents that the model, applied to one text at a time, scores under the threshold."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = sorted(r.doc_id for r in docs.collect() if model.score([r.text or ""])[0] < toxicity.THRESHOLD)
+    assert sorted(r.doc_id for r in corpus_pipeline.reject_toxic(spark, docs, sf_dir).collect()) == want and 0 < len(want) < docs.count()
+
+
+def test_of_near_duplicates_the_least_id_stays(spark, sf_dir):
+    """Every pair of shingle sets compared."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = sorted(i for i in sets if top(i) == i)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == want and len(want) < len(sets)
