@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OFFICIAL_BYTES, OFFICIAL_SECONDS, FILL_BYTES = 4096, 0.1, 2048
+#: Ids of one bitmap (Spark's own size), and bytes of bitmaps that may go to every task.
+BUCKET_IDS, BITMAP_BYTES = 32_768, 64 << 20
 
 
 def official_outputs(listing: DataFrame) -> DataFrame:
@@ -31,6 +33,47 @@ def missing_ids(spark: SparkSession, n: int, done: DataFrame, key: str = "utt")
     return spark.range(1, n + 1).withColumnRenamed("id", key).join(done.select(key), key, "left_anti")
 
 
+def done_bitmaps(done: DataFrame, key: str = "utt") -> DataFrame:
+    """(bucket, bits): finished ids as bitmaps, one of 4 KB for each BUCKET_IDS ids that hold any. Ids are integers; null ids are left out."""
+    given = done.where(F.col(key).isNotNull())
+    return given.groupBy(F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+
+
+def is_set(bits: Column, place: Column) -> Column:
+    """Whether the bit at `place` is set; false where there is no bitmap."""
+    byte = F.ascii(F.decode(F.substring(bits, (F.floor(place / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))  # a byte is the character of its value
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
+def pending_by_bits(tasks: DataFrame, bitmaps: DataFrame, key: str = "utt", most_bytes: int = BITMAP_BYTES) -> DataFrame:
+    """`pending_tasks` for integer ids. The bitmaps are counted first; up to `most_bytes` of them go to every
+    task and the tasks aren't shuffled, beyond that both sides meet by bucket. A task with a null id is pending."""
+    fits = bitmaps.count() * BUCKET_IDS // 8 <= most_bytes
+    own = bitmaps.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    joined = tasks.join(F.broadcast(own) if fits else own, F.bitmap_bucket_number(key) == F.col("_bucket"), "left")
+    return joined.where(~is_set(F.col("_bits"), F.bitmap_bit_position(key))).select(*tasks.columns)
+
+
+def progress_by_bits(bitmaps: DataFrame, total: int | Column) -> DataFrame:
+    """`progress` from the bitmaps."""
+    n = F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n_done")
+    return bitmaps.agg(n).select("n_done", F.greatest(F.lit(0), (F.lit(total) if isinstance(total, int) else total) - F.col("n_done")).alias("n_left"))
+
+
+def missing_by_bits(spark: SparkSession, n: int | Column, bitmaps: DataFrame, key: str = "utt") -> DataFrame:
+    """The ids from 1 to n that aren't set, bucket by bucket. `n` may be a scalar subquery, so nothing is counted on the driver."""
+    last = F.lit(n) if isinstance(n, int) else n
+    some = spark.range(1).select(last.cast("long").alias("_n"))
+    # A literal `n` is folded into the sequence, so that has to be one for any value.
+    tops = F.sequence(F.lit(1).cast("long"), F.greatest(F.bitmap_bucket_number("_n"), F.lit(1)), F.lit(1000).cast("long"))
+    some = some.select("_n", F.explode(F.when(F.col("_n") > 0, tops)).alias("_top"))
+    some = some.select("_n", F.explode(F.sequence("_top", F.least(F.col("_top") + 999, F.bitmap_bucket_number("_n")))).alias("bucket"))
+    first = (F.col("bucket") - 1) * BUCKET_IDS + 1
+    ids = F.sequence(first, F.least(first + BUCKET_IDS - 1, F.col("_n")))
+    unset = F.filter(ids, lambda i: ~is_set(F.col("bits"), F.bitmap_bit_position(i)))
+    return some.join(bitmaps, "bucket", "left").select(F.explode(unset).alias(key))
+
+
 def needs_fill(tasks: DataFrame, listing: DataFrame, min_bytes: int = FILL_BYTES, key: str = "utt") -> DataFrame:
     """Tasks whose output is absent or too small."""
     sizes = listing.groupBy(key).agg(F.max("size").alias("_size"))

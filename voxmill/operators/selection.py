@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 W_WER, W_SIM, W_SPOOF = 0.4, 0.4, 0.2
+#: Rows of one key that may stand in a task, and keys that may count as hot.
+HELD_ROWS, MOST_HOT = 100_000, 10_000
 
 
 def _group(key: str):
@@ -124,16 +126,36 @@ def losing_candidates(df: DataFrame, key: str = "utt") -> DataFrame:
     return mark_chosen(df, key).where(~F.col("chosen")).drop("chosen")
 
 
-def speaker_similarity(cands: DataFrame, refs: DataFrame, key: str = "utt", missing: float | None = 0.0, refs_fit: bool = False) -> DataFrame:
+def hot_shares(df: DataFrame, key: str, held: int = HELD_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """(key, _shares): keys with more than `held` rows, and more than a `most`-th of all, and in how many shares their rows go.
+
+    There are fewer than `most` of them, whatever the table's size. A null key is one of them too.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
+    limit = F.greatest(F.lit(held), F.coalesce(counts.agg(F.sum("_n")).scalar() / most, F.lit(0)))
+    return counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / held).cast("int").alias("_shares"))
+
+
+def speaker_similarity(cands: DataFrame, refs: DataFrame, key: str = "utt", missing: float | None = 0.0, held: int = HELD_ROWS) -> DataFrame:
     """`sim`: dot product of each candidate's `vector` and its utterance's `ref_vector`, both normalised here.
 
-    `refs_fit` says that the caller has checked the references' size for a broadcast.
+    An utterance of more than `held` candidates is cut into shares of about that size by a hash of the row, and
+    its reference goes to each share, so no task holds a hot utterance. Rows alike in all columns stay together.
+    Without a reference, or with a null key, `sim` is `missing`; several references give as many rows.
     """
     from ..functions.metrics import dot, l2_normalize
 
+    hot = F.broadcast(hot_shares(cands, key, held))  # fewer than MOST_HOT rows
+    same = lambda a, b: F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
     own = refs.select(key, l2_normalize(F.col("ref_vector")).alias("_ref"))
-    joined = cands.join(F.broadcast(own) if refs_fit else own, key, "left")
-    return joined.withColumn("sim", F.coalesce(dot(l2_normalize(F.col("vector")), F.col("_ref")), F.lit(missing).cast("double"))).drop("_ref")
+    dealt = cands.alias("c").join(hot.alias("h"), same("c", "h"), "left")
+    share = F.pmod(F.xxhash64(*[F.col(f"c.`{c}`") for c in cands.columns]), F.coalesce("h._shares", F.lit(1))).cast("int")
+    dealt = dealt.select("c.*", share.alias("_share"))
+    shares = F.sequence(F.lit(0), F.coalesce("h._shares", F.lit(1)) - 1)
+    copied = own.alias("c").join(hot.alias("h"), same("c", "h"), "left").select("c.*", F.explode(shares).alias("_share"))
+    joined = dealt.join(copied, [key, "_share"], "left")
+    sim = F.coalesce(dot(l2_normalize(F.col("vector")), F.col("_ref")), F.lit(missing).cast("double"))
+    return joined.select(*cands.columns, sim.alias("sim"))
 
 
 def hypothesis_from_segments(segments: DataFrame, key: str = "clip_id", order: str = "pos", text: str = "text") -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sentences import timeline_rows
+
 SAMPLES = "array<float>"
 TARGET_DB = -23.0
+#: Samples that are transformed together, and places of one correlation that are weighed one by one.
+PADDED, TIES = 1 << 20, 8
+#: Samples in a row of a joined clip.
+BLOCK = 65_536
 
 
 def _each(change: Callable[..., np.ndarray], *columns: Column) -> Column:
@@ -114,6 +121,68 @@ def join_equal_power(df: DataFrame, sr: int, ms: float = 60, **names: str) -> Da
     return join_pieces(df, sr, ms, True, **names)
 
 
+def joined_blocks(df: DataFrame, sr: int, ms: float, equal_power: bool, block: int = BLOCK, key: str = "utt", order: str = "pos", at: str = "at", samples: str = "samples") -> DataFrame:
+    """(key, block, samples): the clip that `join_pieces` makes, `block` samples a row, each laid by itself.
+
+    A piece is (key, order) and comes in any number of rows, whose first samples stand `at` in it. Lengths alone are
+    laid out by the key; samples meet by (key, block), in order of the pieces, and a task holds the
+    samples of one block, however many pieces cover it. Null samples count as none; a null `at` is 0; a null
+    key is a key; a clip without samples has no rows.
+    """
+    lap = int(sr * ms / 1000)
+    given = df.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.coalesce(at, F.lit(0)).cast("long").alias("_at"), F.col(samples).cast(SAMPLES).alias("_y"))
+    given = given.where(F.size("_y") > 0)
+    sizes = given.groupBy("_key", "_order").agg(F.sum(F.size("_y")).alias("_n"))
+    laid = timeline_rows(sizes, "_n", lap, equal_power, "_key", "_order")
+    before = Window.partitionBy("_key").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    laid = laid.withColumn("_lap", F.coalesce(F.max("end").over(before), F.col("start")) - F.col("start"))
+    both = given.alias("g").join(laid.alias("l"), F.col("g._key").eqNullSafe(F.col("l._key")) & F.col("g._order").eqNullSafe(F.col("l._order")))
+    first = F.col("start") + F.col("_at")
+    last = first + F.size("_y") - 1
+    cut = both.select("g._key", "g._order", "_at", "_lap", "_y", first.alias("_first"), F.explode(F.sequence(F.floor(first / block), F.floor(last / block))).alias("block"))
+    skip = F.greatest(F.lit(0), F.col("block") * block - F.col("_first"))
+    within = F.col("_first") + skip - F.col("block") * block
+    taken = F.slice("_y", (skip + 1).cast("int"), (F.lit(block) - within).cast("int"))
+    cut = cut.select("_key", "block", "_order", (F.col("_at") + skip).alias("_from"), within.alias("_place"), "_lap", taken.alias("_y"))
+    dealt = cut.repartition("_key", "block").sortWithinPartitions("_key", "block", "_order", "_from")
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kind, out, size = None, None, np.zeros(block), 0
+        done: list[tuple] = []
+
+        def settle() -> None:
+            if now is not None:
+                done.append((*now, np.clip(out[:size], -1, 1).astype(np.float32)))
+
+        def handed() -> pa.RecordBatch:
+            keys, blocks, values = zip(*done, strict=True)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(blocks, pa.int64()), pa.array(values, pa.list_(pa.float32()))], ["_key", "block", "_y"])
+
+        for b in batches:
+            kind = b.schema.field("_key").type
+            for k, n, start, place, n_lap, y in zip(*(b.column(c).to_pylist() for c in ("_key", "block", "_from", "_place", "_lap")), b.column("_y"), strict=True):
+                if now != (k, n):
+                    settle()
+                    if len(done) * block >= PADDED:
+                        yield handed()
+                    now, size = (k, n), 0
+                    out[:] = 0
+                y = y.values.to_numpy(zero_copy_only=False)
+                i = np.arange(start, start + len(y))
+                t = np.minimum(i, n_lap) / max(n_lap - 1, 1)
+                fall, rise = (np.cos(t * np.pi / 2), np.sin(t * np.pi / 2)) if equal_power else (1 - t, t)
+                held = out[place : place + len(y)]
+                out[place : place + len(y)] = np.where(i < n_lap, held * fall + y * rise, y)
+                size = max(size, place + len(y))
+        settle()
+        if done:
+            yield handed()
+
+    kind = dict(dealt.dtypes)["_key"]
+    return dealt.mapInArrow(lay, f"_key {kind}, block long, _y {SAMPLES}").select(F.col("_key").alias(key), "block", F.col("_y").alias(samples))
+
+
 def head_cut_by_chars(sr: Column, chars: Column) -> Column:
     return F.floor(sr * F.greatest(F.lit(0.0), chars * F.lit(0.12) + F.lit(0.06))).cast("int")
 
@@ -124,22 +193,66 @@ def trim_head_by_chars(samples: Column, sr: Column, chars: Column) -> Column:
     return F.when((cut > 0) & (cut < F.size(samples)), F.slice(samples, cut + 1, F.size(samples))).otherwise(samples)
 
 
+def first_peaks(heads: list[np.ndarray], befores: list[np.ndarray]) -> list[int]:
+    """Where each `before` correlates best within its `head`, the first place of several.
+
+    Rows of one padded size are transformed together, at most PADDED samples at a time: n log n in a head's samples.
+    Places within the transform's rounding of the largest are told apart by their own dot products, and beyond
+    TIES of them count as equal.
+    """
+    sizes = [1 << (len(h) - 1).bit_length() for h in heads]
+    out = [0] * len(heads)
+    for size in sorted(set(sizes)):
+        rows = [k for k, n in enumerate(sizes) if n == size]
+        step = max(1, PADDED // size)
+        for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+            both = np.zeros((2, len(part), size))
+            for r, k in enumerate(part):
+                both[0, r, : len(heads[k])], both[1, r, : len(befores[k])] = heads[k], befores[k]
+            waves = np.fft.rfft(both)
+            # Circular, but nothing wraps at the places where a whole `before` lies inside its head.
+            dots = np.fft.irfft(waves[0] * np.conj(waves[1]), size)
+            for r, k in enumerate(part):
+                head, before = heads[k], befores[k]
+                valid = dots[r, : len(head) - len(before) + 1]
+                near = np.flatnonzero(valid >= valid.max() - 1e-12 * np.linalg.norm(head) * np.linalg.norm(before))
+                if 1 < len(near) <= TIES:
+                    exact = [float(head[p : p + len(before)] @ before) for p in near]
+                    near = near[np.argmax(exact) :]
+                out[k] = int(near[0]) if len(near) else 0
+    return out
+
+
+def best_alignments(rows: list[tuple | None], least: float = 0.35) -> list[int | None]:
+    """For rows of (before, head, hop, tail, sr, length): samples to cut so that `head` starts where the envelope
+    `before` ends in it. None where they don't match, where a row is None, and where a value is not finite."""
+
+    def usable(before: np.ndarray, head: np.ndarray, hop: int, tail: int, sr: int, length: int) -> bool:
+        if tail < int(0.15 * sr) or length < int(0.2 * sr) or not 0 < len(before) < len(head) - 2:
+            return False
+        return bool(np.isfinite(before).all() and np.isfinite(head).all())
+
+    kept = [k for k, row in enumerate(rows) if row is not None and usable(*row)]
+    peaks = first_peaks([rows[k][1] for k in kept], [rows[k][0] for k in kept])
+    out: list[int | None] = [None] * len(rows)
+    for k, at in zip(kept, peaks, strict=True):
+        before, head, hop, tail, sr, length = rows[k]
+        window = head[at : at + len(before)]
+        if float(window @ before / (np.linalg.norm(window) * np.linalg.norm(before) + 1e-8)) >= least:
+            out[k] = max(0, min(at * hop + tail - int(0.02 * sr), length - 1))
+    return out
+
+
 def best_alignment(before: np.ndarray, head: np.ndarray, hop: int, tail: int, sr: int, length: int, least: float = 0.35) -> int | None:
-    """Samples to cut so that `head` starts where the envelope `before` ends in it; None where they don't match."""
-    if tail < int(0.15 * sr) or length < int(0.2 * sr) or len(head) <= len(before) + 2:
-        return None
-    at = int(np.argmax(np.correlate(head, before, mode="valid")))
-    window = head[at : at + len(before)]
-    if float(window @ before / (np.linalg.norm(window) * np.linalg.norm(before) + 1e-8)) < least:
-        return None
-    return max(0, min(at * hop + tail - int(0.02 * sr), length - 1))
+    return best_alignments([(before, head, hop, tail, sr, length)], least)[0]
 
 
 def align_cut(before: Column, head: Column, hop: Column, tail: Column, sr: Column, length: Column) -> Column:
     @F.pandas_udf("long")
     def run(*columns: pd.Series) -> pd.Series:
         rows = zip(*columns, strict=True)
-        return pd.Series([None if b is None or h is None else best_alignment(np.asarray(b, float), np.asarray(h, float), *map(int, r)) for b, h, *r in rows], dtype="Int64")
+        given = [None if b is None or h is None or any(pd.isna(x) for x in r) else (np.asarray(b, float), np.asarray(h, float), *map(int, r)) for b, h, *r in rows]
+        return pd.Series(best_alignments(given), dtype="Int64")
 
     return run(before, head, hop, tail, sr, length)
 

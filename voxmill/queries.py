@@ -182,7 +182,18 @@ def _(spark, d):
 
 @query("missing_ids", "SELECT range AS utt FROM range(1, 1 + (SELECT count(*) FROM documents)) WHERE range NOT IN (SELECT doc_id FROM labels)")
 def _(spark, d):
-    return completeness.missing_ids(spark, documents(spark, d).count(), labels(spark, d))
+    return completeness.missing_by_bits(spark, documents(spark, d).agg(F.count("*")).scalar(), completeness.done_bitmaps(labels(spark, d)))
+
+
+@query("pending_bits", "SELECT doc_id AS utt, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return completeness.pending_by_bits(documents(spark, d).select("utt", "source"), completeness.done_bitmaps(labels(spark, d)))
+
+
+@query("progress_bits", "SELECT count(DISTINCT o_custkey) AS n_done, greatest(0, (SELECT count(*) FROM customer) - count(DISTINCT o_custkey)) AS n_left FROM orders")
+def _(spark, d):
+    bitmaps = completeness.done_bitmaps(table(spark, d, "orders").select(F.col("o_custkey").alias("utt")))
+    return completeness.progress_by_bits(bitmaps, table(spark, d, "customer").agg(F.count("*")).scalar())
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
@@ -506,6 +517,19 @@ def _(spark, d):
     return rounded(selection.speaker_similarity(cands, refs).select("vec_id", "sim"))
 
 
+_HOT_LABEL = "CASE WHEN vec_id % 2 = 0 THEN 0 ELSE label END"
+
+
+@query("hot_similarity", f"""WITH f AS (SELECT {_HOT_LABEL} AS label, min(vec_id) AS ref FROM embeddings GROUP BY 1), v AS (SELECT vec_id, {_HOT_LABEL} AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  n AS (SELECT vec_id, label, list_transform(e, lambda x: x / (sqrt(list_sum(list_transform(e, lambda y: y * y))) + 1e-9)) AS e FROM v)
+  SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])), 6) AS sim FROM n a JOIN f ON a.label = f.label JOIN n b ON b.vec_id = f.ref""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").withColumn("utt", F.expr(_HOT_LABEL))  # half of all vectors have one label
+    refs = e.groupBy("utt").agg(F.min_by("embedding", "vec_id").alias("ref_vector"))
+    cands = e.select("vec_id", "utt", F.col("embedding").alias("vector"))
+    return rounded(selection.speaker_similarity(cands, refs, held=200).select("vec_id", "sim"))
+
+
 @query("spoof_prob", """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)
   SELECT vec_id, round(exp(b - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS last, round(exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) AS first,
     round(1 / (1 + exp(-a)), 6) AS one, round(1 - 1 / (1 + exp(-a)), 6) AS one_first, CAST(NULL AS DOUBLE) AS bona FROM v""")
@@ -803,6 +827,26 @@ def _(spark, d):
     return linear.join(summary(waves.join_equal_power(rows, 100, 100).withColumnRenamed("samples", "power"), "power"), "utt")
 
 
+_JOINED = 500  # samples in a row of a joined clip
+_BEFORE = "OVER (PARTITION BY utt ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query("joined_blocks", f"""WITH {WAVE}, pcs AS (SELECT clip_id % 3 AS utt, clip_id, count(*) AS len FROM wav GROUP BY ALL),
+  laps AS (SELECT 'power' AS mode, *, least(10, coalesce(max(len) {_BEFORE}, 0), len) AS n FROM pcs UNION ALL SELECT 'linear', *, CASE WHEN sum(len) {_BEFORE} > 10 AND len > 10 THEN 10 ELSE 0 END FROM pcs),
+  laid AS (SELECT *, coalesce(sum(len - n) OVER (PARTITION BY mode, utt ORDER BY clip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - n AS start FROM laps),
+  w AS (SELECT clip_id, frame_idx AS i, y FROM wav),
+  own AS (SELECT l.mode, l.utt, l.clip_id AS k, l.start + w.i AS p, w.y * CASE WHEN w.i >= l.n THEN 1 WHEN l.mode = 'power' THEN sin({_RISE} * pi() / 2) ELSE {_RISE} END AS y FROM laid l JOIN w USING (clip_id)),
+  put AS (SELECT o.mode, o.utt, o.p, o.k, max(o.y) * product(CASE WHEN q.clip_id IS NULL THEN 1 WHEN q.mode = 'power' THEN cos({_FALL} * pi() / 2) ELSE 1 - {_FALL} END) AS y
+    FROM own o LEFT JOIN laid q ON q.mode = o.mode AND q.utt = o.utt AND q.clip_id > o.k AND o.p >= q.start AND o.p < q.start + q.n GROUP BY o.mode, o.utt, o.p, o.k),
+  out AS (SELECT mode, utt, p, greatest(-1, least(1, sum(y))) AS y FROM put GROUP BY ALL)
+  SELECT mode, utt, CAST(p // {_JOINED} AS BIGINT) AS block, CAST(count(*) AS INTEGER) AS samples_n, {_square("y")} AS samples_energy FROM out GROUP BY ALL""")
+def _(spark, d):
+    # All users of a third make one clip; a user's samples come part by part.
+    rows = clips(spark, d).select((F.col("clip_id") % 3).alias("utt"), F.col("clip_id").alias("pos"), (F.col("part") * CLIP).alias("at"), "samples")
+    made = [summary(waves.joined_blocks(rows, 100, 100, mode == "power", _JOINED), "samples").withColumn("mode", F.lit(mode)) for mode in ("power", "linear")]
+    return made[0].unionByName(made[1])
+
+
 @query("wave_alignment", f"""WITH {WAVE}, m AS (SELECT *, count(*) OVER (PARTITION BY clip_id, part) AS n FROM wav), b AS (SELECT clip_id, part, i - 10 AS j, y AS own FROM m WHERE i BETWEEN 10 AND 19),
   dots AS (SELECT m.clip_id, m.part, m.i - b.j AS pos, sum(m.y * own) AS dot, sqrt(sum(m.y * m.y)) * sqrt(sum(own * own)) AS size FROM m JOIN b ON m.clip_id = b.clip_id AND m.part = b.part AND m.i >= b.j AND m.i - b.j <= n - 10 WHERE n >= 20 GROUP BY ALL),
   best AS (SELECT clip_id, part, arg_max({{'pos': pos, 'sim': dot / (size + 1e-8)}}, {{'dot': dot, 'early': -pos}}) AS x FROM dots GROUP BY clip_id, part)
