@@ -1,5 +1,8 @@
 """Numerals, normaliser, sentences, durations: golden values."""
 
+import random
+
+import plain_normalizer
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,7 +27,7 @@ SPOKEN = [
 
 @pytest.mark.parametrize("given_text,expected", SPOKEN)
 def test_normalize(given_text, expected):
-    assert normalize.normalize(given_text) == expected
+    assert plain_normalizer.normalize(given_text) == expected
 
 
 def test_normalize_column(spark):
@@ -32,6 +35,36 @@ def test_normalize_column(spark):
     assert [r[0] for r in rows] == [b for _, b in SPOKEN] + [None]
 
 
+#: What rules look for and what stands in their way: signs, spaces of all kinds, letters of both cases, marks, letters of
+#: other scripts, the block of private use that the expressions mark with.
+PARTS = """1 2 0 12 345 2024 1999 10000 0.5 3.14 . - - − ~ — % 年 月 日 时 分 ℃ °C ° km KM kg m/s 米/秒 µm μm m a A x Z _ é 中 人 元 美元 ： : 、 「
+    usb 1.5kg 99999999999999999 12345678901234567890123 2024-3-5 3月5日 6时45分 7-9 , 。 ² ٣ K ſ""".split() + [" ", "\u3000", "\t", "\n", "\x1c", "\xa0", "\ue000", "\ue002", "\ue007", "\ue00a"]
+
+
+def test_normalize_against_plain_version(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 14))) for _ in range(8000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", normalize.normalize_text("t").alias("s")).collect()
+    assert len(rows) == len(texts) and [(texts[r.i], r.s) for r in rows if r.s != plain_normalizer.normalize(texts[r.i])] == []
+
+
+@pytest.mark.parametrize("part,times", [("1.1-a", 50_000), ("12kg ", 5_000), ("1-", 20_000), ("a.a.b-", 20_000), ("a1_", 50_000), ("5 " + " " * 50, 1_000)])
+def test_normalize_long_texts(spark, part, times):
+    """Neither the stack nor the time of a pattern grows out of hand with the text."""
+    said = spark.createDataFrame([(part * times,)], "t string").select(normalize.normalize_text("t")).first()[0]
+    assert said == plain_normalizer.normalize(part * times)
+
+
+def test_normalize_one_long_number(spark):
+    said = spark.createDataFrame([("1" * 200_000,)], "t string").select(normalize.normalize_text("t")).first()[0]
+    assert said == "一" * 200_000
+
+
+def test_normalize_needs_no_python_worker(spark):
+    plan = spark.createDataFrame([("x",)], "t string").select(normalize.normalize_text("t"))._jdf.queryExecution().toString()
+    assert "Python" not in plan
+
+
 NUMBERS = {0: "零", 10: "十", 15: "十五", 110: "一百一十", 1005: "一千零五", 2010: "二千零一十", 10000: "一万", 10001: "一万一", 18000: "一万八千",
     100000: "十万", 100010: "十万一十", 20000000: "二千万", 20240305: "二千零二十四万三百零五", 100000000: "一亿", -3: "负三", 10**16: None}
 
@@ -58,7 +91,7 @@ def test_protected_tokens(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**16 - 1))
 def test_spoken_number_has_no_doubled_zero(n):
-    said = normalize.spoken_number(str(n))
+    said = plain_normalizer.spoken_number(str(n))
     assert said and "零零" not in said and (said == "零" or not said.endswith("零"))
 
 

@@ -1,109 +1,111 @@
-"""Spoken form of numbers, dates and units in Chinese text, and the tokens kept as they are."""
+"""Spoken form of numbers, dates and units in Chinese text, and the tokens kept as they are.
+
+All of it is column expressions. Rules put marks around the numbers and units they find, so that no later rule
+reads them again, and one fold at the end says every marked piece.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .numerals import DIGITS, GROUPS, ID_MARKS, MEASURE_WORDS, PLACES, UNIT_NAMES
+from .numerals import ID_MARKS, MEASURE_WORDS, UNIT_NAMES, canonical_unit, digits_to_chinese, number_to_chinese
 
-# Patterns of what is read in a way of its own.
+# Patterns of what is read in a way of its own. Repeats of groups are possessive, so they take no stack.
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
-TOKEN = r"\b[0-9A-Za-z]+(?:[._-][0-9A-Za-z]+)*\b"
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]*"
+WORD = r"[\p{L}\p{N}_]"
+RUN = rf"[0-9A-Za-z]++(?:_[0-9A-Za-z]++)*+(?!{WORD})"
+TOKEN = rf"(?<!{WORD}){RUN}(?:[.-]{RUN})*+"
 AMOUNT_TOKEN = r"[0-9]+(?:\.[0-9]+)?[A-Za-z]+"
-RANGE = rf"(?<![A-Za-z])({NUMBER})\s*[-~—–]\s*({NUMBER})(?![A-Za-z])"
-BARE = rf"(?<![A-Za-z0-9_])({NUMBER})(?![A-Za-z%])"
+START = "(?<![0-9])"  # where a number found nowhere else begins: each run of digits is tried once
+RANGE = rf"(?:(?<![A-Za-z0-9])|(?<=[A-Za-z][0-9]))({NUMBER}){SPACE}[-~—–]{SPACE}({NUMBER})(?![A-Za-z])"
 UNITS = "|".join(re.escape(u) for u in sorted(UNIT_NAMES, key=len, reverse=True))
+MEASURES = "|".join(sorted(MEASURE_WORDS, key=len, reverse=True))
 
-_TO_DIGITS = str.maketrans("0123456789.", DIGITS + "点")
+# Private-use characters: ends of a marked piece, its kinds, one for a character of this block in the text itself, and
+# one for each character of a protected token.
+OPEN, CLOSE, FOREIGN, TOKENS, AS_NUMBER, AS_DIGITS, AS_BARE, AS_UNIT = (chr(0xE000 + k) for k in range(8))
+TOKEN_CHARS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._-"
+HELD_CHARS = "".join(chr(0xE008 + k) for k in range(len(TOKEN_CHARS)))
+BLOCK = f"[{OPEN}-{HELD_CHARS[-1]}]"
 
 
-def spoken_digits(s: str) -> str:
-    return s.translate(_TO_DIGITS)
+def _mark(kind: str, group: int) -> str:
+    return f"{OPEN}{kind}${group}{CLOSE}"
 
 
-def spoken_number(s: str) -> str:
-    """Integers of more than 16 digits have no name and are read digit by digit."""
-    whole, point, fraction = s.partition(".")
-    n = int(whole)
-    if n >= 10**16:
-        return spoken_digits(s)
-    groups = []
-    for name in GROUPS:
-        n, group = divmod(n, 10_000)
-        text = "".join(DIGITS[int(d)] + (p if d != "0" else "") for d, p in zip(f"{group:04d}", PLACES, strict=True))
-        text = re.sub("零+", "零", text).strip("零")
-        groups.append(text + name if text else "")
-    said = re.sub("^一十", "十", "".join(reversed(groups))) or DIGITS[0]
-    return said + ("点" + spoken_digits(fraction) if point else "")
+def _number(group: int) -> str:
+    return _mark(AS_NUMBER, group)
 
 
-def _unit(u: str) -> str:
-    return UNIT_NAMES.get(u) or UNIT_NAMES.get(u.lower(), u)
+#: Patterns, and their order: a later rule sees what the earlier ones have left.
+RULES: list[tuple[str, str]] = [
+    (rf"(?<!{WORD})([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?!{WORD})", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日"),
+    (r"(?<![A-Za-z])([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日"),
+    (r"(?<![A-Za-z])([0-9]{1,2})月([0-9]{1,2})日", f"{_number(1)}月{_number(2)}日"),
+    (r"(?<![A-Za-z])([0-9]{1,2})时([0-9]{1,2})分", f"{_number(1)}时{_number(2)}分"),
+    (rf"{START}({NUMBER}){SPACE}%", f"百分之{_number(1)}"),
+    (RANGE, "$1到$2"),
+    (rf"(?iu)[-−]{SPACE}({NUMBER}){SPACE}({UNITS})", f"负{_number(1)}{_mark(AS_UNIT, 2)}"),
+    (rf"(?iu){START}({NUMBER}){SPACE}({UNITS})", f"{_number(1)}{_mark(AS_UNIT, 2)}"),
+    # the micro sign has no name; its letter counts as the text's own
+    (rf"{OPEN}{AS_UNIT}(µ[Mm]){CLOSE}", "$1"),
+    (rf"(?<![A-Za-z0-9_])-({NUMBER})(?![A-Za-z%])", f"负{_number(1)}"),
+    # marked pieces stay; a bare number before a measure word, after a mark of identifiers, or elsewhere
+    (
+        rf"({OPEN}[^{CLOSE}]*{CLOSE})|(?<![A-Za-z0-9_])({NUMBER})(?={MEASURES})|(?<=[{ID_MARKS}])({NUMBER})(?![A-Za-z%])|(?<![A-Za-z0-9_])({NUMBER})(?![A-Za-z%])",
+        f"$1{_number(2)}{_mark(AS_DIGITS, 3)}{_mark(AS_BARE, 4)}",
+    ),
+]
 
 
-def _bare(m: re.Match) -> str:
-    number, left, right = m[1], m.string[: m.start()], m.string[m.end() :]
-    if right.startswith(tuple(MEASURE_WORDS)):
-        return spoken_number(number)
-    if "." in number or len(number) > 4 or left.endswith(tuple(ID_MARKS)):
-        return spoken_digits(number)
-    return spoken_number(number)
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(c), body), 0)
 
 
-def _date(m: re.Match) -> str:
-    return f"{spoken_digits(m[1])}年{spoken_number(m[2])}月{spoken_number(m[3])}日"
+def _fold(marked: Column, ends: str, say: Callable[[Column], Column]) -> Column:
+    """Every second piece between `ends` is said, the others stay."""
+    return F.array_join(F.transform(F.split(marked, ends), lambda p, i: F.when(i % 2 == 1, say(p)).otherwise(p)), "")
 
 
-#: In the order in which they apply: a later rule sees what the earlier ones have left.
-RULES: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
-    (re.compile(r"\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\b"), _date),
-    (re.compile(r"(?<![A-Za-z])([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"), _date),
-    (re.compile(r"(?<![A-Za-z])([0-9]{1,2})月([0-9]{1,2})日"), lambda m: f"{spoken_number(m[1])}月{spoken_number(m[2])}日"),
-    (re.compile(r"(?<![A-Za-z])([0-9]{1,2})时([0-9]{1,2})分"), lambda m: f"{spoken_number(m[1])}时{spoken_number(m[2])}分"),
-    (re.compile(rf"({NUMBER})\s*%"), lambda m: "百分之" + spoken_number(m[1])),
-    (re.compile(RANGE), lambda m: f"{m[1]}到{m[2]}"),
-    (re.compile(rf"[-−]\s*({NUMBER})\s*({UNITS})", re.IGNORECASE), lambda m: "负" + spoken_number(m[1]) + _unit(m[2])),
-    (re.compile(rf"({NUMBER})\s*({UNITS})", re.IGNORECASE), lambda m: spoken_number(m[1]) + _unit(m[2])),
-    (re.compile(rf"(?<![A-Za-z0-9_])-({NUMBER})(?![A-Za-z%])"), lambda m: "负" + spoken_number(m[1])),
-    (re.compile(BARE), _bare),
-]
-_TOKEN, _AMOUNT = re.compile(TOKEN), re.compile(AMOUNT_TOKEN)
+def is_protected(token: Column) -> Column:
+    """Letters and digits mixed, other than a number followed by letters."""
+    return token.rlike("[A-Za-z]") & token.rlike("[0-9]") & ~token.rlike(f"^{AMOUNT_TOKEN}$")
 
 
-def is_protected(token: str) -> bool:
-    """Letters and digits mixed, other than a number followed by letters."""
-    return bool(re.search("[A-Za-z]", token) and re.search("[0-9]", token)) and not _AMOUNT.fullmatch(token)
+def _hold(c: Column) -> Column:
+    """Protected tokens in characters that no rule reads."""
+    marked = F.regexp_replace(c, f"({TOKEN})", f"{TOKENS}$1{TOKENS}")
+    return _fold(marked, TOKENS, lambda t: F.when(is_protected(t), F.translate(t, TOKEN_CHARS, HELD_CHARS)).otherwise(t))
 
 
-def normalize(text: str) -> str:
-    if not re.search("[0-9]", text):
-        return text  # every rule needs a digit
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if chr(c) not in text)
-    held: list[str] = []
+def _say(piece: Column) -> Column:
+    """A marked piece, by its kind. Numbers of more than 16 digits have no name and are read digit by digit."""
+    kind, body = F.left(piece, F.lit(1)), F.substring(piece, 2, 2**31 - 1)
+    long = (F.instr(body, ".") > 0) | (F.length(body) > 4)
+    spelled = (kind == AS_DIGITS) | ((kind == AS_BARE) & long) | body.rlike("^0*[1-9][0-9]{16}")
+    said = F.when(spelled, digits_to_chinese(body)).otherwise(number_to_chinese(body))
+    return F.when(body == "", "").when(kind == AS_UNIT, canonical_unit(body)).otherwise(said)
 
-    def hold(m: re.Match) -> str:
-        if not is_protected(m[0]):
-            return m[0]
-        held.append(m[0])
-        return mark
 
-    text = _TOKEN.sub(hold, text)
-    for pattern, say in RULES:
-        text = pattern.sub(say, text)
-    back = iter(held)
-    return re.sub(mark, lambda _: next(back), text)
+def _spoken(c: Column) -> Column:
+    out = _hold(F.regexp_replace(c, BLOCK, FOREIGN))
+    for pattern, marked in RULES:
+        out = F.regexp_replace(out, pattern, marked)
+    out = F.translate(_fold(out, f"[{OPEN}{CLOSE}]", _say), HELD_CHARS, TOKEN_CHARS)
+    own = F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0))
+    return F.when(F.size(own) == 0, out).otherwise(F.array_join(F.zip_with(F.split(out, FOREIGN), own, lambda p, o: F.concat(p, F.coalesce(o, F.lit("")))), ""))
 
 
-@F.pandas_udf(StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
-    """All rules in order; null stays null."""
-    return texts.map(normalize, na_action="ignore")
+def normalize_text(c: Column | str) -> Column:
+    """All rules in order; null stays null. Text without a digit stays: every rule needs one."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _let(c, lambda t: F.when(t.rlike("[0-9]"), _spoken(t)).otherwise(t))
 
 
 def ranges_to_words(c: Column) -> Column:
@@ -113,8 +115,6 @@ def ranges_to_words(c: Column) -> Column:
 
 def protected_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """One row for each protected token of `text`, with its position among them, beside the other columns."""
-    edge = r"[\p{L}\p{N}_]"
-    found = F.regexp_extract_all(text, F.lit(rf"(?<!{edge})([0-9A-Za-z]+(?:[._-][0-9A-Za-z]+)*)(?!{edge})"), F.lit(1))
-    kept = F.filter(found, lambda t: t.rlike("[A-Za-z]") & t.rlike("[0-9]") & ~t.rlike(f"^{AMOUNT_TOKEN}$"))
+    kept = F.filter(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), is_protected)
     others = [c for c in df.columns if c != text]
     return df.select(*others, F.posexplode(kept).alias("token_pos", "token"))

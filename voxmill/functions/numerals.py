@@ -68,7 +68,7 @@ def number_to_chinese(c: Column) -> Column:
 
 def canonical_unit(c: Column) -> Column:
     """The unit's spoken name: as written, else in lower case, else the unit itself."""
-    names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    names = F.str_to_map(F.lit(";".join(f"{u}={name}" for u, name in UNIT_NAMES.items())), F.lit(";"), F.lit("="))
     return F.coalesce(F.try_element_at(names, c), F.try_element_at(names, F.lower(c)), c)
 
 

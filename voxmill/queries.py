@@ -370,6 +370,69 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", numerals.int_to_chinese(F.col("o_orderkey") * 1000003).alias("key"), numerals.number_to_chinese(price).alias("price"))
 
 
+# SQL of the normaliser. RE2 has no look-around, so marks say where a number may begin or end; each rule's numbers are said at once.
+_M, _Z, _Y = "", "", ""
+_ALNUM = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._-"
+_HELD = "".join(chr(0xE010 + k) for k in range(len(_ALNUM)))
+_SP, _N, _RUN = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]*", "[0-9]+(?:\\.[0-9]+)?", f"{_Z}[0-9A-Za-z]+(?:_[0-9A-Za-z]+)*{_Y}"
+_UNIT_SQL = "|".join(sorted(numerals.UNIT_NAMES, key=len, reverse=True))
+
+
+def _swap(t: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({t}, '{pattern}', '{by}', 'g')"
+
+
+def _words(t: str) -> str:
+    """Both ends of every run of word characters are marked."""
+    return _swap(t, "([\\p{L}\\p{N}_]+)", f"{_Z}\\1{_Y}")
+
+
+def _kept(k: str) -> str:
+    return f"(regexp_matches({k}, '[A-Za-z]') AND regexp_matches({k}, '[0-9]') AND NOT regexp_matches({k}, '^[0-9]+(\\.[0-9]+)?[A-Za-z]+$'))"
+
+
+def _folded(t: str, say: str) -> str:
+    """Every second piece `p` is said; the marks of starts and ends go."""
+    return f"replace(replace(array_to_string(list_transform(string_split({t}, '{_M}'), lambda p, i: CASE WHEN i % 2 = 0 THEN {say} ELSE p END), ''), '{_Z}', ''), '{_Y}', '')"
+
+
+def _said_text(x: str) -> str:
+    whole = _said(f"TRY_CAST(split_part({x}, '.', 1) AS BIGINT)")
+    return f"""CASE WHEN regexp_matches({x}, '^0*[1-9][0-9]{{16}}') THEN {_said_digits(x)} WHEN contains({x}, '.') THEN {whole} || '点' || {_said_digits(f"split_part({x}, '.', 2)")} ELSE {whole} END"""
+
+
+def _normalized(table: str) -> str:
+    """CTEs from (utt, text) of `table` to (utt, t) of `spoken`."""
+    bare = lambda k: f"split_part(p, '|', {k})"
+    names = lambda u: f"CASE {u} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in numerals.UNIT_NAMES.items()) + " END"
+    x, plain = "substr(p, 2)", "replace(replace(p, '" + _Z + "', ''), '" + _Y + "', '')"
+    say = f"""CASE left(p, 1) WHEN 'n' THEN {_said_text(x)} WHEN 'd' THEN {_said_digits(x)} ELSE coalesce({names(x)}, {names(f"lower({x})")}, {x}) END"""
+    say_bare = f"""CASE WHEN {bare(3)} = '' AND ({bare(1)} <> '' OR length({bare(2)}) > 4 OR contains({bare(2)}, '.')) THEN {_said_digits(bare(2))} ELSE {_said_text(bare(2))} END"""
+    n = lambda k: f"{_M}n\\{k}{_M}"
+    unlettered = lambda t: _swap(t, "([A-Za-z])([0-9])", f"\\1\\2{_Z}")
+    ended = lambda t, more="": _swap(t, f"([0-9])([A-Za-z{more}])", f"{_Y}\\1\\2")
+    begun = lambda t: _swap(t, f"(^|[^A-Za-z_0-9{_Y}])([0-9]+)", f"\\1{_Z}\\2")
+    number, unit = f"({_N}){_SP}", f"{n(1)}{_M}u\\2{_M}"
+    steps = [
+        _folded(_swap(_words("text"), f"({_RUN}(?:[.-]{_RUN})*)", f"{_M}\\1{_M}"), f"CASE WHEN {_kept(plain)} THEN translate({plain}, '{_ALNUM}', '{_HELD}') ELSE p END"),
+        _folded(_swap(_words("t"), f"{_Z}([0-9]{{4}}){_Y}-{_Z}([0-9]{{1,2}}){_Y}-{_Z}([0-9]{{1,2}}){_Y}", f"{_M}d\\1{_M}年{n(2)}月{n(3)}日"), say),
+        _folded(_swap(unlettered("t"), "([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", f"{_M}d\\1{_M}年{n(2)}月{n(3)}日"), say),
+        _folded(_swap(unlettered("t"), "([0-9]{1,2})月([0-9]{1,2})日", f"{n(1)}月{n(2)}日"), say),
+        _folded(_swap(unlettered("t"), "([0-9]{1,2})时([0-9]{1,2})分", f"{n(1)}时{n(2)}分"), say),
+        _folded(_swap("t", f"{number}%", f"百分之{n(1)}"), say),
+        _folded(_swap(unlettered(ended("t")), f"{number}[-~—–]{_SP}({_N})", "\\1到\\2"), "p"),
+        _folded(_swap("t", f"(?i)[-−]{_SP}{number}({_UNIT_SQL})", f"负{unit}"), say),
+        _folded(_swap("t", f"(?i){number}({_UNIT_SQL})", unit), say),
+        _folded(_swap(ended(_swap("t", "([A-Za-z0-9_])-", f"\\1-{_Z}"), "%"), f"-({_N})", f"负{n(1)}"), say),
+        _folded(_swap(begun(ended("t", "%")), f"([{numerals.ID_MARKS}])?{_Z}([0-9]+)(?:(\\.){_Z}([0-9]+))?({'|'.join(sorted(numerals.MEASURE_WORDS, key=len, reverse=True))})?", f"\\1{_M}\\1|\\2\\3\\4|\\5{_M}\\5"), say_bare),
+    ]
+    ctes = [f"step{k} AS (SELECT utt, {s} AS t FROM {f'step{k - 1}' if k else table})" for k, s in enumerate(steps)]
+    return ", ".join([*ctes, f"spoken AS (SELECT utt, translate(t, '{_HELD}', '{_ALNUM}') AS t FROM step{len(steps) - 1})"])
+
+
+_TEXTS = "texts AS (SELECT doc_id AS utt, text FROM documents)"
+
+
 def written_rules(spark: SparkSession, d: str) -> DataFrame:
     """A text for each rule of the normaliser, around an order's numbers and date."""
     o = table(spark, d, "orders").withColumn("n", (F.col("o_orderkey") % 9990).cast("int"))
@@ -412,7 +475,8 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", numerals.number_reading(number, left, right).alias("reading"))
 
 
-@query("protected_tokens")
+@query("protected_tokens", f"""WITH found AS (SELECT doc_id AS utt, list_filter(list_transform(regexp_extract_all({_words("text")}, '{_RUN}(?:[.-]{_RUN})*'), lambda k: replace(replace(k, '{_Z}', ''), '{_Y}', '')), lambda k: {_kept("k")}) AS l FROM documents)
+  SELECT utt, CAST(i - 1 AS INTEGER) AS token_pos, l[i] AS token FROM (SELECT utt, l, unnest(range(1, len(l) + 1)) AS i FROM found)""")
 def _(spark, d):
     return normalize.protected_tokens(documents(spark, d).select("utt", "text"))
 
@@ -423,7 +487,7 @@ def _(spark, d):
     return documents(spark, d).select("utt", normalize.ranges_to_words(spoken).alias("said"))
 
 
-@query("normalize_documents")
+@query("normalize_documents", f"WITH {_TEXTS}, {_normalized('texts')} SELECT utt, t AS spoken FROM spoken")
 def _(spark, d):
     return documents(spark, d).select("utt", normalize.normalize_text("text").alias("spoken"))
 
@@ -713,7 +777,8 @@ def _(spark, d):
     return rounded(report.withColumn("segments", F.to_json("segments")))
 
 
-@query("text_plan")
+@query("text_plan", f"""WITH {_TEXTS}, {_normalized("texts")}, {SENTENCES.replace("doc_id AS utt", "utt").replace("(text,", "(t,").replace("FROM documents", "FROM spoken")}
+  SELECT utt, CAST(pos AS INTEGER) AS pos, sentence, context, coalesce(context, '') || sentence AS in_text, round({_DURATION}, 6) AS duration_s FROM sent""")
 def _(spark, d):
     return rounded(jobs.text_plan(documents(spark, d).select("utt", "text")))
 
