@@ -8,12 +8,14 @@ the items are projected and held against each other by cosine;
 what is close enough is decided on the words: the longest common subsequence of item and
 region, and for middling ones whether the item's answer, its closing words, is there too.
 The cosine is a loose gate; a bound on the subsequence from counts of words keeps the checks few.
-Items of a few words have no say in a cosine; they are sought by their exact sequence of words.
+Items of a few words have no say in a cosine; they are sought by their exact sequence of words. Long
+items are cut into pieces: stretches of a text that hold windows close to enough of an item's pieces are checked.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -33,6 +35,8 @@ WINDOWS = (16, 32, 64)  # words; an item is sought in windows of about its lengt
 COSINE = 0.3
 SURE, LIKELY, ANSWER = 0.8, 0.6, 0.75
 MIN_WORDS = 5
+LONG = 128  # words; items beyond are sought by pieces of the longest window
+PIECES = 0.25  # share of an item's pieces that a stretch must hold something close to
 #: Words in more than this share of the passages have no column, unless they are among the rarest of an item.
 COMMON_SHARE, RAREST = 0.1, 5
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20  # items held by a task at once, and their text; more are searched in turns
@@ -78,11 +82,14 @@ class Slice:
 
 
 def sections(text: bytes, overlap: int) -> Iterator[bytes]:
-    """A text in parts of at most SLICE_BYTES that begin and end at white space where there is some, each with the last `overlap` bytes of the one before."""
-    at = 0
-    while len(text) - at > SLICE_BYTES:
-        end = text.rfind(b" ", at + SLICE_BYTES // 2, at + SLICE_BYTES)
-        end = end if end > 0 else at + SLICE_BYTES
+    """A text in parts that begin and end at white space where there is some, each with the last `overlap` bytes of the one before.
+
+    A part has at most SLICE_BYTES, or four overlaps where those are more.
+    """
+    at, most = 0, max(SLICE_BYTES, 4 * overlap)
+    while len(text) - at > most:
+        end = text.rfind(b" ", at + most // 2, at + most)
+        end = end if end > 0 else at + most
         yield text[at:end]
         back = text.find(b" ", max(at + 1, end - overlap), end)
         at = back if overlap and back > 0 else end
@@ -101,7 +108,7 @@ def sliced(batches: Iterator[pd.DataFrame], overlap: int = 0) -> Iterator[Slice]
         for i, t in zip(b["doc_id"], b["text"], strict=True):
             if isinstance(t, str) and t:
                 raw = t.lower().encode("utf-8", "surrogatepass")
-                for part in sections(raw, min(overlap, SLICE_BYTES // 4)):
+                for part in sections(raw, overlap):
                     ids.append(i)
                     texts.append(part)
                     whole.append(len(part) == len(raw))
@@ -269,6 +276,60 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - rows.bit_count()
 
 
+class LongItem:
+    """An item of more than LONG words: its pieces in the latent space, and its words.
+
+    A text is laid out in strides of half an item, and a stretch is four of them. A copy that takes no more
+    than one and a half times the item's words lies in one stretch, whatever the item's length.
+    """
+
+    def __init__(self, items: Items, q: int, projection: np.ndarray):
+        self.id, self.words = items.ids[q], items.words[q]
+        size = WINDOWS[-1]
+        starts = [*range(0, len(self.words) - size, size), len(self.words) - size]
+        pieces = np.array([projection[items.columns(self.words[a : a + size])[1]].sum(0) for a in starts], np.float32)
+        self.pieces = pieces / np.maximum(np.linalg.norm(pieces, axis=1, keepdims=True), 1e-12)
+        self.needed = max(2, math.ceil(PIECES * len(starts)))
+        self.stride = -(-len(self.words) // (2 * BLOCK))  # blocks
+        self.vocabulary, self.counts = np.unique(self.words, return_counts=True)
+        self.closing = len(self.words) // 5
+
+    def stretches(self, s: Slice, z: np.ndarray, first: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, first word, word after the last) of stretches with windows close to enough pieces, in documents long enough."""
+        fit = np.diff(s.bounds) >= LIKELY * len(self.words)
+        chosen = np.flatnonzero(fit[owner])
+        if not len(chosen):
+            return
+        local = (chosen - first[owner[chosen]]) // self.stride
+        begin = np.flatnonzero((np.diff(owner[chosen], prepend=-1) != 0) | (np.diff(local, prepend=-1) != 0))
+        d, local = owner[chosen[begin]], local[begin]
+        held = np.zeros(len(begin), np.int64)
+        for a in range(0, len(self.pieces), GROUP):
+            close = z[chosen] @ self.pieces[a : a + GROUP].T >= COSINE
+            in_stride = np.logical_or.reduceat(close, begin, axis=0)
+            near = in_stride.copy()
+            for k in range(1, 4):
+                same = d[k:] == d[:-k]
+                near[:-k][same] |= in_stride[k:][same]
+            held += near.sum(1)
+        width = self.stride * BLOCK
+        for g in np.flatnonzero(held >= self.needed):
+            start = s.bounds[d[g]] + local[g] * width
+            yield d[g], start, min(s.bounds[d[g] + 1], start + 4 * width)
+
+    def check(self, region: np.ndarray) -> tuple[float, bool] | None:
+        """Share of the item's words that the region has in order, and whether the closing ones are among them; None if it is no match."""
+        at = np.minimum(np.searchsorted(self.vocabulary, region), len(self.vocabulary) - 1)
+        at = at[self.vocabulary[at] == region]
+        if np.minimum(np.bincount(at, minlength=len(self.vocabulary)), self.counts).sum() < LIKELY * len(self.words):
+            return None
+        share = common_subsequence(self.words, region) / len(self.words)
+        if share < LIKELY:
+            return None
+        answer = common_subsequence(self.words[-self.closing :], region) >= ANSWER * self.closing
+        return (share, answer) if share >= SURE or answer else None
+
+
 _KINDS = np.array([(x & 15) + (x >> 4 << 16) for x in range(256)], np.uint32)
 
 
@@ -356,7 +417,9 @@ def _search(items: Items, projection: np.ndarray, overlap: int):
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         padded = np.vstack([projection, np.zeros((1, projection.shape[1]), np.float32)])
-        groups = [Group(items, np.arange(a, min(a + GROUP, len(items.ids)))) for a in range(0, len(items.ids), GROUP)]
+        usual = np.flatnonzero(lengths <= LONG)
+        groups = [Group(items, usual[a : a + GROUP]) for a in range(0, len(usual), GROUP)]
+        long = [LongItem(items, q, projection) for q in np.flatnonzero(lengths > LONG)]
         for s in sliced(batches, overlap):
             found = [(s.ids[d], i, 1.0, True) for d, i in exact(s)]
             _, first = s.blocks(BLOCK)
@@ -399,6 +462,11 @@ def _search(items: Items, projection: np.ndarray, overlap: int):
                         answer = group.subsequences(near, x, y, word, s.names, closing) >= ANSWER * closing
                         for c in np.flatnonzero((share >= SURE) | answer):
                             found.append((s.ids[at[c]], items.ids[group.chosen[near[c]]], share[c], answer[c]))
+            for item in long:
+                for d, start, end in item.stretches(s, latents[-1], first, owner):
+                    match = item.check(s.names[start:end])
+                    if match:
+                        found.append((s.ids[d], item.id, *match))
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "similarity", "answer"])
 
     return find
