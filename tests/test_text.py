@@ -1,6 +1,7 @@
 """Numerals, normaliser, sentences, durations: golden values."""
 
 import random
+import time
 
 import plain_normalizer
 import pytest
@@ -106,6 +107,7 @@ def reference_split(s: str, max_len: int = 80) -> list[str]:
 
 
 CASES = ["哈哈！！x", "a, b. c", "x" * 79 + "，y", "x" * 78 + "，y", " ！ ", "", "a　。　b", "？" * 5, "，" * 200 + "。x，"]
+CASES += [c * 30 for c in CASES] + ["\u2003\x85x\u3000。\xa0y\n", "\U0001f600" * 79 + "，z", "x\n" * 90 + "；y！" + "z" * 500]
 
 
 def test_split_sentences(spark):
@@ -118,6 +120,29 @@ def test_split_documents(spark, sf_dir):
     assert all(list(r.s) == reference_split(r.text, 40) for r in rows)
 
 
+def test_sentences_are_cut_once(spark):
+    """No filter on the sentences cuts each text again."""
+    df = spark.range(1).select("id", F.lit("a").alias("text"), F.uuid().alias("_u")).select("id", F.concat("text", "_u").alias("text"))
+    for out in (sentences.explode_sentences(df), sentences.sentence_plan(df), sentences.lookback_context(sentences.explode_sentences(df), key="id")):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_cut_is_as_quick_as_marks_are_found(spark):
+    """Some seven times the time of a plain split at hard marks, as it was with classes of all other characters, is too much."""
+    df = spark.range(4000).select(F.repeat(F.lit("some words of a text that is not short, "), 100).alias("t")).repartition(4).persist()
+    df.count()
+
+    def seconds(c):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(c).write.format("noop").mode("overwrite").save()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert seconds(text.split_sentences(F.col("t"))) < 4 * seconds(F.split("t", f"[{text.HARD}]"))
+
+
 def test_durations(spark):
     rows = [("哈哈哈哈哈哈哈！", 1.64), ("", 0.6), ("a" * 100, 15.0)]
     got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(text.estimate_duration(F.col("t")), text.tail_window_seconds(F.col("t"))).collect()

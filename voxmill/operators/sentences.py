@@ -9,8 +9,9 @@ from ..functions.text import split_sentences
 
 
 def explode_sentences(df: DataFrame, text: str = "text", max_len: int = 80) -> DataFrame:
+    """(others, pos, sentence). The cut stands in the generator: from a column Spark infers filters that would cut each text again."""
     others = [c for c in df.columns if c != text]
-    return df.select(*others, split_sentences(F.col(text), max_len).alias("_s")).select(*others, F.posexplode("_s").alias("pos", "sentence"))
+    return df.select(*others, F.posexplode(split_sentences(F.col(text), max_len)).alias("pos", "sentence"))
 
 
 def sentence_plan(df: DataFrame, text: str = "text", max_len: int = 80, look_back: int = 8) -> DataFrame:
