@@ -95,6 +95,19 @@ def test_shortcut_failure_and_lines(spark):
     assert {tuple(r) for r in text} == {("0.100000", "", "1"), ("0.200000", "", "0")}
 
 
+def test_choosing_needs_no_sort_of_its_own(spark):
+    plan = selection.mark_chosen(spark.createDataFrame([(1, 0, 0.5, 0.1)], "utt long, cand_idx int, score double, sim double"))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Sort [utt") == 1 and "row_number" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_is_chosen_among_equals(spark):
+    nan = float("nan")
+    rows = [(1, 0, 0.5), (1, 1, nan), (2, 0, 0.5), (2, 0, 0.5), (3, None, 0.5), (3, 0, 0.5), (4, 0, None), (4, 1, -2.0), (5, 0, 0.0), (5, 1, -0.0)]
+    df = spark.createDataFrame([(*r, 0.1) for r in rows], "utt long, cand_idx int, score double, sim double")
+    chosen = selection.mark_chosen(df).where("chosen").orderBy("utt").collect()
+    assert [(r.utt, r.cand_idx) for r in chosen] == [(1, 1), (2, 0), (3, None), (4, 0), (5, 0)]
+
+
 def test_one_exchange_serves_all_windows(spark):
     plan = selection.score_log(candidates(spark, GROUPS))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

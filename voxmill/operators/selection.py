@@ -79,11 +79,16 @@ def pick_best(df: DataFrame, score: str = "score", key: str = "utt") -> DataFram
 
 
 def mark_chosen(df: DataFrame, key: str = "utt") -> DataFrame:
-    """`chosen` by score, null as -1; where a group has no score by similarity, else the first candidate."""
+    """`chosen` by score, null as -1; where a group has no score by similarity, else the first candidate.
+
+    The least of a group needs no order inside it, so a task sorts its rows once, by the key. The row's number keeps
+    one of several alike.
+    """
     scores, sims = F.count("score").over(_group(key)), F.count("sim").over(_group(key))
-    by = F.when(scores > 0, F.coalesce("score", F.lit(-1.0))).when(sims > 0, F.coalesce("sim", F.lit(-1.0))).otherwise(0.0)
-    order = _group(key).orderBy(F.desc("_by"), "cand_idx")
-    return df.withColumn("_by", by).withColumn("chosen", F.row_number().over(order) == 1).drop("_by")
+    by = F.when(scores > 0, F.coalesce("score", F.lit(-1.0))).when(sims > 0, F.coalesce("sim", F.lit(-1.0))).otherwise(0.0).cast("double")
+    marked = df.withColumns({"_by": by, "_row": F.monotonically_increasing_id()})
+    best = F.min(F.struct(~F.isnan("_by"), -F.col("_by"), "cand_idx", "_row")).over(_group(key))  # not a number counts as the highest
+    return marked.withColumn("chosen", F.col("_row") == best["_row"]).drop("_by", "_row")
 
 
 def pick_best_with_fallback(df: DataFrame, key: str = "utt") -> DataFrame:
