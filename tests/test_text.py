@@ -182,3 +182,15 @@ def test_timeline_rows_match_timeline(spark, power):
     lists = df.groupBy("utt").agg(F.sort_array(F.collect_list(F.struct("pos", "n")))["n"].alias("n"))
     expected = {(r.utt, p): tuple(s) for r in lists.select("utt", sentences.timeline(F.col("n"), 10, power).alias("spans")).collect() for p, s in enumerate(r.spans)}
     assert got == expected and len(got) == len(rows)
+
+
+def test_rule_texts_are_dealt_over_all_partitions(spark, sf_dir):
+    from voxmill.queries import written_rules
+
+    assert written_rules(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_units_hold_a_sign_that_is_looked_for():
+    import re
+
+    assert all(re.search(normalize.UNIT_SIGNS, u) for u in numerals.UNIT_NAMES)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,23 +43,32 @@ def _number(group: int) -> str:
     return _mark(AS_NUMBER, group)
 
 
-#: Patterns, and their order: a later rule sees what the earlier ones have left.
-RULES: list[tuple[str, str]] = [
-    (rf"(?<!{WORD})([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?!{WORD})", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日"),
-    (r"(?<![A-Za-z])([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日"),
-    (r"(?<![A-Za-z])([0-9]{1,2})月([0-9]{1,2})日", f"{_number(1)}月{_number(2)}日"),
-    (r"(?<![A-Za-z])([0-9]{1,2})时([0-9]{1,2})分", f"{_number(1)}时{_number(2)}分"),
-    (rf"{START}({NUMBER}){SPACE}%", f"百分之{_number(1)}"),
-    (RANGE, "$1到$2"),
-    (rf"(?iu)[-−]{SPACE}({NUMBER}){SPACE}({UNITS})", f"负{_number(1)}{_mark(AS_UNIT, 2)}"),
-    (rf"(?iu){START}({NUMBER}){SPACE}({UNITS})", f"{_number(1)}{_mark(AS_UNIT, 2)}"),
+def _any_of(marks: str) -> Callable[[Column], Column]:
+    return lambda t: reduce(lambda a, b: a | b, [t.contains(m) for m in marks])
+
+
+#: What every unit's name holds, in any case: a letter (or one that folds to it), a sign or a slash.
+UNIT_SIGNS = "[A-Za-z\u212a\u017f℃°/]"
+
+#: Patterns, and their order: a later rule sees what the earlier ones have left. Beside each what the text
+#: itself holds wherever the rule has something to find, as the marks that rules put in hold none of it.
+RULES: list[tuple[str, str, Callable[[Column], Column] | None]] = [
+    (rf"(?<!{WORD})([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?!{WORD})", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日", _any_of("-")),
+    (r"(?<![A-Za-z])([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", f"{_mark(AS_DIGITS, 1)}年{_number(2)}月{_number(3)}日", _any_of("年")),
+    (r"(?<![A-Za-z])([0-9]{1,2})月([0-9]{1,2})日", f"{_number(1)}月{_number(2)}日", _any_of("月")),
+    (r"(?<![A-Za-z])([0-9]{1,2})时([0-9]{1,2})分", f"{_number(1)}时{_number(2)}分", _any_of("时")),
+    (rf"{START}({NUMBER}){SPACE}%", f"百分之{_number(1)}", _any_of("%")),
+    (RANGE, "$1到$2", _any_of("-~—–")),
+    (rf"(?iu)[-−]{SPACE}({NUMBER}){SPACE}({UNITS})", f"负{_number(1)}{_mark(AS_UNIT, 2)}", _any_of("-−")),
+    (rf"(?iu){START}({NUMBER}){SPACE}({UNITS})", f"{_number(1)}{_mark(AS_UNIT, 2)}", lambda t: t.rlike(UNIT_SIGNS)),
     # the micro sign has no name; its letter counts as the text's own
-    (rf"{OPEN}{AS_UNIT}(µ[Mm]){CLOSE}", "$1"),
-    (rf"(?<![A-Za-z0-9_])-({NUMBER})(?![A-Za-z%])", f"负{_number(1)}"),
+    (rf"{OPEN}{AS_UNIT}(µ[Mm]){CLOSE}", "$1", _any_of("µ")),
+    (rf"(?<![A-Za-z0-9_])-({NUMBER})(?![A-Za-z%])", f"负{_number(1)}", _any_of("-")),
     # marked pieces stay; a bare number before a measure word, after a mark of identifiers, or elsewhere
     (
         rf"({OPEN}[^{CLOSE}]*{CLOSE})|(?<![A-Za-z0-9_])({NUMBER})(?={MEASURES})|(?<=[{ID_MARKS}])({NUMBER})(?![A-Za-z%])|(?<![A-Za-z0-9_])({NUMBER})(?![A-Za-z%])",
         f"$1{_number(2)}{_mark(AS_DIGITS, 3)}{_mark(AS_BARE, 4)}",
+        None,
     ),
 ]
 
@@ -88,15 +98,23 @@ def _say(piece: Column) -> Column:
     """A marked piece, by its kind. Numbers of more than 16 digits have no name and are read digit by digit."""
     kind, body = F.left(piece, F.lit(1)), F.substring(piece, 2, 2**31 - 1)
     long = (F.instr(body, ".") > 0) | (F.length(body) > 4)
-    spelled = (kind == AS_DIGITS) | ((kind == AS_BARE) & long) | body.rlike("^0*[1-9][0-9]{16}")
+    spelled = (kind == AS_DIGITS) | ((kind == AS_BARE) & long) | ((F.length(body) > 16) & body.rlike("^0*[1-9][0-9]{16}"))
     said = F.when(spelled, digits_to_chinese(body)).otherwise(number_to_chinese(body))
     return F.when(body == "", "").when(kind == AS_UNIT, canonical_unit(body)).otherwise(said)
 
 
+def _ruled(out: Column, own: Column, pattern: str, marked: str, needed: Callable[[Column], Column] | None) -> Column:
+    if not needed:
+        return F.regexp_replace(out, pattern, marked)
+    return _let(out, lambda t: F.when(needed(own), F.regexp_replace(t, pattern, marked)).otherwise(t))
+
+
 def _spoken(c: Column) -> Column:
-    out = _hold(F.regexp_replace(c, BLOCK, FOREIGN))
-    for pattern, marked in RULES:
-        out = F.regexp_replace(out, pattern, marked)
+    """A rule's pattern is run only on texts that hold what it needs, as most hold nothing for most rules."""
+    held = lambda t: F.when(c.rlike("[A-Za-z]"), _hold(t)).otherwise(t)
+    out = _let(F.regexp_replace(c, BLOCK, FOREIGN), held)
+    for rule in RULES:
+        out = _ruled(out, c, *rule)
     out = F.translate(_fold(out, f"[{OPEN}{CLOSE}]", _say), HELD_CHARS, TOKEN_CHARS)
     own = F.regexp_extract_all(c, F.lit(BLOCK), F.lit(0))
     return F.when(F.size(own) == 0, out).otherwise(F.array_join(F.zip_with(F.split(out, FOREIGN), own, lambda p, o: F.concat(p, F.coalesce(o, F.lit("")))), ""))

@@ -32,38 +32,51 @@ MEASURE_WORDS = (
 ID_MARKS = "：:、「【"
 
 
+def _unsigned(c: Column) -> Column:
+    return F.when(c.startswith("-"), F.substring(c, 2, 2**31 - 1)).otherwise(c)
+
+
 def digits_to_chinese(c: Column) -> Column:
     """Digit by digit; a leading minus is 负, a point 点, other characters stay."""
-    return F.translate(F.regexp_replace(c, "^-", "负"), "0123456789.", DIGITS + "点")
+    spelled = F.translate(_unsigned(c), "0123456789.", DIGITS + "点")
+    return F.concat(F.when(c.startswith("-"), "负").otherwise(""), spelled)
+
+
+def _within_hundred(ten: str, one: str) -> Column:
+    """Names of 0 to 99 with these places; no name for 0. Constant, so made once a query."""
+    name = lambda digit, place: DIGITS[digit] + place if digit else ""
+    return F.split(F.lit(",".join(name(k // 10, ten) + name(k % 10, one) for k in range(100))), ",")
+
+
+def _group_name(n: Column) -> Column:
+    """0 to 9,999, with 零 for places left out inside; no name for 0."""
+    high, low = F.call_function("div", n, F.lit(100)).cast("int"), (n % 100).cast("int")
+    gap = (high > 0) & (low > 0) & ((low < 10) | (high % 10 == 0))
+    return F.concat(F.get(_within_hundred(*PLACES[:2]), high), F.when(gap, DIGITS[0]).otherwise(""), F.get(_within_hundred(*PLACES[2:]), low))
+
+
+def _groups(n: Column) -> Column:
+    named = []
+    for k, name in reversed(list(enumerate(GROUPS))):
+        group = F.call_function("div", n, F.lit(10_000**k)) % 10_000
+        named.append(F.when(group > 0, F.concat(_group_name(group), F.lit(name))).otherwise(""))
+    return F.when(n == 0, DIGITS[0]).when(n < 10_000, _group_name(n)).when(n.isNotNull(), F.concat(*named))
 
 
 def int_to_chinese(c: Column) -> Column:
     """Positional numerals; null from 10^16 on, which has no group name. Groups are joined without 零."""
-    n = F.abs(c.cast("decimal(20,0)"))
-    digits = F.translate(F.lpad(n.cast("string"), 16, "0"), "0123456789", DIGITS)
-    ends = GROUPS[:0:-1] + ("个",)
-    places = "".join(f"${4 * g + k + 1}{p}" for g in range(4) for k, p in enumerate(PLACES[:3] + (ends[g],)))
-    said = F.regexp_replace(digits, "(.)" * 16, places)
-    for pattern, text in (
-        ("零千零百零十零[兆亿万个]", ""),  # groups of zeros
-        ("零[千百十]", "零"),
-        ("零+", "零"),
-        ("(^|[兆亿万])零", "$1"),
-        ("零?个$", ""),
-        ("零([兆亿万])", "$1"),
-        ("^一十", "十"),
-    ):
-        said = F.regexp_replace(said, pattern, text)
-    return F.when(n == 0, DIGITS[0]).when(n < 10**16, F.concat(F.when(c < 0, "负").otherwise(""), said))
+    size = F.abs(c.cast("decimal(20,0)"))
+    said = F.transform(F.array(F.when(size < 10**16, size).cast("long")), _groups)
+    said = F.transform(said, lambda s: F.when(s.startswith("一十"), F.substring(s, 2, 2**31 - 1)).otherwise(s))
+    return F.concat(F.when((c < 0) & (size > 0), "负").otherwise(""), F.get(said, 0))
 
 
 def number_to_chinese(c: Column) -> Column:
     """A decimal string: the integer part as a number, 点, the fraction digit by digit."""
-    plain = F.regexp_replace(c, "^-", "")
+    plain, point = _unsigned(c), F.instr(c, ".") > 0
     whole = int_to_chinese(F.substring_index(plain, ".", 1).try_cast("decimal(20,0)"))
     fraction = F.translate(F.regexp_replace(F.substring(plain, F.instr(plain, ".") + 1, F.length(plain)), "[^0-9]", ""), "0123456789", DIGITS)
-    spoken = F.when(F.instr(plain, ".") > 0, F.concat(whole, F.lit("点"), fraction)).otherwise(whole)
-    return F.when(c.startswith("-"), F.concat(F.lit("负"), spoken)).otherwise(spoken)
+    return F.concat(F.when(c.startswith("-"), "负").otherwise(""), whole, F.when(point, F.concat(F.lit("点"), fraction)).otherwise(""))
 
 
 def canonical_unit(c: Column) -> Column:

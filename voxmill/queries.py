@@ -49,15 +49,21 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows by a key over all shuffle partitions, however few files and bytes they come from."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return table(spark, d, "lineitem").select(
+    cm = F.when(F.col("l_returnflag") == "N", F.col("l_quantity") / 50)
+    return table(spark, d, "lineitem").withColumn("cm", cm).select(  # before the window, which then sorts fewer columns
         F.col("l_orderkey").alias("utt"),
         (F.row_number().over(order) - 1).alias("cand_idx"),
         F.concat(F.lit("m_"), F.col("l_linenumber").cast("string")).alias("tag"),
         F.col("l_discount").alias("wer"),
         F.col("l_tax").alias("sim"),
-        F.when(F.col("l_returnflag") == "N", F.col("l_quantity") / 50).alias("cm"),
+        "cm",
     )
 
 
@@ -434,8 +440,8 @@ _TEXTS = "texts AS (SELECT doc_id AS utt, text FROM documents)"
 
 
 def written_rules(spark: SparkSession, d: str) -> DataFrame:
-    """A text for each rule of the normaliser, around an order's numbers and date."""
-    o = table(spark, d, "orders").withColumn("n", (F.col("o_orderkey") % 9990).cast("int"))
+    """A text for each rule of the normaliser, around an order's numbers and date. Orders are few bytes for that work, so they are dealt first."""
+    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").withColumn("n", (F.col("o_orderkey") % 9990).cast("int"))
     n, day = F.col("n"), F.col("o_orderdate").cast("date")
     text = lambda form, *c: F.format_string(form, *(c or (n,)))
     return o.select(
