@@ -6,6 +6,7 @@ the candidates; ties go to the lowest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,12 +16,22 @@ from pyspark.sql import functions as F
 W_WER, W_SIM, W_SPOOF = 0.4, 0.4, 0.2
 #: Rows of one key that may stand in a task, and keys that may count as hot.
 HELD_ROWS, MOST_HOT = 100_000, 10_000
+#: Rows that a task sorts by group.
+TASK_ROWS = 250_000
 
 
 def _group(key: str):
     return Window.partitionBy(key)
 
 
+def by_group(df: DataFrame, key: str = "utt", held: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by group over so many tasks that each gets about `held`, whatever the table's size and the session's partitions.
+
+    The windows here need no other exchange after it. The rows are counted first. A larger group stays whole.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / held)), key)
+
+
 def plan_candidates(spark: SparkSession, tasks: DataFrame, backends: Sequence[tuple[str, int]], key: str = "utt") -> DataFrame:
     """One row for each task, backend and seed 0..k-1; the plan's few rows are part of the query text."""
     plan = [(b, s) for b, k in backends for s in range(k)]

@@ -55,14 +55,15 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     cm = F.when(F.col("l_returnflag") == "N", F.col("l_quantity") / 50)
-    return table(spark, d, "lineitem").withColumn("cm", cm).select(  # before the window, which then sorts fewer columns
-        F.col("l_orderkey").alias("utt"),
-        (F.row_number().over(order) - 1).alias("cand_idx"),
+    named = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("utt"), *order, F.col("l_discount").alias("wer"), F.col("l_tax").alias("sim"), cm.alias("cm"))
+    return selection.by_group(named).select(  # under the name of the group, by which all windows after it find the rows dealt and sorted
+        "utt",
+        (F.row_number().over(Window.partitionBy("utt").orderBy(*order)) - 1).alias("cand_idx"),
         F.concat(F.lit("m_"), F.col("l_linenumber").cast("string")).alias("tag"),
-        F.col("l_discount").alias("wer"),
-        F.col("l_tax").alias("sim"),
+        "wer",
+        "sim",
         "cm",
     )
 
