@@ -33,3 +33,15 @@ def test_score_log_holds_a_bounded_number_of_rows_in_a_task(spark, large):
 def test_score_log_is_dealt_and_sorted_once(spark, sf_dir):
     plan = queries.QUERIES["score_log"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+
+
+def test_score_log_runs_writes_from_tasks_of_a_bounded_number_of_rows(spark, large, monkeypatch):
+    found, write = [], queries.rn.write_run
+
+    def watched(log, *a, **k):
+        found.append(rows_and_most(log))
+        return write(log, *a, **k)
+
+    monkeypatch.setattr(queries.rn, "write_run", watched)
+    assert queries.QUERIES["score_log_runs"](spark, large).count() == ROWS
+    assert len(found) == 2 and all(rows == ROWS and most < 300_000 for rows, most in found)
