@@ -35,6 +35,11 @@ def test_score_log_is_dealt_and_sorted_once(spark, sf_dir):
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
 
 
+def test_score_log_text_holds_a_bounded_number_of_rows_in_a_task(spark, large):
+    rows, most = rows_and_most(queries.QUERIES["score_log_text"](spark, large))
+    assert rows == ROWS and most < 300_000
+
+
 def test_score_log_runs_writes_from_tasks_of_a_bounded_number_of_rows(spark, large, monkeypatch):
     found, write = [], queries.rn.write_run
 
