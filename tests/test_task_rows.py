@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxmill import queries
+from voxmill.operators import selection
 
 ROWS = 2_000_000
 
@@ -50,3 +51,8 @@ def test_score_log_runs_writes_from_tasks_of_a_bounded_number_of_rows(spark, lar
     monkeypatch.setattr(queries.rn, "write_run", watched)
     assert queries.QUERIES["score_log_runs"](spark, large).count() == ROWS
     assert len(found) == 2 and all(rows == ROWS and most < 300_000 for rows, most in found)
+
+
+def test_tasks_of_small_and_large_tables(spark):
+    parts = lambda rows, held: selection.by_group(spark.range(rows), "id", held).rdd.getNumPartitions()
+    assert [parts(0, 10), parts(1001, 100), parts(1990, 10), parts(9000, 10), parts(15_000, 10)] == [4, 11, 199, 200, 300]

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 W_WER, W_SIM, W_SPOOF = 0.4, 0.4, 0.2
 #: Rows of one key that may stand in a task, and keys that may count as hot.
 HELD_ROWS, MOST_HOT = 100_000, 10_000
-#: Rows that a task sorts by group.
-TASK_ROWS = 250_000
+#: Rows that a task sorts by group, and tasks from which on it takes up to five times as many: with more than 200 tasks to write for,
+#: Spark's shuffle writers no longer stream what they read (spark.shuffle.sort.bypassMergeThreshold), but sort their split in memory.
+TASK_ROWS, STREAMED = 250_000, 200
 
 
 def _group(key: str):
@@ -25,11 +26,12 @@ def _group(key: str):
 
 
 def by_group(df: DataFrame, key: str = "utt", held: int = TASK_ROWS) -> DataFrame:
-    """Rows dealt by group over so many tasks that each gets about `held`, whatever the table's size and the session's partitions.
+    """Rows dealt by group over so many tasks that each gets about `held`, in large tables up to five times as many, whatever the session's partitions.
 
     The windows here need no other exchange after it. The rows are counted first. A larger group stays whole.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / held)), key)
+    rows, least = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, min(math.ceil(rows / held), STREAMED), math.ceil(rows / (5 * held))), key)
 
 
 def plan_candidates(spark: SparkSession, tasks: DataFrame, backends: Sequence[tuple[str, int]], key: str = "utt") -> DataFrame:
