@@ -36,39 +36,67 @@ def _unsigned(c: Column) -> Column:
     return F.when(c.startswith("-"), F.substring(c, 2, 2**31 - 1)).otherwise(c)
 
 
+def spell(c: Column) -> Column:
+    """Digit by digit; a point is 点, other characters stay."""
+    return F.translate(c, "0123456789.", DIGITS + "点")
+
+
 def digits_to_chinese(c: Column) -> Column:
     """Digit by digit; a leading minus is 负, a point 点, other characters stay."""
-    spelled = F.translate(_unsigned(c), "0123456789.", DIGITS + "点")
-    return F.concat(F.when(c.startswith("-"), "负").otherwise(""), spelled)
+    return F.concat(F.when(c.startswith("-"), "负").otherwise(""), spell(_unsigned(c)))
+
+
+def _within_thousand(begun: bool) -> list[str]:
+    """Names of 0 to 999: after other places 0 has none and places left out are 零, as a whole 10 to 19 go without 一."""
+    names = []
+    for n in range(1000):
+        digits = f"{n:03d}" if begun else str(n)
+        said = "".join((DIGITS[int(d)] + p if d != "0" else "0") for d, p in zip(digits, PLACES[-len(digits) :], strict=True)).rstrip("0")
+        said = said.replace("00", "0").replace("0", DIGITS[0])
+        names.append(said if begun else said.removeprefix("一") if 10 <= n < 20 else said or DIGITS[0])
+    return names
+
 
+def _one_of(names: list[str], n: Column) -> Column:
+    """The name at `n`. The names are constant, so their array is made once a query."""
+    return F.get(F.split(F.lit(",".join(names)), ","), n.cast("int"))
 
-def _within_hundred(ten: str, one: str) -> Column:
-    """Names of 0 to 99 with these places; no name for 0. Constant, so made once a query."""
-    name = lambda digit, place: DIGITS[digit] + place if digit else ""
-    return F.split(F.lit(",".join(name(k // 10, ten) + name(k % 10, one) for k in range(100))), ",")
+
+def _div(n: Column, by: int) -> Column:
+    return F.call_function("div", n, F.lit(by))
 
 
 def _group_name(n: Column) -> Column:
-    """0 to 9,999, with 零 for places left out inside; no name for 0."""
-    high, low = F.call_function("div", n, F.lit(100)).cast("int"), (n % 100).cast("int")
-    gap = (high > 0) & (low > 0) & ((low < 10) | (high % 10 == 0))
-    return F.concat(F.get(_within_hundred(*PLACES[:2]), high), F.when(gap, DIGITS[0]).otherwise(""), F.get(_within_hundred(*PLACES[2:]), low))
+    """0 to 9,999; no name for 0."""
+    thousands = _one_of(["", *(DIGITS[k] + PLACES[0] for k in range(1, 10))], _div(n, 1000))
+    rest = _one_of(_within_thousand(begun=True), n % 1000)
+    return F.when(n < 1000, F.ltrim(rest, F.lit(DIGITS[0]))).otherwise(F.concat(thousands, rest))
+
+
+def _many(n: Column) -> Column:
+    """From 10,000 on. Groups are joined without 零."""
+    groups = F.array(*[F.struct((_div(n, 10_000**k) % 10_000).alias("n"), F.lit(name).alias("name")) for k, name in reversed(list(enumerate(GROUPS)))])
+    said = F.array_join(F.transform(F.filter(groups, lambda g: g.n > 0), lambda g: F.concat(_group_name(g.n), g["name"])), "")
+    return F.regexp_replace(said, "^一十", "十")
 
 
-def _groups(n: Column) -> Column:
-    named = []
-    for k, name in reversed(list(enumerate(GROUPS))):
-        group = F.call_function("div", n, F.lit(10_000**k)) % 10_000
-        named.append(F.when(group > 0, F.concat(_group_name(group), F.lit(name))).otherwise(""))
-    return F.when(n == 0, DIGITS[0]).when(n < 10_000, _group_name(n)).when(n.isNotNull(), F.concat(*named))
+def _named(n: Column) -> Column:
+    return F.when(n < 1000, _one_of(_within_thousand(begun=False), n)).when(n < 10_000, _group_name(n)).when(n.isNotNull(), _many(n))
 
 
 def int_to_chinese(c: Column) -> Column:
-    """Positional numerals; null from 10^16 on, which has no group name. Groups are joined without 零."""
+    """Positional numerals; null from 10^16 on, which has no group name."""
     size = F.abs(c.cast("decimal(20,0)"))
-    said = F.transform(F.array(F.when(size < 10**16, size).cast("long")), _groups)
-    said = F.transform(said, lambda s: F.when(s.startswith("一十"), F.substring(s, 2, 2**31 - 1)).otherwise(s))
-    return F.concat(F.when((c < 0) & (size > 0), "负").otherwise(""), F.get(said, 0))
+    said = F.get(F.transform(F.array(F.when(size < 10**16, size).cast("long")), _named), 0)
+    return F.concat(F.when((c < 0) & (size > 0), "负").otherwise(""), said)
+
+
+def plain_number(c: Column) -> Column:
+    """As `number_to_chinese`, of digits with at most one point within and up to 16 places before it, other than leading zeros."""
+    point = c.contains(".")
+    whole = F.when(point, F.substring_index(c, ".", 1)).otherwise(c)
+    said = F.get(F.transform(F.array(F.substring(whole, -17, 17).cast("long")), _named), 0)
+    return F.concat(said, F.when(point, F.concat(F.lit("点"), spell(F.substring_index(c, ".", -1)))).otherwise(""))
 
 
 def number_to_chinese(c: Column) -> Column:

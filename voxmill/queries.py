@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics, normalize, numerals, text
@@ -440,19 +440,48 @@ def _normalized(table: str) -> str:
 _TEXTS = "texts AS (SELECT doc_id AS utt, text FROM documents)"
 
 
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _rule_texts() -> list[tuple[list[str], dict[str, Column]]]:
+    """Texts for the rules of the normaliser, beside the columns that they are written from."""
+    n, day, month, dom, hour, minute = map(F.col, ("n", "day", "month", "dom", "hour", "minute"))
+    return [
+        (["day"], {"dashed": F.date_format(day, "'发于 'yyyy-MM-dd'。'"), "dated": _text(F.year(day), "年", F.month(day), "月", F.dayofmonth(day), "日发布")}),
+        (["month", "dom", "hour", "minute"], {"timed": _text("于", month, "月", dom, "日", hour, "时", minute, "分")}),
+        (["n"], {
+            "share": _text("约", n, "%左右"), "span": _text("需要", n, "-", n + 3, "天"), "signed": _text("气温-", n, "℃"), "amount": _text("重", n, "kg，长", n, "KM"),
+            "negative": _text("得分为 -", n, "。"), "counted": _text("共", n, "人"), "known": _text("编号：", n, "。"), "long": _text("房间 ", n + 10000, "。"),
+            "price": _text("付", n, ".25元"), "ratio": _text("比率 ", n, ".25，"), "kept": _text("见 A", n, "-B 与 v", n, " 和 ", n, "kg。"),
+        }),
+    ]
+
+
+def _rule_values(orders: DataFrame) -> DataFrame:
+    """An order's numbers and date, around which the texts are written."""
+    n, day = (F.col("o_orderkey") % 9990).cast("int"), F.col("o_orderdate").cast("date")
+    return orders.select("o_orderkey", n.alias("n"), day.alias("day"), F.month(day).alias("month"), F.dayofmonth(day).alias("dom"), (n % 24).alias("hour"), (n % 60).alias("minute"))
+
+
 def written_rules(spark: SparkSession, d: str) -> DataFrame:
     """A text for each rule of the normaliser, around an order's numbers and date. Orders are few bytes for that work, so they are dealt first."""
-    o = dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").withColumn("n", (F.col("o_orderkey") % 9990).cast("int"))
-    n, day = F.col("n"), F.col("o_orderdate").cast("date")
-    text = lambda form, *c: F.format_string(form, *(c or (n,)))
-    return o.select(
-        "o_orderkey", F.date_format(day, "'发于 'yyyy-MM-dd'。'").alias("dashed"),
-        text("%d年%d月%d日发布", F.year(day), F.month(day), F.dayofmonth(day)).alias("dated"),
-        text("于%d月%d日%d时%d分", F.month(day), F.dayofmonth(day), n % 24, n % 60).alias("timed"),
-        text("约%d%%左右").alias("share"), text("需要%d-%d天", n, n + 3).alias("span"), text("气温-%d℃").alias("signed"), text("重%dkg，长%dKM", n, n).alias("amount"),
-        text("得分为 -%d。").alias("negative"), text("共%d人").alias("counted"), text("编号：%d。").alias("known"), text("房间 %d。", n + 10000).alias("long"),
-        text("付%d.25元").alias("price"), text("比率 %d.25，").alias("ratio"), text("见 A%d-B 与 v%d 和 %dkg。", n, n, n).alias("kept"),
-    )
+    o = _rule_values(dealt(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"))
+    return o.select("o_orderkey", *[text.alias(c) for _, texts in _rule_texts() for c, text in texts.items()])
+
+
+def said_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of `written_rules`, normalised. What is written from the same values is the same, so it is said once, and each order looks it up.
+
+    The values are few whatever the orders: remainders by 9,990, days of the calendar, days of a year by hour and minute.
+    """
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    out = _rule_values(dealt(orders, "o_orderkey"))
+    for keys, texts in _rule_texts():
+        written = _rule_values(orders).select(*keys).distinct().select(*keys, F.array(*texts.values()).alias("texts"))
+        said = written.select(*keys, F.transform("texts", normalize.normalize_text).alias("said"))  # one expression for all, as each takes long to plan
+        out = out.join(F.broadcast(said.select(*keys, *[F.col("said")[k].alias(c) for k, c in enumerate(texts)])), keys, "left")
+    return out.select("o_orderkey", *[c for _, texts in _rule_texts() for c in texts])
 
 
 @query("spoken_rules", f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 9990 AS INTEGER) AS n, CAST(o_orderdate AS DATE) AS d FROM orders),
@@ -462,8 +491,7 @@ def written_rules(spark: SparkSession, d: str) -> DataFrame:
     '得分为 负' || s || '。' AS negative, '共' || s || '人' AS counted, '编号：' || spelled || '。' AS known, '房间 ' || {_said_digits("n + 10000")} || '。' AS long,
     '付' || s || '点二五元' AS price, '比率 ' || spelled || '点二五，' AS ratio, '见 A' || n || '-B 与 v' || n || ' 和 ' || s || '千克。' AS kept FROM p""")
 def _(spark, d):
-    rows = written_rules(spark, d)
-    return rows.select("o_orderkey", *[normalize.normalize_text(c).alias(c) for c in rows.columns[1:]])
+    return said_rules(spark, d)
 
 
 @query("kept_tokens", """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 9990 AS INTEGER) AS n FROM orders)
